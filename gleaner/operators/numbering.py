@@ -18,7 +18,7 @@ LEVELS = 2
 
 
 def _bucket(column: str, width: int):
-    return F.floor(F.col(column) / F.lit(width)).cast("bigint")
+    return F.expr(f"(`{column}` - pmod(`{column}`, {width})) div {width}")
 
 
 def prefix_sum(
@@ -50,11 +50,10 @@ def prefix_sum(
     bucket = f"_b{levels}"
     bucketed = df.withColumn(bucket, _bucket(order, width))
     totals = bucketed.groupBy(*keys, bucket).agg(F.sum(value).alias("_total"))
-    starts = prefix_sum(totals, keys, bucket, "_total", "_start", width, levels - 1)
-    joined = bucketed.withColumn("_before", before).join(
-        starts.select(*keys, bucket, "_start"), [*keys, bucket]
-    )
-    return joined.withColumn(out, F.col("_start") + F.col("_before")).drop(bucket, "_before", "_start")
+    start, inside = f"_start{levels}", f"_before{levels}"
+    starts = prefix_sum(totals, keys, bucket, "_total", start, width, levels - 1)
+    joined = bucketed.withColumn(inside, before).join(starts.select(*keys, bucket, start), [*keys, bucket])
+    return joined.select(*df.columns, (F.col(start) + F.col(inside)).alias(out))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: str, out: str, width: int = BUCKET_WIDTH) -> DataFrame:
