@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,50 +44,69 @@ _EXACT = "(?U)"
 _ANY_CASE = "(?iU)"
 
 
-def _group(text: Column, pattern: str, group: int, flags: str) -> Column:
-    return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
+def _first(text: Column, pattern: str, group: int = 0, flags: str = _ANY_CASE) -> Column:
+    """Group of the first match, NULL without one; the pattern runs once."""
+    found = F.regexp_extract(text, flags + pattern, group)
+    return F.try_element_at(F.array_remove(F.array(found), ""), F.lit(1))
+
+
+def _rewritten(text: Column, pattern: str, form: str, flags: str = _ANY_CASE) -> Column:
+    """The first match written in another form from its groups."""
+    return F.regexp_replace(_first(text, pattern, 0, flags), flags + pattern, form)
 
 
-def _blank_to_null(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
+def _mentions(low: Column, *words: str) -> Column:
+    """Cheap test that any of the words occurs, before a pattern is tried."""
+    return reduce(or_, [F.contains(low, F.lit(w)) for w in words])
 
 
 def fact_columns(text: Column) -> dict[str, Column]:
-    """One nullable string column per fact; first match only."""
+    """One nullable string column per fact; first match only.
+
+    Every pattern sits behind a plain substring test of a word it cannot match
+    without, so text that holds no such phrase never reaches a pattern.
+    """
     t = strip(F.coalesce(text, F.lit("")))
+    low = F.translate(F.lower(t), "ſ", "s")
+    out: dict[str, Column] = {}
 
     # A name can only end in a year: without one, skip the long scan for its start.
-    named = t.rlike(_ANY_CASE + r"(Summit|Conference|Expo)\s*20\d{2}")
-    out = {"event_name": F.when(named, _blank_to_null(strip(_group(t, EVENT_NAME, 1, _ANY_CASE))))}
-    out["event_dates"] = _group(t, EVENT_DATES, 0, _ANY_CASE)
-    out["venue"] = _blank_to_null(strip(_group(t, VENUE, 0, _ANY_CASE)))
-    out["keynote_time"] = _blank_to_null(strip(_group(t, KEYNOTE_TIME, 2, _ANY_CASE)))
-    title = F.coalesce(_group(t, KEYNOTE_TITLE, 1, _EXACT), _group(t, KEYNOTE_TITLE, 2, _EXACT))
-    out["keynote_title"] = _blank_to_null(strip(title))
-    out["keynote_speaker"] = _blank_to_null(strip(_group(t, KEYNOTE_SPEAKER, 1, _EXACT)))
-
-    percent = _group(t, EARLY_BIRD, 2, _ANY_CASE)
-    out["early_bird"] = F.concat(percent, F.lit("% off; ends "), _group(t, EARLY_BIRD, 3, _ANY_CASE))
+    named = _mentions(low, "summit", "conference", "expo") & t.rlike(
+        _ANY_CASE + r"(Summit|Conference|Expo)\s*20\d{2}"
+    )
+    out["event_name"] = F.when(named, strip(_first(t, EVENT_NAME, 1)))
+    dated = F.contains(t, F.lit("20")) & F.contains(t, F.lit(","))
+    out["event_dates"] = F.when(dated, _first(t, EVENT_DATES))
+    out["venue"] = F.when(_mentions(low, "center", "hall"), strip(_first(t, VENUE)))
+
+    keynote = _mentions(low, "keynote")
+    out["keynote_time"] = F.when(keynote, strip(_first(t, KEYNOTE_TIME, 2)))
+    quoted = F.contains(t, F.lit("“")) | F.contains(t, F.lit('"'))
+    out["keynote_title"] = F.when(quoted, strip(_rewritten(t, KEYNOTE_TITLE, "$1$2", _EXACT)))
+    named_by = F.contains(t, F.lit("by")) | F.contains(t, F.lit("Speaker"))
+    out["keynote_speaker"] = F.when(named_by, strip(_first(t, KEYNOTE_SPEAKER, 1, _EXACT)))
+
+    early = _rewritten(t, EARLY_BIRD, "$2% off; ends $3")
+    out["early_bird"] = F.when(_mentions(low, "early"), early)
     for key, tier in PRICE_TIERS.items():
-        out[f"price_{key}"] = _group(t, PRICE.replace("TIER", tier), 2, _ANY_CASE)
-
-    daily = F.when(_group(t, EXPO_HOURS, 4, _ANY_CASE).isNotNull(), " daily").otherwise("")
-    hours = [_group(t, EXPO_HOURS, g, _ANY_CASE) for g in (2, 3)]
-    out["expo_hours"] = F.concat(hours[0], F.lit("–"), hours[1], daily)
-    out["invoice_number"] = _group(t, INVOICE, 3, _ANY_CASE)
-
-    quantity = F.regexp_replace(_group(t, WARRANTY, 2, _ANY_CASE), "^0+([0-9])", "$1")
-    unit = F.lower(_group(t, WARRANTY, 3, _ANY_CASE))
-    plural = F.when(quantity == "1", "").otherwise("s")
-    out["warranty"] = F.concat(quantity, F.lit(" "), unit, plural)
-    factor = F.when(unit == "year", F.lit(12)).otherwise(F.lit(1))
-    months = (quantity.try_cast("decimal(30,0)") * factor).cast("string")
-    out["warranty_months"] = months
+        out[f"price_{key}"] = F.when(_mentions(low, key), _first(t, PRICE.replace("TIER", tier), 2))
+
+    hours = F.lower(_rewritten(t, EXPO_HOURS, "$2–$3 $4"))
+    hours = F.rtrim(F.regexp_replace(hours, "each day$", "daily"))
+    out["expo_hours"] = F.when(_mentions(low, "expo", "exhibition"), hours)
+    out["invoice_number"] = F.when(_mentions(low, "invoice"), _first(t, INVOICE, 3))
+
+    covered = _mentions(low, "warranty", "guarantee")
+    term = F.regexp_replace(F.lower(_rewritten(t, WARRANTY, "$2 $3")), "^0+([0-9])", "$1")
+    out["warranty"] = F.when(covered, F.regexp_replace(term, "^(?!1 )(.*)$", "$1s"))
+    years = F.regexp_extract(term, "^([0-9]+) year$", 1)
+    in_years = (years.try_cast("decimal(30,0)") * 12).cast("string")
+    out["warranty_months"] = F.when(covered, F.coalesce(in_years, F.substring_index(term, " ", 1)))
     return {key: out[key] for key in FACT_KEYS}
 
 
 def extract_facts(text: Column) -> Column:
-    """The facts as a struct of nullable strings."""
+    """All facts as one struct of nullable strings."""
     return F.struct(*[col.alias(key) for key, col in fact_columns(text).items()])
 
 
@@ -94,8 +116,12 @@ def fact_map(facts: Column) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
-def direct_answer(question: Column, facts: Column) -> Column:
-    """Answer by the question's keywords; the first rule with its fact wins."""
+def direct_answer(question: Column, facts: Column | dict[str, Column]) -> Column:
+    """Answer by the question's keywords; the first rule with its fact wins.
+
+    With the columns of :func:`fact_columns` a row evaluates only the facts its
+    question asks for.
+    """
     q = F.lower(F.coalesce(question, F.lit("")))
 
     def asks(*words: str) -> Column:
@@ -107,13 +133,15 @@ def direct_answer(question: Column, facts: Column) -> Column:
     def dollars(key: str) -> Column:
         return F.concat(F.lit("$"), facts[key])
 
+    title = facts["keynote_title"]
+    quoted_title = F.when(title != "", F.concat(F.lit("“"), title, F.lit("”")))
     rules = [
         (asks("event name") | asks("what", "event", "name"), facts["event_name"]),
         (asks("event date") | asks("dates"), facts["event_dates"]),
         (asks("venue") | asks("where"), facts["venue"]),
         (asks("keynote", "time"), facts["keynote_time"]),
         (asks("keynote") & (asks("who") | asks("speaker")), facts["keynote_speaker"]),
-        (asks("keynote", "title"), F.concat(F.lit("“"), facts["keynote_title"], F.lit("”"))),
+        (asks("keynote", "title"), quoted_title),
         (asks("early-bird") | asks("early bird"), facts["early_bird"]),
         (asks("price", "standard"), dollars("price_standard")),
         (asks("price", "student"), dollars("price_student")),

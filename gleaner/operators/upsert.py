@@ -73,9 +73,10 @@ class ChunkTable:
     half-written partition behind.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = SOURCE_BUCKETS):
         self.spark = spark
         self.path = path
+        self.buckets = buckets
 
     def read(self) -> DataFrame:
         try:
@@ -83,14 +84,13 @@ class ChunkTable:
         except AnalysisException:
             return self.spark.createDataFrame([], S.CHUNK).withColumn("bucket", F.lit(0))
 
-    @staticmethod
-    def _bucketed(df: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("source"), F.lit(SOURCE_BUCKETS)).cast("int")
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")
         return df.select(*S.CHUNK.fieldNames()).withColumn("bucket", bucket)
 
     def _touched(self, incoming: DataFrame) -> DataFrame:
         """Stored rows of the partitions the batch falls into (a pruned scan)."""
-        # At most collections x SOURCE_BUCKETS rows come back.
+        # At most collections x buckets rows come back.
         pairs = incoming.select("collection", "bucket").distinct().collect()
         hit = F.lit(False)
         for name in sorted({p["collection"] for p in pairs}):

@@ -73,13 +73,11 @@ def evidence_texts(snippets: DataFrame) -> DataFrame:
 
 def direct_answers(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K) -> DataFrame:
     """First image cite, in rank order, whose text answers the question."""
-    from gleaner.functions.facts import direct_answer, extract_facts
+    from gleaner.functions.facts import direct_answer, fact_columns
 
     ranked = nearest(chunks, questions, k).where(F.col("collection") == S.IMAGES)
     asked = ranked.join(questions.select("qid", "question"), "qid")
-    answered = asked.withColumn("_facts", extract_facts(F.col("document"))).withColumn(
-        "answer", direct_answer(F.col("question"), F.col("_facts"))
-    )
+    answered = asked.withColumn("answer", direct_answer(F.col("question"), fact_columns(F.col("document"))))
     best = answered.where(F.col("answer").isNotNull()).groupBy("qid").agg(
         F.min_by(F.struct("answer", "id", "source"), "rank").alias("_best")
     )

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from gleaner import schemas as S
 from gleaner.functions.embedding import DIMENSIONS, hash_embedder
 from gleaner.functions.text import WHITESPACE
+from gleaner.session import spread
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """As :func:`load`, for queries with costly work per row."""
+    return spread(load(spark, root, name))
+
+
 def lit(value: str) -> str:
     """SQL string literal."""
     return "'" + value.replace("'", "''") + "'"
@@ -111,7 +117,7 @@ ranked AS (
 
 def text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """``documents`` as chunk rows, one per document, with hashed vectors."""
-    docs = load(spark, root, "documents").select(
+    docs = load_spread(spark, root, "documents").select(
         nth(S.RETRIEVAL_ORDER, F.col("doc_id") % 4).alias("collection"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         "source",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import facts as facts_of
 from gleaner.queries.common import lit, load
+from gleaner.session import spread
 
 # --- composed texts, the same expression in both engines ---------------------
 # %s stands for a column turned to text.
@@ -70,11 +71,11 @@ INVOICE_SQL = _compose(_INVOICE, "chr(10)")
 
 
 def posters(spark, root) -> DataFrame:
-    return load(spark, root, "orders").select("o_orderkey", F.expr(POSTER_SQL).alias("t"))
+    return spread(load(spark, root, "orders").select("o_orderkey", F.expr(POSTER_SQL).alias("t")))
 
 
 def invoices(spark, root) -> DataFrame:
-    return load(spark, root, "orders").select("o_orderkey", F.expr(INVOICE_SQL).alias("t"))
+    return spread(load(spark, root, "orders").select("o_orderkey", F.expr(INVOICE_SQL).alias("t")))
 
 
 def poster_images(spark, root) -> DataFrame:
@@ -158,8 +159,8 @@ def direct_answer(spark, root):
         F.expr(f"CASE WHEN o_orderkey % 2 = 0 THEN {POSTER_SQL} ELSE {INVOICE_SQL} END").alias("t"),
         F.expr(_pick("o_custkey")).alias("question"),
     )
-    known = both.withColumn("f", facts_of.extract_facts(F.col("t")))
-    return known.select("o_orderkey", "question", facts_of.direct_answer(F.col("question"), F.col("f")).alias("answer"))
+    answer = facts_of.direct_answer(F.col("question"), facts_of.fact_columns(F.col("t")))
+    return spread(both).select("o_orderkey", "question", answer.alias("answer"))
 
 
 def _rule(words: str, answer: str) -> str:

@@ -10,7 +10,7 @@ from gleaner.functions import text as X
 from gleaner.functions.embedding import hash_embedder
 from gleaner.operators import stats, upsert
 from gleaner.plans import chunking, tables
-from gleaner.queries.common import case_of, lit, load, nth, strip_sql
+from gleaner.queries.common import case_of, lit, load, load_spread, nth, strip_sql
 from gleaner.queries.facts import FACT_SQL, INVOICE_SQL, invoices
 from gleaner.queries.text import normal_url_sql
 from gleaner.session import fresh_dir
@@ -127,7 +127,7 @@ def chunk_table_upsert(spark, root):
             F.col("doc_id").alias("chunk_no"),
         )
 
-    store = upsert.ChunkTable(spark, fresh_dir(spark, "chunks"))
+    store = upsert.ChunkTable(spark, fresh_dir(spark, "chunks"), buckets=8)
     store.create(chunking.conform(rows(docs, F.md5("text"), "d")))
     french = docs.where(F.col("lang") == "fr")
     store.upsert(chunking.conform(rows(french.where(F.col("n_chars") > 500), F.lit("rewritten"), "d")))
@@ -373,17 +373,17 @@ _SHAPE_TRUE = "true AS ids_unique, true AS numbers_dense, true AS from_zero, tru
 
 
 def ingest_pages(spark, root):
-    return _shape(chunking.ingest_pages(contracts.pages(load(spark, root, "pages"))))
+    return _shape(chunking.ingest_pages(contracts.pages(load_spread(spark, root, "pages"))))
 
 
 def ingest_paged_docs(spark, root):
-    pages = contracts.paged(load(spark, root, "documents"), page="doc_id")
+    pages = contracts.paged(load_spread(spark, root, "documents"), page="doc_id")
     return _shape(chunking.ingest_paged(pages))
 
 
 def paged_chunk_numbers(spark, root):
     """Running chunk numbers: each page starts where the pages before it ended."""
-    pages = contracts.paged(load(spark, root, "documents").where(F.length("text") < S.CHUNK_SIZE), page="doc_id")
+    pages = contracts.paged(load_spread(spark, root, "documents").where(F.length("text") < S.CHUNK_SIZE), page="doc_id")
     return chunking.paged_chunks(pages).select("id", "source", "page", "chunk_no")
 
 
@@ -400,7 +400,7 @@ def ingest_ocr_text(spark, root):
 
 
 def ingest_ocr_chunked(spark, root):
-    rows = load(spark, root, "documents").select(F.concat(F.lit("/scans/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("source"), F.col("text").alias("ocr_text"))
+    rows = load_spread(spark, root, "documents").select(F.concat(F.lit("/scans/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("source"), F.col("text").alias("ocr_text"))
     chunks = chunking.ingest_ocr(contracts.ocr(rows), split=True)
     return chunks.groupBy("source").agg(
         (F.max("chunk_no") == F.count(F.lit(1)) - 1).alias("numbers_dense"),
@@ -440,7 +440,7 @@ def create_only(spark, root):
     """First write succeeds, a second create of the same table is refused."""
     rows = load(spark, root, "nation").select("n_nationkey", "n_name")
     chunks = chunking.conform(chunking.row_chunks(rows, "nation", "n_nationkey"))
-    store = upsert.ChunkTable(spark, fresh_dir(spark, "once"))
+    store = upsert.ChunkTable(spark, fresh_dir(spark, "once"), buckets=8)
     store.create(hash_embedder()(chunks, "document", "embedding"))
     try:
         store.create(chunks)

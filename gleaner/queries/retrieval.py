@@ -20,6 +20,7 @@ from gleaner.queries.common import (
     label_questions,
     lit,
     load,
+    load_spread,
     preview_sql,
     rank_of,
     ranked_sql,
@@ -111,7 +112,7 @@ def snippets_for_source(spark, root):
 
 
 def embed_hash(spark, root):
-    docs = load(spark, root, "documents").select("doc_id", "text")
+    docs = load_spread(spark, root, "documents").select("doc_id", "text")
     counted = docs.withColumn("b", token_buckets(F.col("text"), 64)).select(
         "doc_id", bucket_counts(F.col("b"), 64).alias("counts")
     )

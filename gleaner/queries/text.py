@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner import schemas as S
 from gleaner.functions import markup, splitter
 from gleaner.functions import text as X
-from gleaner.queries.common import WS, lit, load, preview_sql, strip_sql
+from gleaner.queries.common import WS, lit, load, load_spread, preview_sql, strip_sql
 from gleaner.sources import contracts
 
 # --- urls -------------------------------------------------------------------
@@ -58,14 +58,14 @@ def url_list_split(spark, root):
 
 
 def pages_to_docs(spark, root):
-    return contracts.pages(load(spark, root, "pages")).select(
+    return contracts.pages(load_spread(spark, root, "pages")).select(
         "source", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars")
     )
 
 
 def pages_meta(spark, root):
     html = F.col("html")
-    return load(spark, root, "pages").select(
+    return load_spread(spark, root, "pages").select(
         "page_id", markup.page_title(html).alias("title"), markup.page_language(html).alias("language")
     )
 
@@ -96,7 +96,7 @@ _TEXT_SQL = _unescape_sql(
 
 def chunk_invariants(spark, root):
     """Per document: chunks fit, sit where they say, and cover all text."""
-    docs = load(spark, root, "documents").select("doc_id", "text")
+    docs = load_spread(spark, root, "documents").select("doc_id", "text")
     cut = docs.select("doc_id", "text", splitter.chunks("text").alias("parts"))
     blank = F.lit(X.WHITESPACE)
     ends = F.transform("parts", lambda p: p["start"] + F.length(p["chunk"]))
@@ -120,13 +120,13 @@ def chunk_invariants(spark, root):
 
 
 def chunk_counts(spark, root):
-    docs = load(spark, root, "documents").select("doc_id", splitter.chunks("text").alias("parts"))
+    docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text").alias("parts"))
     return docs.select("doc_id", F.size("parts").cast("bigint").alias("chunks"))
 
 
 def chunk_single(spark, root):
     """Texts below the chunk size: exactly one chunk, the stripped text."""
-    docs = load(spark, root, "documents").where(F.length("text") < S.CHUNK_SIZE)
+    docs = load_spread(spark, root, "documents").where(F.length("text") < S.CHUNK_SIZE)
     parts = docs.select("doc_id", F.explode(splitter.chunks("text")).alias("p"))
     return parts.select("doc_id", F.col("p.start").alias("start"), F.md5("p.chunk").alias("chunk_md5"))
 
@@ -163,7 +163,7 @@ def previews(spark, root):
 
 
 def whitespace_collapse(spark, root):
-    return load(spark, root, "documents").select("doc_id", F.md5(X.collapse_whitespace("text")).alias("flat_md5"))
+    return load_spread(spark, root, "documents").select("doc_id", F.md5(X.collapse_whitespace("text")).alias("flat_md5"))
 
 
 def ocr_fallback(spark, root):

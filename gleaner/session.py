@@ -64,3 +64,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPREAD_TASKS = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan enough tasks for heavy per-row work.
+
+    A file that cannot be split (one row group, one compressed stream) is one
+    task however many cores wait. Such a scan is dealt out once before costly
+    expressions or Python; a scan that already has as many splits as useful is
+    returned as it is, so a large table is never shuffled for this. ``df`` is a
+    plain scan: its split count is known from planning, nothing runs.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_TASKS)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
