@@ -135,10 +135,12 @@ def infer_types(rows: DataFrame) -> dict[str, str]:
     checks = []
     for i, name in enumerate(rows.columns):
         cell = _cell(name)
+        whole = F.trim(cell).try_cast("bigint").isNotNull()
         number = cell.rlike(_NUMBER) | cell.rlike(_INFINITE)
         checks += [
             F.count(cell).alias(f"n{i}"),
-            F.every(cell.rlike(_INTEGER) & F.trim(cell).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            # A missing cell decides nothing: integers with gaps stay integers.
+            F.every(F.when(cell.isNotNull(), cell.rlike(_INTEGER) & whole)).alias(f"i{i}"),
             F.every(number).alias(f"d{i}"),
             F.every(cell.rlike(_BOOLEAN)).alias(f"b{i}"),
         ]
