@@ -184,19 +184,23 @@ def _dimension(probes: DataFrame) -> int:
 
 
 def _survivors(
-    chunks: DataFrame, probes: DataFrame, k: int, order: tuple[str, ...], by_source: bool, cells: bool
+    chunks: DataFrame,
+    probes: DataFrame,
+    k: int,
+    order: tuple[str, ...],
+    by_source: bool = False,
+    cells: bool = False,
+    tasks: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Best rows of every task, and the number of passes taken."""
     spark = chunks.sparkSession
     probes = probes.where(F.col("vector").isNotNull())
     dim = _dimension(probes)
     columns = ["collection", "id", "embedding", *(["source"] if by_source else []), *(["_cells"] if cells else [])]
-    rows = (
-        (chunks.where(F.col("source").isNotNull()) if by_source else chunks)
-        .select(*columns, collection_rank(order).alias("_rank"))
-        # Few long tasks: the survivors exchanged are k per question and task.
-        .coalesce(4 * spark.sparkContext.defaultParallelism)
-    )
+    rows = chunks.where(F.col("source").isNotNull()) if by_source else chunks
+    rows = rows.select(*columns, collection_rank(order).alias("_rank"))
+    if tasks:
+        rows = rows.coalesce(tasks)
     schema = T.StructType(
         [
             T.StructField("qid", probes.schema["qid"].dataType),
@@ -240,21 +244,25 @@ def _with_text(winners: DataFrame, chunks: DataFrame, passes: int) -> DataFrame:
     return chunks.select("collection", "id", "source", "document").join(small, ["collection", "id"])
 
 
-def nearest(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K) -> DataFrame:
+def nearest(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K, tasks: int | None = None) -> DataFrame:
     """The ``k`` nearest chunks of all collections for every question.
 
     ``questions`` has ``qid`` and ``vector``. Taking the best ``k`` of each
     collection, merging, and cutting at ``k`` keeps exactly the best ``k`` of
-    the union under the same order, so one cut suffices.
+    the union under the same order, so one cut suffices. ``tasks`` packs the
+    scan's splits into that many tasks: each sends at most ``k`` rows per
+    question, so fewer, longer tasks exchange less.
     """
-    rows, passes = _survivors(chunks, questions.select("qid", "vector"), k, S.RETRIEVAL_ORDER, False, False)
+    rows, passes = _survivors(chunks, questions.select("qid", "vector"), k, S.RETRIEVAL_ORDER, tasks=tasks)
     ranked = _ranked(rows, ["qid"], k, "rank")
     return _with_text(ranked, chunks, passes).select(
         "qid", "rank", "collection", "id", "source", "document", "distance"
     )
 
 
-def nearest_in_source(chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS) -> DataFrame:
+def nearest_in_source(
+    chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS, tasks: int | None = None
+) -> DataFrame:
     """The ``n`` nearest chunks within the asked source.
 
     ``probes`` has ``qid``, ``source`` and ``vector``. Per collection the best
@@ -262,7 +270,7 @@ def nearest_in_source(chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS)
     """
     fetch = max(n, S.SNIPPET_FETCH)
     wanted = probes.select("qid", "source", "vector")
-    rows, passes = _survivors(chunks, wanted, fetch, S.SNIPPET_ORDER, True, False)
+    rows, passes = _survivors(chunks, wanted, fetch, S.SNIPPET_ORDER, by_source=True, tasks=tasks)
     fetched = _ranked(rows, ["qid", "collection"], fetch, "_fetched").drop("_fetched")
     texts = _with_text(fetched, chunks, passes).where(F.trim("document") != "")
     return _ranked(texts, ["qid"], n, "snippet_no").select(
@@ -298,7 +306,7 @@ def nearest_approx(
         return model.transform(df).withColumn("_cells", cells).drop("_v", "_h")
 
     hashed = celled(chunks.where(F.col("embedding").isNotNull()).withColumn("_v", array_to_vector("embedding")))
-    rows, passes = _survivors(hashed, celled(with_vector), k, S.RETRIEVAL_ORDER, False, True)
+    rows, passes = _survivors(hashed, celled(with_vector), k, S.RETRIEVAL_ORDER, cells=True)
     # Read three times below: staged, so the scan runs once.
     ranked = stage(_ranked(rows, ["qid"], k, "rank"), "approx")
     enough = ranked.groupBy("qid").count().where(F.col("count") >= k).select("qid")

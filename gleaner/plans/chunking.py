@@ -53,14 +53,16 @@ def page_chunks(documents: DataFrame) -> DataFrame:
 def paged_chunks(pages: DataFrame) -> DataFrame:
     """Chunks of paged documents (``source, page, text``), numbered per source.
 
+    ``(source, page)`` is unique; a document without pages has page NULL.
     The chunk arrays are staged once; the numbering then reads only
     (source, page, count), and a source with any share of the pages is cut
     into page ranges.
     """
-    cut = stage(pages.select("source", "page", splitter.chunks("text").alias("_parts")), "pages")
-    counts = cut.select("source", "page", F.size("_parts").alias("_n"))
-    starts = prefix_sum(counts, ["source"], "page", "_n", "_first").select("source", "page", "_first")
-    parts = cut.join(starts, ["source", "page"]).select(
+    place = F.coalesce("page", F.lit(-1).cast("bigint")).alias("_place")
+    cut = stage(pages.select("source", "page", place, splitter.chunks("text").alias("_parts")), "pages")
+    counts = cut.select("source", "_place", F.size("_parts").alias("_n"))
+    starts = prefix_sum(counts, ["source"], "_place", "_n", "_first").select("source", "_place", "_first")
+    parts = cut.join(starts, ["source", "_place"]).select(
         "source", "page", "_first", F.posexplode("_parts").alias("_i", "_part")
     )
     number = F.col("_first") + F.col("_i")

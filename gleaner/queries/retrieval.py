@@ -10,6 +10,7 @@ from gleaner.functions.embedding import bucket_counts, hash_embedder, token_buck
 from gleaner.operators import citations as C
 from gleaner.operators.nearest import nearest, nearest_approx, nearest_in_source
 from gleaner.plans.answer import answer_questions, answer_snippets, direct_answers, evidence_texts, question_cites
+from gleaner.queries.facts import FACT_SQL, INVOICE_SQL, poster_images
 from gleaner.queries.common import (
     BENCHMARK_QUESTIONS_SQL,
     LABEL_QUESTIONS_SQL,
@@ -349,8 +350,6 @@ snips AS (
 def direct_image_answer(spark, root):
     """Questions on composed posters, answered from the nearest image."""
     from gleaner.plans.chunking import ingest_ocr
-    from gleaner.queries.facts import poster_images
-
     chunks = ingest_ocr(poster_images(spark, root))
     words = load(spark, root, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("key"))
     asked = words.select(
@@ -415,6 +414,15 @@ snips AS (
   FROM fetched WHERE trim(document) <> '' QUALIFY snippet_no <= {S.SNIPPETS}
 )
 SELECT qid, source, snippet_no, collection, id, round(distance, 6) AS distance FROM snips""",
+    "direct_image_answer": f"""WITH {hashed_sql("corpus", "SELECT o_orderkey, " + INVOICE_SQL + " AS t FROM orders", "o_orderkey", "t")},
+{hashed_sql("asked", "SELECT o_orderpriority AS qid, 'What is the invoice number of order ' || min(o_orderkey) || '?' AS question FROM orders GROUP BY 1", "qid", "question")},
+ranked AS (
+  SELECT a.qid, '/scans/' || o_orderkey || '.png#img_chunk=0' AS id, {FACT_SQL["invoice_number"]} AS answer,
+    row_number() OVER (PARTITION BY a.qid
+      ORDER BY round(pow(list_distance(c.vec, a.vec), 2), 9), '/scans/' || o_orderkey || '.png#img_chunk=0') AS rank
+  FROM asked a CROSS JOIN corpus c QUALIFY rank <= {S.TOP_K}
+)
+SELECT qid, arg_min(answer, rank) AS answer, arg_min(id, rank) AS id FROM ranked WHERE answer IS NOT NULL GROUP BY qid""",
     "embed_hash": f"WITH {hashed_sql('h', 'SELECT doc_id, text FROM documents', 'doc_id', 'text')} "
     "SELECT doc_id, array_to_string(counts, ',') AS counts, "
     "list_sum(list_transform(counts, lambda c: c * c))::BIGINT AS squares FROM h",
