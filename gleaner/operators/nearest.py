@@ -89,11 +89,11 @@ class _Best:
             question = int(asked[i])
             near = np.flatnonzero((about[i] <= bound[i]) & np.isfinite(about[i]))
             exact = np.round(((vectors[near] - self.questions[question]) ** 2).sum(axis=1), PLACES)
-            if len(near) > self.k:
-                kth = np.partition(exact, self.k - 1)[self.k - 1]
-                near, exact = near[exact <= kth], exact[exact <= kth]
+            # Rows come in tie order, so a stable sort settles any number of equal distances.
+            first = np.argsort(exact, kind="stable")[: self.k]
             found = [
-                (float(d), int(ranks[r]), ids[int(r)].as_py(), names[int(r)].as_py()) for d, r in zip(exact, near)
+                (float(exact[f]), int(ranks[r]), ids[int(r)].as_py(), names[int(r)].as_py())
+                for f, r in zip(first, near[first])
             ]
             key = (question, slot)
             self.kept[key] = sorted(self.kept.get(key, []) + found)[: self.k]
@@ -126,6 +126,8 @@ def _scanner(shared, k: int, by_source: bool, hashed: bool):
             batch = batch.filter(pc.fill_null(fits, False))
             if not batch.num_rows:
                 continue
+            # Collection order, then id: the order equal distances are settled in.
+            batch = batch.take(pc.sort_indices(batch, [("_rank", "ascending"), ("id", "ascending")]))
             vectors = _matrix(batch.column("embedding"))
             ranks = batch.column("_rank").to_numpy(zero_copy_only=False)
             names, ids = batch.column("collection"), batch.column("id")
@@ -137,14 +139,17 @@ def _scanner(shared, k: int, by_source: bool, hashed: bool):
                         best.offer(asked, vectors[rows], ranks[rows], names.take(take), ids.take(take), slot=name)
             elif hashed:
                 cells = _matrix(batch.column("_cells"))
-                shared_cell = (probe["cells"][:, None, :] == cells[None, :, :]).any(axis=2)
-                rows = np.flatnonzero(shared_cell.any(axis=0))
-                if len(rows):
-                    take = pa.array(rows)
+                # Rows no question shares a cell with are gone before any distance.
+                used = [np.isin(cells[:, t], probe["cells"][:, t]) for t in range(cells.shape[1])]
+                rows = np.flatnonzero(np.any(used, axis=0))
+                step = max(1, CELLS // probe["cells"].size)
+                for lo in range(0, len(rows), step):
+                    part = rows[lo : lo + step]
+                    allowed = (probe["cells"][:, None, :] == cells[None, part, :]).any(axis=2)
+                    take = pa.array(part)
                     best.offer(
-                        everyone, vectors[rows], ranks[rows], names.take(take), ids.take(take),
-                        allowed=shared_cell[:, rows],
-                    )
+                        everyone, vectors[part], ranks[part], names.take(take), ids.take(take), allowed=allowed
+                    )
             else:
                 best.offer(everyone, vectors, ranks, names, ids)
         question, rows = [], []
@@ -165,10 +170,15 @@ def _scanner(shared, k: int, by_source: bool, hashed: bool):
     return scan
 
 
-def _blocks(probes: DataFrame, dim: int) -> Iterator[pa.Table]:
+def _width(block: pa.Table) -> int:
+    """Length of the question vectors."""
+    return len(block.column("vector")[0]) if block.num_rows else 0
+
+
+def _blocks(probes: DataFrame) -> Iterator[pa.Table]:
     """The questions in blocks of bounded size."""
-    bound = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(dim, 1))))
-    head = probes.limit(bound + 1).toArrow()
+    head = probes.limit(BLOCK_ROWS + 1).toArrow()
+    bound = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(_width(head), 1))))
     if head.num_rows <= bound:
         yield head
         return
@@ -178,11 +188,6 @@ def _blocks(probes: DataFrame, dim: int) -> Iterator[pa.Table]:
         yield probes.where(F.pmod(F.xxhash64(*keys), F.lit(passes)) == i).toArrow()
 
 
-def _dimension(probes: DataFrame) -> int:
-    first = probes.select(F.size("vector")).head()
-    return first[0] if first else 0
-
-
 def _survivors(
     chunks: DataFrame,
     probes: DataFrame,
@@ -195,7 +200,6 @@ def _survivors(
     """Best rows of every task, and the number of passes taken."""
     spark = chunks.sparkSession
     probes = probes.where(F.col("vector").isNotNull())
-    dim = _dimension(probes)
     columns = ["collection", "id", "embedding", *(["source"] if by_source else []), *(["_cells"] if cells else [])]
     rows = chunks.where(F.col("source").isNotNull()) if by_source else chunks
     rows = rows.select(*columns, collection_rank(order).alias("_rank"))
@@ -211,7 +215,7 @@ def _survivors(
         ]
     )
     passes = []
-    for block in _blocks(probes, dim):
+    for block in _blocks(probes):
         if not block.num_rows:
             continue
         probe = {"qid": block.column("qid").combine_chunks(), "vectors": _matrix(block.column("vector"))}

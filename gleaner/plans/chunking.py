@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from gleaner.functions import splitter
 from gleaner.functions import text as X
 from gleaner.functions.embedding import Embedder, hash_embedder
 from gleaner.operators.numbering import number_rows, prefix_sum
-from gleaner.session import stage
+from gleaner.operators.upsert import ChunkTable
+from gleaner.session import fresh_dir, stage
+from gleaner.sources import files
 
 TABLE_BLOCK_ROWS = 5_000
+PARALLEL_FILES = 8
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -165,6 +170,41 @@ def table_chunks(table: DataFrame, file: str, order: str, block_rows: int = TABL
     )
 
 
+REPORT = "name string, rows bigint, chunks bigint"
+
+
+def ingest_table_files(
+    store: ChunkTable, listing: DataFrame, embed: Embedder | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Chunk the text of every listed file (``path, file, ext``) into the store.
+
+    Files are read one job each, a few at a time; their chunks are staged side
+    by side and embedded and upserted together. Files that are missing (a NULL
+    path), unreadable, empty or of another kind report zeros.
+    """
+    spark = listing.sparkSession
+    staged = fresh_dir(spark, "table-files")
+
+    def load(item: tuple) -> tuple:
+        number, row = item
+        try:
+            if row["path"] is None or row["ext"] != ".csv":
+                return (row["file"], 0, 0)
+            table = files.read_csv(spark, row["path"], multi_line, row_column="_row")
+            path = f"{staged}/n={number}"
+            table_chunks(table, row["file"], "_row").write.parquet(path)
+            found = spark.read.parquet(path).agg(F.max("rows"), F.count(F.lit(1))).head()
+            return (row["file"], found[0] or 0, found[1])
+        except Exception:  # noqa: BLE001
+            return (row["file"], 0, 0)
+
+    with ThreadPoolExecutor(PARALLEL_FILES) as pool:
+        loaded = list(pool.map(load, enumerate(listing.toLocalIterator())))
+    if any(chunks for _, _, chunks in loaded):
+        store.upsert(_embedded(spark.read.parquet(staged).drop("n"), embed))
+    return spark.createDataFrame(loaded, REPORT)
+
+
 def row_chunks(table: DataFrame, file: str, order: str) -> DataFrame:
     """One record per row: ``name: value`` lines, id by row position."""
     columns = [c for c in table.columns if c != "_row"]

@@ -422,6 +422,27 @@ def ingest_table_text(spark, root):
     )
 
 
+def ingest_table_files(spark, root):
+    """Customer files into the chunk store; some asked names are absent."""
+    base = fresh_dir(spark, "uploads")
+    write_csv_files(_segment_files(spark, root), base)
+    known = files.list_files(spark, base)
+    wanted = known.select("path").unionByName(
+        load(spark, root, "region").select(F.concat(F.lit("/gone/"), F.lower("r_name"), F.lit(".csv")).alias("path"))
+    )
+    asked = files.requested_paths(wanted, known.select("path"))
+    listing = asked.select(
+        F.col("found").alias("path"), X.base_name("path").alias("file"), X.extension("path").alias("ext")
+    )
+    store = upsert.ChunkTable(spark, fresh_dir(spark, "chunks"), buckets=4)
+    report = chunking.ingest_table_files(store, listing)
+    counted = store.read().groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("stored"))
+    return report.join(counted, "name", "left").select(
+        "name", "rows", (F.col("chunks") == F.coalesce("stored", F.lit(0))).alias("all_stored"),
+        (F.col("chunks") > 0).alias("any"),
+    )
+
+
 def table_text_rows(spark, root):
     """Every CSV line of the table survives whole in its chunks."""
     nations = load(spark, root, "customer").drop("c_acctbal")
@@ -479,6 +500,7 @@ QUERIES = {
     "ingest_ocr_text": ingest_ocr_text,
     "ingest_ocr_chunked": ingest_ocr_chunked,
     "ingest_table_text": ingest_table_text,
+    "ingest_table_files": ingest_table_files,
     "table_text_rows": table_text_rows,
     "row_document_index": row_document_index,
     "create_only": create_only,
@@ -570,6 +592,8 @@ FROM (SELECT o_orderkey, {INVOICE_SQL} AS t FROM orders)""",
     f"1::BIGINT AS doc_ids FROM documents WHERE {strip_sql('text')} <> ''",
     "ingest_table_text": "SELECT 'orders.csv' AS source, count(*) AS rows, true AS ids_unique, true AS numbers_dense, "
     "true AS fits, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority' AS header, 1::BIGINT AS headers FROM orders",
+    "ingest_table_files": f"SELECT {_SEGMENT_FILE.format(n=FILE_ROWS)} AS name, count(*) AS rows, true AS all_stored, "
+    "true AS \"any\" FROM customer GROUP BY 1 UNION ALL SELECT lower(r_name) || '.csv', 0, true, false FROM region",
     "table_text_rows": "SELECT concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment) AS line FROM customer",
     "row_document_index": f"SELECT '{S.TABULAR}' AS collection, 'id' || (row_number() OVER (ORDER BY c_custkey) - 1) AS id, "
     "'customer' AS source, 'c_custkey: ' || c_custkey || ',' || chr(10) || 'c_name: ' || c_name || ',' || chr(10) || "

@@ -115,10 +115,13 @@ def _cell(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv_text(
+    spark: SparkSession, path: str, multi_line: bool = False, row_column: str | None = None
+) -> DataFrame:
     """A CSV file with every column as text and missing words as NULL.
 
     ``multi_line`` reads quoted line breaks, at the price of one task per file.
+    ``row_column`` adds a number that rises in file order.
     """
     reader = spark.read.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
     first = reader.option("header", False).csv(path).head()
@@ -127,7 +130,9 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
     names = _unique_names(list(first))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    return rows.select(*[F.when(~_cell(n).isin(*MISSING), _cell(n)).alias(n) for n in names])
+    cells = [F.when(~_cell(n).isin(*MISSING), _cell(n)).alias(n) for n in names]
+    place = [F.monotonically_increasing_id().alias(row_column)] if row_column else []
+    return rows.select(*cells, *place)
 
 
 def infer_types(rows: DataFrame) -> dict[str, str]:
@@ -160,12 +165,15 @@ def infer_types(rows: DataFrame) -> dict[str, str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, multi_line: bool = False, row_column: str | None = None
+) -> DataFrame:
     """A CSV file with inferred column types; dates stay text."""
-    rows = read_csv_text(spark, path, multi_line)
-    types = infer_types(rows)
-    cast = []
-    for name in rows.columns:
+    rows = read_csv_text(spark, path, multi_line, row_column)
+    named = [c for c in rows.columns if c != row_column]
+    types = infer_types(rows.select(*[_cell(c) for c in named]))
+    cast = [F.col(row_column)] if row_column else []
+    for name in named:
         cell = _cell(name)
         if types[name] in ("bigint", "double"):
             cell = F.trim(cell).try_cast(types[name])

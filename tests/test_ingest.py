@@ -115,3 +115,22 @@ def test_requested_paths_fall_back_to_base_name(spark, tmp_path):
     asked = spark.createDataFrame([("/in/a.pdf",), ("/gone/b.pdf",), ("/gone/c.pdf",)], "path string")
     got = {r["path"]: r["found"] for r in files.requested_paths(asked, listing).collect()}
     assert got == {"/in/a.pdf": "/in/a.pdf", "/gone/b.pdf": "/in/b.pdf", "/gone/c.pdf": None}
+
+
+def test_table_files_to_chunks(spark, tmp_path):
+    import pandas as pd
+
+    from gleaner.functions.splitter import split_text
+    from gleaner.functions.text import base_name, extension
+    from gleaner.operators.upsert import ChunkTable
+    from gleaner.plans.chunking import ingest_table_files
+
+    body = "k,name\n" + "".join(f"{i},row {i * 37 % 101}\n" for i in range(400, 0, -1))
+    paths = [str(write(tmp_path, "t.csv", body)), str(write(tmp_path, "h.csv", "a,b\n")), str(write(tmp_path, "x.xlsx", "?")), None]
+    listing = spark.createDataFrame([(p, f"f{i}" if p is None else p) for i, p in enumerate(paths)], "path string, name string")
+    listing = listing.select("path", base_name("name").alias("file"), extension("name").alias("ext"))
+    store = ChunkTable(spark, str(tmp_path / "store"), buckets=2)
+    got = {r["name"]: (r["rows"], r["chunks"]) for r in ingest_table_files(store, listing).collect()}
+    want = [c for _, c in split_text(pd.read_csv(paths[0]).to_csv(index=False))]
+    assert got == {"t.csv": (400, len(want)), "h.csv": (0, 0), "x.xlsx": (0, 0), "f3": (0, 0)}
+    assert [r["document"] for r in store.read().orderBy("chunk_no").collect()] == want
