@@ -63,7 +63,7 @@ WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)
 SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
     "sql_not_in": """
 SELECT n_nationkey, n_name FROM nation
-WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000 AND s_nationkey IS NOT NULL)""",
+WHERE n_nationkey NOT IN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_acctbal > 9000 AND s_nationkey IS NOT NULL)""",
     # R9
     "sql_join_self": """
 SELECT a.l_orderkey, a.l_linenumber AS line, b.l_linenumber AS next_line, round(b.l_quantity - a.l_quantity, 2) AS change
@@ -173,8 +173,9 @@ SELECT p_partkey, TRY_CAST(p_name AS INT) AS garbage, TRY_CAST(substring(p_brand
 _PAIRS = {
     # R14
     "sql_agg_group_concat": (
-        "SELECT s_nationkey, listagg(CAST(s_suppkey AS STRING), ';') WITHIN GROUP (ORDER BY s_suppkey) AS keys FROM supplier GROUP BY s_nationkey",
-        "SELECT s_nationkey, string_agg(s_suppkey::VARCHAR, ';' ORDER BY s_suppkey) AS keys FROM supplier GROUP BY s_nationkey",
+        "SELECT l_orderkey, listagg(CAST(l_partkey AS STRING), ';') WITHIN GROUP (ORDER BY l_linenumber, l_partkey) AS parts "
+        "FROM lineitem GROUP BY l_orderkey",
+        "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ';' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY l_orderkey",
     ),
     # R22: groups frame as a range over the dense rank
     "sql_window_groups": (
@@ -246,8 +247,8 @@ SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, h
         "(SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY key",
     ),
     "sql_json_group": (
-        "SELECT n_regionkey, to_json(array_sort(collect_list(n_nationkey))) AS nations FROM nation GROUP BY n_regionkey",
-        "SELECT n_regionkey, to_json(list(n_nationkey ORDER BY n_nationkey))::VARCHAR AS nations FROM nation GROUP BY n_regionkey",
+        "SELECT l_orderkey, to_json(array_sort(collect_list(l_partkey))) AS parts FROM lineitem GROUP BY l_orderkey",
+        "SELECT l_orderkey, to_json(list(l_partkey ORDER BY l_partkey))::VARCHAR AS parts FROM lineitem GROUP BY l_orderkey",
     ),
 }
 

@@ -245,3 +245,10 @@ def test_sql_cap_and_error(spark):
     assert run_sql(spark, "SELECT id FROM range(200)", rows=None).count() == 200
     assert str(try_sql(spark, "SELECT nope FROM range(1)")).startswith("SQL error: ")
     assert str(try_sql(spark, "DROP TABLE x")).startswith("SQL error: ")
+
+
+def test_introspection(spark):
+    spark.range(3).selectExpr("id", "CAST(id AS STRING) AS name").createOrReplaceTempView("shown")
+    assert [tuple(r)[:2] for r in run_sql(spark, "DESCRIBE TABLE shown").collect()] == [("id", "bigint"), ("name", "string")]
+    assert "Range" in run_sql(spark, "EXPLAIN FORMATTED SELECT * FROM shown").head()[0]
+    assert "shown" in {r["tableName"] for r in run_sql(spark, "SHOW TABLES").collect()}
