@@ -11,7 +11,7 @@ end. Spark sees one Arrow function: text column in, array of chunks out.
 
 from __future__ import annotations
 
-import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,46 +32,54 @@ CHUNK_TYPE = T.ArrayType(
 _ARROW_ITEM = pa.struct([("start", pa.int64()), ("chunk", pa.string())])
 
 
-def _cuts(text: str, lo: int, hi: int, separator: str) -> list[int]:
-    """Offsets where pieces begin, plus the end of the range."""
-    if separator == "":
-        return list(range(lo, hi + 1))
-    at = [m.start() for m in re.compile(re.escape(separator)).finditer(text, lo, hi)]
-    edges = [lo, *at, hi]
-    return [e for i, e in enumerate(edges) if i == 0 or e != edges[i - 1]]
+def _edges(text: str, lo: int, hi: int, separator: str) -> Iterator[int]:
+    """Ends of the pieces of ``text[lo:hi]``, each separator opening a piece."""
+    at = text.find(separator, lo, hi)
+    while at >= 0:
+        if at > lo:
+            yield at
+        at = text.find(separator, at + len(separator), hi)
+    yield hi
 
 
-def _windows(edges: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Pack the tiling pieces between ``edges`` into overlapping windows."""
-    first = 0
-    for nxt in range(len(edges) - 1):
-        end, after = edges[nxt], edges[nxt + 1]
-        if after - edges[first] > size and first < nxt:
-            yield edges[first], end
-            while first < nxt and (end - edges[first] > overlap or after - edges[first] > size):
-                first += 1
-    if first < len(edges) - 1:
-        yield edges[first], edges[-1]
+def _characters(lo: int, hi: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Windows over single characters, without listing them."""
+    keep = min(overlap, size - 1)
+    while hi - lo > size:
+        yield lo, lo + size
+        lo += size - keep
+    yield lo, hi
 
 
 def _ranges(
     text: str, lo: int, hi: int, separators: tuple[str, ...], size: int, overlap: int
 ) -> Iterator[tuple[int, int]]:
+    """Ranges of the chunks; only the edges of the open window are held."""
     level = next((i for i, s in enumerate(separators) if s == "" or text.find(s, lo, hi) >= 0), len(separators) - 1)
-    finer = separators[level + 1 :]
-    edges = _cuts(text, lo, hi, separators[level])
-    run = [edges[0]]
-    for left, right in zip(edges, edges[1:]):
+    separator, finer = separators[level], separators[level + 1 :]
+    if separator == "":
+        yield from _characters(lo, hi, size, overlap)
+        return
+    window = deque([lo])
+    left = lo
+    for right in _edges(text, lo, hi, separator):
         if right - left < size:
-            run.append(right)
-            continue
-        yield from _windows(run, size, overlap)
-        if finer:
-            yield from _ranges(text, left, right, finer, size, overlap)
+            if right - window[0] > size and len(window) > 1:
+                yield window[0], left
+                while len(window) > 1 and (left - window[0] > overlap or right - window[0] > size):
+                    window.popleft()
+            window.append(right)
         else:
-            yield left, right
-        run = [right]
-    yield from _windows(run, size, overlap)
+            if len(window) > 1:
+                yield window[0], left
+            if finer:
+                yield from _ranges(text, left, right, finer, size, overlap)
+            else:
+                yield left, right
+            window = deque([right])
+        left = right
+    if len(window) > 1:
+        yield window[0], hi
 
 
 def split_text(

@@ -65,15 +65,25 @@ def next_row(df: DataFrame, keys: list[str], order: str, columns: list[str], wid
     """Add ``next_<column>``: values of the following row of the same key.
 
     Inside a bucket this is a window; the last row of a bucket looks up the
-    first row of the key's next nonempty bucket.
+    first row of the key's next nonempty bucket, a side that is cut to one row
+    per bucket before its exchange.
     """
-    bucketed = df.withColumn("_b", _bucket(order, width))
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
-    row = F.struct(*columns)
-    heads = bucketed.groupBy(*keys, "_b").agg(F.min_by(row, F.col(order)).alias("_head"))
-    heads = heads.withColumn("_after", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_b")))
-    joined = bucketed.withColumn("_next", F.lead(row).over(inside)).join(
-        heads.select(*keys, "_b", "_after"), [*keys, "_b"]
+    seen = df.withColumn("_b", _bucket(order, width))
+    heads = seen.withColumn("_at", F.row_number().over(inside)).where(F.col("_at") == 1)
+    heads = heads.select(*keys, "_b", F.struct(*columns).alias("_head"))
+    after = F.lead("_head").over(Window.partitionBy(*keys).orderBy("_b"))
+    heads = heads.select(*keys, "_b", after.alias("_after"))
+    ahead = seen.select(
+        "*",
+        F.lead(F.lit(True)).over(inside).alias("_more"),
+        *[F.lead(c).over(inside).alias(f"_next_{c}") for c in columns],
+    )
+    joined = ahead.join(heads, [*keys, "_b"])
+    return joined.select(
+        *df.columns,
+        *[
+            F.when(F.col("_more"), F.col(f"_next_{c}")).otherwise(F.col("_after")[c]).alias(f"next_{c}")
+            for c in columns
+        ],
     )
-    following = F.coalesce("_next", "_after")
-    return joined.select(*df.columns, *[following[c].alias(f"next_{c}") for c in columns])
