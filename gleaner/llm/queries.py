@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact, mixing, packing, sharding, warc
+from gleaner.llm import exact, minhash, mixing, packing, sharding, warc
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, root: str) -> DataFrame:
+    """Near duplicates over shingles of four words, linked from 0.8 on."""
+    return minhash.groups(_table(spark, root, "documents"), words=4, percent=80).drop("mark")
+
+
 def op4_sharding(spark: SparkSession, root: str) -> DataFrame:
     """Documents in eight shards that each hold the mixture of sources."""
     return sharding.shards(_table(spark, root, "documents"))
@@ -36,7 +41,7 @@ def op10_exact(spark: SparkSession, root: str) -> DataFrame:
     return exact.copies(_table(spark, root, "documents")).drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_mixing, op8_warc, op9_packing, op10_exact)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op4_sharding, op5_mixing, op8_warc, op9_packing, op10_exact)}
 
 ORACLES = {
     "op5_mixing": r"""
