@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact, minhash, mixing, packing, sharding, warc
+from gleaner.llm import exact, minhash, mixing, packing, quality, sharding, warc
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op5_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(_table(spark, root, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of every document by a model of the labelled ones."""
+    return quality.score(_table(spark, root, "documents"), _table(spark, root, "labels")).drop("mark")
+
+
 def op8_warc(spark: SparkSession, root: str) -> DataFrame:
     """Pages written as archives and read back."""
     return warc.round_trip(_table(spark, root, "pages"))
@@ -41,7 +46,7 @@ def op10_exact(spark: SparkSession, root: str) -> DataFrame:
     return exact.copies(_table(spark, root, "documents")).drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op4_sharding, op5_mixing, op8_warc, op9_packing, op10_exact)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op4_sharding, op5_mixing, op6_quality, op8_warc, op9_packing, op10_exact)}
 
 ORACLES = {
     "op5_mixing": r"""
