@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import fresh_dir
+
 #: Rows handed to a Python worker at once. Whole texts may be long, so batches are kept short.
 BATCH_ROWS = 256
 
@@ -36,3 +38,10 @@ def mark(text: str = "text"):
 def word_count(text: str = "text"):
     """Number of runs free of blanks and ASCII line or tab characters; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """As :func:`gleaner.session.stage`, in a denser format for tables that hold texts."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact, minhash, mixing, packing, quality, sharding, warc
+from gleaner.llm import exact, minhash, mixing, packing, quality, sharding, suffixes, warc
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_minhash(spark: SparkSession, root: str) -> DataFrame:
     return minhash.groups(_table(spark, root, "documents"), words=4, percent=80).drop("mark")
 
 
+def op3_suffixes(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that occur again."""
+    return suffixes.remove_repeats(_table(spark, root, "documents"))
+
+
 def op4_sharding(spark: SparkSession, root: str) -> DataFrame:
     """Documents in eight shards that each hold the mixture of sources."""
     return sharding.shards(_table(spark, root, "documents"))
@@ -46,7 +51,7 @@ def op10_exact(spark: SparkSession, root: str) -> DataFrame:
     return exact.copies(_table(spark, root, "documents")).drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op4_sharding, op5_mixing, op6_quality, op8_warc, op9_packing, op10_exact)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_suffixes, op4_sharding, op5_mixing, op6_quality, op8_warc, op9_packing, op10_exact)}
 
 ORACLES = {
     "op5_mixing": r"""
