@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import exact, minhash, mixing, packing, quality, sharding, suffixes, warc
+from gleaner.llm import chat, exact, minhash, mixing, neighbours, packing, quality, sharding, suffixes, warc
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -16,6 +17,11 @@ def op1_minhash(spark: SparkSession, root: str) -> DataFrame:
     return minhash.groups(_table(spark, root, "documents"), words=4, percent=80).drop("mark")
 
 
+def op2_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one."""
+    return neighbours.search(_table(spark, root, "embeddings"), every=100, k=10)
+
+
 def op3_suffixes(spark: SparkSession, root: str) -> DataFrame:
     """Documents without the bytes of 200-byte strings that occur again."""
     return suffixes.remove_repeats(_table(spark, root, "documents"))
@@ -36,6 +42,47 @@ def op6_quality(spark: SparkSession, root: str) -> DataFrame:
     return quality.score(_table(spark, root, "documents"), _table(spark, root, "labels")).drop("mark")
 
 
+#: Tools of the traffic that :func:`tool_traffic` derives.
+TOOLS = {
+    "lookup": {"properties": {"text": {"type": "string"}, "words": {"type": "integer"}, "after": {"type": "string"}}, "required": ["text", "words"]},
+    "count": {"properties": {"words": {"type": "integer"}}, "required": ["words"], "additionalProperties": False},
+}
+
+
+def tool_traffic(chats: DataFrame) -> DataFrame:
+    """The conversations with a tool call before every assistant turn, and its result.
+
+    Turns are spread by ten. Results of some calls stand before them, some are
+    missing; some calls lack an argument, have a wrong type or an unknown tool;
+    those of every fourth turn refer to the call two turns before.
+    """
+    words = F.size(F.split("text", " "))
+    draw = F.crc32(F.concat_ws("-", "conv_id", "turn", "text").cast("binary"))
+    name = F.when(draw % 13 == 0, "guess").when(draw % 2 == 0, "count").otherwise("lookup")
+    call = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn"))
+    after = F.when(F.col("turn") % 4 == 3, F.create_map(F.lit("$ref"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn") - 2)))
+    number = F.when(draw % 7 != 0, words)
+    asked = F.to_json(F.struct(F.array(F.struct(
+        call.alias("id"), name.alias("name"),
+        F.struct(F.when(name != "count", F.substring("text", 1, 40)).alias("text"), number.alias("words"), F.when(name != "count", after).alias("after")).alias("arguments"),
+    )).alias("tool_calls")))
+    given = F.to_json(F.struct(call.alias("tool_call_id"), words.cast("string").alias("content")))
+    turn = F.col("turn") * 10
+    said = chats.filter("role = 'assistant'")
+    return (
+        chats.select("conv_id", turn.alias("turn"), "role", "text")
+        .unionByName(said.select("conv_id", (turn - 5).alias("turn"), "role", asked.alias("text")))
+        .unionByName(
+            said.filter(draw % 11 != 0).select("conv_id", (turn - F.when(draw % 5 == 0, 6).otherwise(4)).alias("turn"), F.lit("tool").alias("role"), given.alias("text"))
+        )
+    )
+
+
+def op7_chat(spark: SparkSession, root: str) -> DataFrame:
+    """Conversations with tool traffic as ordered, validated events."""
+    return chat.format_chats(tool_traffic(_table(spark, root, "conversations")), TOOLS)
+
+
 def op8_warc(spark: SparkSession, root: str) -> DataFrame:
     """Pages written as archives and read back."""
     return warc.round_trip(_table(spark, root, "pages"))
@@ -51,7 +98,7 @@ def op10_exact(spark: SparkSession, root: str) -> DataFrame:
     return exact.copies(_table(spark, root, "documents")).drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op3_suffixes, op4_sharding, op5_mixing, op6_quality, op8_warc, op9_packing, op10_exact)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_suffixes, op4_sharding, op5_mixing, op6_quality, op7_chat, op8_warc, op9_packing, op10_exact)}
 
 ORACLES = {
     "op5_mixing": r"""
