@@ -19,8 +19,10 @@ def test_against_all_pairs(spark, words):
     assert answer(minhash.groups(docs, words)) == near_components([r[:2] for r in rows], words, 80)
 
 
-def test_many_versions_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("together", [8192, 10])
+def test_many_versions_in_small_blocks(spark, monkeypatch, together):
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "TOGETHER", together)
     base = prose(1, 150)
     rows = [(i, edited(base, i, 14 + i % 40)) for i in range(120)]
     rows += [(1000 + i, prose(2, 60) + " " + prose(3000 + i, 40)) for i in range(80)]
