@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("size"),
             F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("stratum"), text_digest.alias("draw"), mark().alias("mark"),
-        ).withColumn("slice", F.substring("draw", 1, 2)),
+        ).withColumn("slice", F.substring("draw", 1, 1)),
         "mix-rows",
     )
     aims = targets(stage(rows.groupBy("stratum").agg(F.sum("size").alias("source_size")), "mix-sizes"), weights, most)
