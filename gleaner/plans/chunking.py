@@ -58,16 +58,18 @@ def page_chunks(documents: DataFrame) -> DataFrame:
 def paged_chunks(pages: DataFrame) -> DataFrame:
     """Chunks of paged documents (``source, page, text``), numbered per source.
 
-    ``(source, page)`` is unique; a document without pages has page NULL.
-    The chunk arrays are staged once; the numbering then reads only
-    (source, page, count), and a source with any share of the pages is cut
-    into page ranges.
+    A document without pages has page NULL. Rows that repeat source and page
+    follow one another in the order of their texts. The chunk arrays are
+    staged once under a row number; the numbering then reads only (source, page,
+    text digest, row, count), and a source with any share of the pages is cut
+    into ranges.
     """
     place = F.coalesce("page", F.lit(-1).cast("bigint")).alias("_place")
-    cut = stage(pages.select("source", "page", place, splitter.chunks("text").alias("_parts")), "pages")
-    counts = cut.select("source", "_place", F.size("_parts").alias("_n"))
-    starts = prefix_sum(counts, ["source"], "_place", "_n", "_first").select("source", "_place", "_first")
-    parts = cut.join(starts, ["source", "_place"]).select(
+    cut = pages.select("source", "page", place, F.md5("text").alias("_digest"), splitter.chunks("text").alias("_parts"))
+    cut = stage(cut.withColumn("_row", F.monotonically_increasing_id()), "pages")
+    counts = cut.select("source", "_place", "_digest", "_row", F.size("_parts").alias("_n"))
+    starts = prefix_sum(counts, ["source"], ["_place", "_digest", "_row"], "_n", "_first").select("_row", "_first")
+    parts = cut.join(starts, "_row").select(
         "source", "page", "_first", F.posexplode("_parts").alias("_i", "_part")
     )
     number = F.col("_first") + F.col("_i")

@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import schemas as S
 
 # --- Fixed values -----------------------------------------------------------
-READ_WORDS = ("select", "with", "values", "describe", "explain", "show")
+# Plans of statements that run something and still only read, by the start of their names.
+READING_COMMANDS = ("Describe", "Show", "Explain")
 # ----------------------------------------------------------------------------
 
-_COMMENTS = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_LITERALS = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", re.S)
-_WRITES = re.compile(r"\b(insert\s+(into|overwrite)|merge\s+into|delete\s+from|update\s+\S+\s+set)\b", re.I)
+_PLANS = "org.apache.spark.sql.catalyst.plans.logical"
 
 
 class ReadOnly(ValueError):
     """The statement is not one that only reads."""
 
 
-def check_read_only(statement: str) -> None:
-    """Accept statements by their leading word; reject a write behind ``WITH``."""
-    bare = _LITERALS.sub("''", _COMMENTS.sub(" ", statement)).strip().lstrip("(").lower()
-    word = re.match(r"[a-z]+", bare)
-    if not word or word.group(0) not in READ_WORDS or _WRITES.search(bare):
-        raise ReadOnly(f"only reading statements run here: {statement.strip()[:60]}")
+def _nodes(plan):
+    """The plan, what stands in its ``WITH`` list, and everything below."""
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+    if plan.getClass().getSimpleName() == "UnresolvedWith":
+        named = plan.cteRelations()
+        for i in range(named.size()):
+            yield from _nodes(named.apply(i)._2())
+
+
+def check_read_only(spark: SparkSession, statement: str) -> None:
+    """Accept what Spark's parser takes for a query or for a describing command; refuse any command or write in it."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except Exception as problem:  # noqa: BLE001
+        raise ReadOnly(f"not a statement: {str(problem).splitlines()[0][:200]}") from None
+    kinds = [spark._jvm.java.lang.Class.forName(f"{_PLANS}.{name}") for name in ("Command", "ParsedStatement")]
+    for node in _nodes(plan):
+        name = node.getClass().getSimpleName()
+        if any(kind.isInstance(node) for kind in kinds) and not name.startswith(READING_COMMANDS):
+            raise ReadOnly(f"only reading statements run here: {statement.strip()[:60]}")
 
 
 def run_sql(spark: SparkSession, statement: str, rows: int | None = S.SQL_ROWS) -> DataFrame:
     """Rows of a reading statement, the first 50 unless told otherwise."""
-    check_read_only(statement)
+    check_read_only(spark, statement)
     result = spark.sql(statement)
     return result if rows is None else result.limit(rows)
 

@@ -38,11 +38,14 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder for staged data.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a fresh temporary folder is taken and remembered in
-    the same setting.
+    and the master is local (tests on one machine) a fresh temporary folder is
+    taken and remembered in the same setting; elsewhere that is an error, since
+    executors do not see each other's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -27,7 +27,7 @@ def hot_rows(spark):
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_prefix_sum(spark, partitions):
     df = hot_rows(spark).repartition(partitions)
-    got = numbering.prefix_sum(df, ["k"], "o", "v", "before", width=64)
+    got = numbering.prefix_sum(df, ["k"], "o", "v", "before")
     want, seen = {}, {}
     for r in sorted(df.collect(), key=lambda r: (r["k"], r["o"])):
         want[r["k"], r["o"]] = seen.get(r["k"], 0)
@@ -36,13 +36,13 @@ def test_prefix_sum(spark, partitions):
 
 
 def test_number_rows_without_key(spark):
-    got = numbering.number_rows(hot_rows(spark), [], "o", "n", width=1000).orderBy("o").collect()
+    got = numbering.number_rows(hot_rows(spark), [], "o", "n").orderBy("o").collect()
     assert [r["n"] for r in got] == list(range(600))
 
 
 def test_next_row_crosses_buckets(spark):
     df = hot_rows(spark)
-    got = {(r["k"], r["o"]): r["next_v"] for r in numbering.next_row(df, ["k"], "o", ["v"], width=512).collect()}
+    got = {(r["k"], r["o"]): r["next_v"] for r in numbering.next_row(df, ["k"], "o", ["v"]).collect()}
     rows = sorted(df.collect(), key=lambda r: (r["k"], r["o"]))
     want = {
         (a["k"], a["o"]): (b["v"] if b is not None and b["k"] == a["k"] else None) for a, b in zip(rows, [*rows[1:], None])
@@ -230,14 +230,14 @@ def test_stats_of_absent_collections(spark):
 
 
 @pytest.mark.parametrize("statement", ["select 1", "WITH x AS (SELECT 1) SELECT * FROM x", "VALUES (1)", "-- c\nSELECT 'insert into t'", "(select 1)", "SHOW TABLES", "EXPLAIN SELECT 1"])
-def test_reading_statements(statement):
-    check_read_only(statement)
+def test_reading_statements(spark, statement):
+    check_read_only(spark, statement)
 
 
-@pytest.mark.parametrize("statement", ["insert into t values (1)", "DROP TABLE t", "with x as (select 1) insert into t select * from x", "update t set a = 1", "delete from t", "", "/* select */ create table t (a int)"])
-def test_writing_statements(statement):
+@pytest.mark.parametrize("statement", ["insert into t values (1)", "DROP TABLE t", "with x as (select 1) insert into t select * from x", "update t set a = 1", "delete from t", "", "/* select */ create table t (a int)", "with c as (select 1) update t as x set a = 1", "merge into t using s on t.a = s.a when matched then delete", "from s insert into t select *", "set a = 1", "cache table t", "select 1; drop table t"])
+def test_writing_statements(spark, statement):
     with pytest.raises(ReadOnly):
-        check_read_only(statement)
+        check_read_only(spark, statement)
 
 
 def test_sql_cap_and_error(spark):
