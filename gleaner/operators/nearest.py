@@ -5,9 +5,10 @@ every task as one matrix. Chunks are never shuffled and no (question, chunk)
 pair ever becomes a row: each task streams its chunk batches through a matrix
 product and keeps the best ``k`` per question, and only those survivors are
 exchanged for the final ranking. A question set beyond the bound is cut into
-blocks by hash, one pass per block.
+blocks by hash, and one scan serves several blocks.
 
-Distances are rounded to nine places before ranking, so that equal vectors tie
+Vectors with a null or non-finite element take no part; questions meet the
+chunks of their own width. Distances are rounded to nine places before ranking, so that equal vectors tie
 whatever order the sums ran in; ties go by collection order, then id.
 """
 
@@ -24,10 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner import schemas as S
+from gleaner.functions import text as X
+from gleaner.operators.upsert import broadcast_if_small
 from gleaner.session import stage
 
 BLOCK_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
+BLOCKS_PER_SCAN = 4
+# From so many tasks on, their rows are cut once more before a question's rows meet.
+MANY_TASKS, MERGES = 512, 64
 CELLS = 4_000_000
 PLACES = 9
 SLACK = 1e-8
@@ -55,32 +61,25 @@ class _Best:
         self.questions = questions
         self.squares = (questions**2).sum(axis=1)
         self.k = k
-        self.kept: dict[tuple[int, str], list[tuple]] = {}
-
-    def limit(self, asked: np.ndarray, slot: str) -> np.ndarray:
-        """Distance of the current k-th row of each asked question."""
-        out = np.full(len(asked), np.inf)
-        for i, q in enumerate(asked):
-            rows = self.kept.get((int(q), slot))
-            if rows is not None and len(rows) == self.k:
-                out[i] = rows[-1][0]
-        return out
-
-    def offer(self, asked, vectors, ranks, names, ids, slot="", allowed=None) -> None:
+        self.kept: dict[int, list[tuple]] = {}
+        # Distance of the current k-th row of each question.
+        self.limits = np.full(len(questions), np.inf)
+
+    def offer(self, asked, vectors, ranks, names, ids, sources, allowed=None) -> None:
         """Offer a batch of rows to the asked questions."""
         step = max(1, CELLS // max(1, len(asked)))
         for lo in range(0, len(vectors), step):
             part = slice(lo, lo + step)
             mask = None if allowed is None else allowed[:, part]
-            self._offer(asked, vectors[part], ranks[part], names[part], ids[part], slot, mask)
+            self._offer(asked, vectors[part], ranks[part], names[part], ids[part], sources[part], mask)
 
-    def _offer(self, asked, vectors, ranks, names, ids, slot, mask) -> None:
+    def _offer(self, asked, vectors, ranks, names, ids, sources, mask) -> None:
         rows = (vectors**2).sum(axis=1)
         about = rows[None, :] + self.squares[asked][:, None] - 2.0 * (self.questions[asked] @ vectors.T)
         if mask is not None:
             about = np.where(mask, about, np.inf)
         slack = SLACK * (1.0 + rows.max(initial=0.0) + self.squares[asked])
-        bound = self.limit(asked, slot)
+        bound = self.limits[asked]
         if vectors.shape[0] > self.k:
             bound = np.minimum(bound, np.partition(about, self.k - 1, axis=1)[:, self.k - 1])
         bound = bound + slack
@@ -92,117 +91,112 @@ class _Best:
             # Rows come in tie order, so a stable sort settles any number of equal distances.
             first = np.argsort(exact, kind="stable")[: self.k]
             found = [
-                (float(exact[f]), int(ranks[r]), ids[int(r)].as_py(), names[int(r)].as_py())
+                (float(exact[f]), int(ranks[r]), ids[int(r)].as_py() or "", names[int(r)].as_py(), sources[int(r)].as_py())
                 for f, r in zip(first, near[first])
             ]
-            key = (question, slot)
-            self.kept[key] = sorted(self.kept.get(key, []) + found)[: self.k]
+            kept = sorted(self.kept.get(question, []) + found, key=lambda row: row[:3])[: self.k]
+            self.kept[question] = kept
+            if len(kept) == self.k:
+                self.limits[question] = kept[-1][0]
 
 
-def _groups(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Row positions of each distinct value combination of a batch."""
-    codes = np.zeros(batch.num_rows, dtype=np.int64)
-    values = []
-    for name in by:
-        encoded = batch.column(name).dictionary_encode()
-        values.append(encoded.dictionary.to_pylist())
-        codes = codes * (len(values[-1]) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(codes, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
-    for rows in np.split(order, starts[1:]):
-        yield tuple(batch.column(name)[int(rows[0])].as_py() for name in by), rows
+def _widths(column: pa.Array) -> np.ndarray:
+    """Length of each vector; 0 for one that is null or holds a null or non-finite element."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    bad = np.flatnonzero(~np.isfinite(flat))
+    if len(bad):
+        lengths[np.searchsorted(np.cumsum(lengths), bad, side="right")] = 0
+    return lengths
 
 
-def _scanner(shared, k: int, by_source: bool, hashed: bool):
+def _scanner(blocks, k: int, hashed: bool):
     """Batch function: chunk rows in, the task's best rows per question out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = shared.value
-        best = _Best(probe["vectors"], k)
-        everyone = np.arange(len(probe["vectors"]))
+        probes = [shared.value for shared in blocks]
+        bests = [{width: _Best(own["vectors"], k) for width, own in probe.items()} for probe in probes]
         for batch in batches:
-            # Checked here: a filter on a computed vector would compute it twice.
-            fits = pc.equal(pc.list_value_length(batch.column("embedding")), probe["vectors"].shape[1])
-            batch = batch.filter(pc.fill_null(fits, False))
-            if not batch.num_rows:
-                continue
             # Collection order, then id: the order equal distances are settled in.
             batch = batch.take(pc.sort_indices(batch, [("_rank", "ascending"), ("id", "ascending")]))
-            vectors = _matrix(batch.column("embedding"))
-            ranks = batch.column("_rank").to_numpy(zero_copy_only=False)
-            names, ids = batch.column("collection"), batch.column("id")
-            if by_source:
-                for (source, name), rows in _groups(batch, ["source", "collection"]):
-                    asked = probe["by_source"].get(source)
-                    if asked is not None:
-                        take = pa.array(rows)
-                        best.offer(asked, vectors[rows], ranks[rows], names.take(take), ids.take(take), slot=name)
-            elif hashed:
-                cells = _matrix(batch.column("_cells"))
-                # Rows no question shares a cell with are gone before any distance.
-                used = [np.isin(cells[:, t], probe["cells"][:, t]) for t in range(cells.shape[1])]
-                rows = np.flatnonzero(np.any(used, axis=0))
-                step = max(1, CELLS // probe["cells"].size)
-                for lo in range(0, len(rows), step):
-                    part = rows[lo : lo + step]
-                    allowed = (probe["cells"][:, None, :] == cells[None, part, :]).any(axis=2)
-                    take = pa.array(part)
-                    best.offer(
-                        everyone, vectors[part], ranks[part], names.take(take), ids.take(take), allowed=allowed
-                    )
-            else:
-                best.offer(everyone, vectors, ranks, names, ids)
-        question, rows = [], []
-        for (q, _slot), kept in best.kept.items():
-            question.extend([q] * len(kept))
-            rows.extend(kept)
-        yield pa.RecordBatch.from_arrays(
-            [
-                probe["qid"].take(pa.array(question, pa.int64())),
-                pa.array([r[3] for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.string()),
-                pa.array([r[0] for r in rows], pa.float64()),
-                pa.array([r[1] for r in rows], pa.int32()),
-            ],
-            names=["qid", "collection", "id", "distance", "_rank"],
-        )
+            widths = _widths(batch.column("embedding"))
+            for width in sorted({width for probe in probes for width in probe} & set(widths.tolist())):
+                rows = batch.take(pa.array(np.flatnonzero(widths == width)))
+                vectors = _matrix(rows.column("embedding"))
+                ranks = rows.column("_rank").to_numpy(zero_copy_only=False)
+                named = [rows.column(c) for c in ("collection", "id", "source")]
+                cells = _matrix(rows.column("_cells")) if hashed else None
+                for probe, best in zip(probes, bests):
+                    if width not in probe:
+                        continue
+                    own, everyone = probe[width], np.arange(len(probe[width]["vectors"]))
+                    if not hashed:
+                        best[width].offer(everyone, vectors, ranks, *named)
+                        continue
+                    # Rows no question shares a cell with are gone before any distance.
+                    used = [np.isin(cells[:, t], own["cells"][:, t]) for t in range(cells.shape[1])]
+                    near = np.flatnonzero(np.any(used, axis=0))
+                    step = max(1, CELLS // own["cells"].size)
+                    for lo in range(0, len(near), step):
+                        part = near[lo : lo + step]
+                        allowed = (own["cells"][:, None, :] == cells[None, part, :]).any(axis=2)
+                        take = [c.take(pa.array(part)) for c in named]
+                        best[width].offer(everyone, vectors[part], ranks[part], *take, allowed=allowed)
+        for probe, best in zip(probes, bests):
+            for width, own in probe.items():
+                question, rows = [], []
+                for q, kept in best[width].kept.items():
+                    question.extend([q] * len(kept))
+                    rows.extend(kept)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        own["qid"].take(pa.array(question, pa.int64())),
+                        pa.array([r[3] for r in rows], pa.string()),
+                        pa.array([r[2] for r in rows], pa.string()),
+                        pa.array([r[4] for r in rows], pa.string()),
+                        pa.array([r[0] for r in rows], pa.float64()),
+                        pa.array([r[1] for r in rows], pa.int32()),
+                    ],
+                    names=["qid", "collection", "id", "source", "distance", "_rank"],
+                )
 
     return scan
 
 
-def _width(block: pa.Table) -> int:
-    """Length of the question vectors."""
-    return len(block.column("vector")[0]) if block.num_rows else 0
+def _probe(block: pa.Table, cells: bool) -> dict[int, dict]:
+    """Questions of a block by the width of their vectors; unusable vectors are left out."""
+    vectors = block.column("vector").combine_chunks()
+    widths = _widths(vectors)
+    out = {}
+    for width in sorted(set(widths.tolist()) - {0}):
+        rows = pa.array(np.flatnonzero(widths == width))
+        out[width] = {"qid": block.column("qid").combine_chunks().take(rows), "vectors": _matrix(vectors.take(rows))}
+        if cells:
+            out[width]["cells"] = _matrix(block.column("_cells").combine_chunks().take(rows))
+    return out
 
 
 def _blocks(probes: DataFrame) -> Iterator[pa.Table]:
     """The questions in blocks of bounded size."""
     head = probes.limit(BLOCK_ROWS + 1).toArrow()
-    bound = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(_width(head), 1))))
+    widest = max(_widths(head.column("vector").combine_chunks()).tolist(), default=1) if head.num_rows else 1
+    bound = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(widest, 1))))
     if head.num_rows <= bound:
         yield head
         return
     passes = math.ceil(1.5 * probes.count() / bound)
-    keys = [c for c in probes.columns if c in ("qid", "source")]
     for i in range(passes):
-        yield probes.where(F.pmod(F.xxhash64(*keys), F.lit(passes)) == i).toArrow()
+        yield probes.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i).toArrow()
 
 
 def _survivors(
-    chunks: DataFrame,
-    probes: DataFrame,
-    k: int,
-    order: tuple[str, ...],
-    by_source: bool = False,
-    cells: bool = False,
-    tasks: int | None = None,
+    chunks: DataFrame, probes: DataFrame, k: int, order: tuple[str, ...], cells: bool = False, tasks: int | None = None
 ) -> tuple[DataFrame, int]:
-    """Best rows of every task, and the number of passes taken."""
+    """Best rows of every task, and the number of question blocks."""
     spark = chunks.sparkSession
     probes = probes.where(F.col("vector").isNotNull())
-    columns = ["collection", "id", "embedding", *(["source"] if by_source else []), *(["_cells"] if cells else [])]
-    rows = chunks.where(F.col("source").isNotNull()) if by_source else chunks
-    rows = rows.select(*columns, collection_rank(order).alias("_rank"))
+    columns = ["collection", "id", "source", "embedding", *(["_cells"] if cells else [])]
+    rows = chunks.select(*columns, collection_rank(order).alias("_rank"))
     if tasks:
         rows = rows.coalesce(tasks)
     schema = T.StructType(
@@ -210,30 +204,21 @@ def _survivors(
             T.StructField("qid", probes.schema["qid"].dataType),
             T.StructField("collection", T.StringType()),
             T.StructField("id", T.StringType()),
+            T.StructField("source", T.StringType()),
             T.StructField("distance", T.DoubleType()),
             T.StructField("_rank", T.IntegerType()),
         ]
     )
-    passes = []
-    for block in _blocks(probes):
-        if not block.num_rows:
-            continue
-        probe = {"qid": block.column("qid").combine_chunks(), "vectors": _matrix(block.column("vector"))}
-        if by_source:
-            asked: dict[str, list[int]] = {}
-            for i, source in enumerate(block.column("source").to_pylist()):
-                asked.setdefault(source, []).append(i)
-            probe["by_source"] = {s: np.array(i) for s, i in asked.items()}
-        if cells:
-            probe["cells"] = _matrix(block.column("_cells"))
-        shared = spark.sparkContext.broadcast(probe)
-        passes.append(rows.mapInArrow(_scanner(shared, k, by_source, cells), schema))
-    if not passes:
+    shared = [spark.sparkContext.broadcast(_probe(block, cells)) for block in _blocks(probes) if block.num_rows]
+    if not shared:
         return spark.createDataFrame([], schema), 0
-    out = passes[0]
-    for other in passes[1:]:
-        out = out.unionByName(other)
-    return out, len(passes)
+    out = None
+    for first in range(0, len(shared), BLOCKS_PER_SCAN):
+        scanned = rows.mapInArrow(_scanner(shared[first : first + BLOCKS_PER_SCAN], k, cells), schema)
+        out = scanned if out is None else out.unionByName(scanned)
+    if out.rdd.getNumPartitions() > MANY_TASKS:
+        out = _ranked(out.withColumn("_merge", F.spark_partition_id() % MERGES), ["qid", "_merge"], k, "_first").drop("_merge", "_first")
+    return out, len(shared)
 
 
 def _ranked(rows: DataFrame, keys: list[str], k: int, out: str) -> DataFrame:
@@ -242,10 +227,12 @@ def _ranked(rows: DataFrame, keys: list[str], k: int, out: str) -> DataFrame:
 
 
 def _with_text(winners: DataFrame, chunks: DataFrame, passes: int) -> DataFrame:
-    """Source and text for the winners only."""
+    """Text for the winners only. One id may stand under several sources, so the source is part of the key."""
     # One block has at most BLOCK_ROWS questions, hence BLOCK_ROWS x k winners.
     small = F.broadcast(winners) if passes <= 1 else winners
-    return chunks.select("collection", "id", "source", "document").join(small, ["collection", "id"])
+    texts = chunks.select(*[F.col(c).alias(f"_{c}") for c in ("collection", "id", "source")], "document")
+    same = (small["collection"] == texts["_collection"]) & (small["id"] == texts["_id"]) & small["source"].eqNullSafe(texts["_source"])
+    return texts.join(small, same).drop("_collection", "_id", "_source")
 
 
 def nearest(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K, tasks: int | None = None) -> DataFrame:
@@ -264,20 +251,35 @@ def nearest(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K, tasks: in
     )
 
 
-def nearest_in_source(
-    chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS, tasks: int | None = None
-) -> DataFrame:
+def nearest_in_source(chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS, buckets: int | None = None) -> DataFrame:
     """The ``n`` nearest chunks within the asked source.
 
     ``probes`` has ``qid``, ``source`` and ``vector``. Per collection the best
     ``max(n, 5)`` are fetched, blank texts dropped after that, the rest merged.
+    An equi-join on the source: with ``buckets``, the number of hash buckets of
+    a stored chunk table, only the buckets of the asked sources are read.
     """
     fetch = max(n, S.SNIPPET_FETCH)
-    wanted = probes.select("qid", "source", "vector")
-    rows, passes = _survivors(chunks, wanted, fetch, S.SNIPPET_ORDER, by_source=True, tasks=tasks)
-    fetched = _ranked(rows, ["qid", "collection"], fetch, "_fetched").drop("_fetched")
-    texts = _with_text(fetched, chunks, passes).where(F.trim("document") != "")
-    return _ranked(texts, ["qid"], n, "snippet_no").select(
+    wanted = probes.where(F.col("vector").isNotNull() & F.col("source").isNotNull())
+    wanted = wanted.select("qid", F.col("source").alias("_source"), F.col("vector").cast("array<double>").alias("vector"))
+    keys = chunks["source"] == F.col("_source")
+    if buckets:
+        wanted = wanted.withColumn("_bucket", F.pmod(F.xxhash64("_source"), F.lit(buckets)).cast("int"))
+        keys = keys & (chunks["bucket"] == F.col("_bucket"))
+    met = chunks.join(broadcast_if_small(wanted), keys).where(F.size("embedding") == F.size("vector"))
+    gap = F.zip_with(F.col("embedding").cast("array<double>"), "vector", lambda a, b: (a - b) * (a - b))
+    distance = F.round(F.aggregate(gap, F.lit(0.0), lambda total, x: total + x), PLACES)
+    scored = met.select("qid", "source", "collection", "id", distance.alias("distance"), collection_rank(S.SNIPPET_ORDER).alias("_rank"))
+    scored = scored.where(F.col("distance").isNotNull() & ~F.isnan("distance") & (F.col("distance") < float("inf")))
+    fetched = _ranked(scored, ["qid", "collection"], fetch, "_fetched").drop("_fetched")
+    texts = chunks
+    if buckets:
+        fetched = fetched.withColumn("_bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
+        asked = broadcast_if_small(wanted.select("_bucket").distinct())
+        texts = chunks.join(asked, chunks["bucket"] == asked["_bucket"], "left_semi")
+        fetched = fetched.drop("_bucket")
+    found = _with_text(fetched, texts, 2).where(X.strip("document") != "")
+    return _ranked(found, ["qid"], n, "snippet_no").select(
         "qid", "source", "snippet_no", "collection", "id", "document", "distance"
     )
 

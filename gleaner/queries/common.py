@@ -64,11 +64,27 @@ def vector_corpus(spark: SparkSession, root: str) -> DataFrame:
         nth(S.RETRIEVAL_ORDER, F.col("label") % 4).alias("collection"),
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id"),
         F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce("text", F.lit("")).alias("document"),
+        F.when(F.col("vec_id") % 40 == 3, F.lit(" \t\n")).otherwise(F.coalesce("text", F.lit(""))).alias("document"),
         F.col("embedding"),
     )
 
 
+def with_odd_vectors(corpus: DataFrame) -> DataFrame:
+    """Chunks that can answer nothing beside the good ones: a NaN, a NULL, an infinite element, another width, none."""
+    first = F.col("embedding")[0]
+    kinds = {
+        "nan": F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x)),
+        "null": F.transform("embedding", lambda x, i: F.when(i == 5, None).otherwise(x)),
+        "inf": F.transform("embedding", lambda x, i: F.when(i == 0, F.lit(float("inf"))).otherwise(x)),
+        "short": F.slice("embedding", 1, 10), "empty": F.slice("embedding", 1, 0), "none": F.when(first.isNull(), F.col("embedding")),
+    }
+    type_ = corpus.schema["embedding"].dataType
+    odd = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast(type_).alias("e")) for k, v in kinds.items()]))
+    rows = corpus.select("collection", "id", "source", "document", odd.alias("_odd"))
+    rows = rows.select("collection", F.concat("id", F.lit("-"), "_odd.kind").alias("id"), "source", "document", F.col("_odd.e").alias("embedding"))
+    return corpus.unionByName(rows)
+
+
 def label_questions(spark: SparkSession, root: str) -> DataFrame:
     """One question per label: the mean of its vectors."""
     cells = load(spark, root, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
@@ -84,7 +100,8 @@ def label_questions(spark: SparkSession, root: str) -> DataFrame:
 VECTOR_CORPUS_SQL = f"""
 corpus AS MATERIALIZED (
   SELECT {case_of('e.label % 4', S.RETRIEVAL_ORDER)} AS collection, 'v' || e.vec_id AS id,
-         coalesce(d.source, '') AS source, coalesce(d.text, '') AS document, e.embedding::DOUBLE[] AS vec
+         coalesce(d.source, '') AS source,
+         CASE WHEN e.vec_id % 40 = 3 THEN ' ' || chr(9) || chr(10) ELSE coalesce(d.text, '') END AS document, e.embedding::DOUBLE[] AS vec
   FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id
 )"""
 LABEL_QUESTIONS_SQL = """

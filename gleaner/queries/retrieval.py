@@ -28,6 +28,7 @@ from gleaner.queries.common import (
     strip_sql,
     text_corpus,
     vector_corpus,
+    with_odd_vectors,
 )
 
 WIDE = S.TOP_K * S.WIDEN
@@ -41,7 +42,7 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def retrieve_topk(spark, root):
-    return _hits(nearest(vector_corpus(spark, root), label_questions(spark, root)))
+    return _hits(nearest(with_odd_vectors(vector_corpus(spark, root)), label_questions(spark, root)))
 
 
 def retrieve_text(spark, root):
@@ -105,7 +106,7 @@ def _source_probes(spark, root):
 
 def snippets_for_source(spark, root):
     corpus, probes = _source_probes(spark, root)
-    found = nearest_in_source(corpus, probes)
+    found = nearest_in_source(with_odd_vectors(corpus), probes)
     return found.select(
         "qid", "source", F.col("snippet_no").cast("bigint").alias("snippet_no"), "collection", "id",
         F.round("distance", 6).alias("distance"),
@@ -343,7 +344,7 @@ fetched AS (
 ),
 snips AS (
   SELECT *, row_number() OVER (PARTITION BY answer_id, slot ORDER BY distance, crank, id) AS snippet_no
-  FROM fetched WHERE trim(document) <> '' QUALIFY snippet_no <= {S.SNIPPETS}
+  FROM fetched WHERE {strip_sql('document')} <> '' QUALIFY snippet_no <= {S.SNIPPETS}
 )"""
 
 
@@ -411,7 +412,7 @@ fetched AS (
 ),
 snips AS (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, crank, id) AS snippet_no
-  FROM fetched WHERE trim(document) <> '' QUALIFY snippet_no <= {S.SNIPPETS}
+  FROM fetched WHERE {strip_sql('document')} <> '' QUALIFY snippet_no <= {S.SNIPPETS}
 )
 SELECT qid, source, snippet_no, collection, id, round(distance, 6) AS distance FROM snips""",
     "direct_image_answer": f"""WITH {hashed_sql("corpus", "SELECT o_orderkey, " + INVOICE_SQL + " AS t FROM orders", "o_orderkey", "t")},

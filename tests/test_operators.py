@@ -106,11 +106,12 @@ def test_best_takes_small_steps(monkeypatch):
     vectors, asked = rng.normal(size=(50, 4)), rng.normal(size=(3, 4))
     ids = pa.array([f"{i:03d}" for i in range(50)])
     names = pa.array(["c"] * 50)
+    sources = pa.array(["s"] * 50)
     kept = []
     for cells in (10, 10**6):
         monkeypatch.setattr(N, "CELLS", cells)
         best = N._Best(asked, 5)
-        best.offer(np.arange(3), vectors, np.zeros(50, int), names, ids)
+        best.offer(np.arange(3), vectors, np.zeros(50, int), names, ids, sources)
         kept.append(best.kept)
     assert kept[0] == kept[1]
 
