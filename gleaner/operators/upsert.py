@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from gleaner import schemas as S
 from gleaner.functions.embedding import Embedder
@@ -70,7 +70,9 @@ class ChunkTable:
     A batch rewrites only the partitions its sources fall into: the merged
     partitions are staged in the shared folder, then swapped in by a dynamic
     partition overwrite, so a lost executor or a retried task cannot leave a
-    half-written partition behind.
+    half-written partition behind. An id stands once in a collection: ids that
+    come back under another source are looked up in all buckets of the
+    collection, by a scan of the id column alone.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = SOURCE_BUCKETS):
@@ -79,19 +81,29 @@ class ChunkTable:
         self.buckets = buckets
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.parquet(self.path).select(*S.CHUNK.fieldNames(), "bucket")
-        except AnalysisException:
+        """All stored chunks; an absent table reads as empty, any other trouble is an error."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
             return self.spark.createDataFrame([], S.CHUNK).withColumn("bucket", F.lit(0))
+        schema = T.StructType([*S.CHUNK.fields, T.StructField("bucket", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path).select(*S.CHUNK.fieldNames(), "bucket")
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         bucket = F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")
         return df.select(*S.CHUNK.fieldNames()).withColumn("bucket", bucket)
 
+    def _same_ids(self, incoming: DataFrame) -> DataFrame:
+        """``collection, id, bucket`` of the stored chunks whose id the batch holds."""
+        names = [r[0] for r in incoming.select("collection").distinct().collect()]
+        wanted = broadcast_if_small(incoming.select("collection", "id").distinct())
+        stored = self.read().where(F.col("collection").isin(*names)).select("collection", "id", "bucket")
+        return stored.join(wanted, ["collection", "id"], "left_semi")
+
     def _touched(self, incoming: DataFrame) -> DataFrame:
-        """Stored rows of the partitions the batch falls into (a pruned scan)."""
+        """Stored rows of the partitions the batch falls into or takes an id from (a pruned scan)."""
         # At most collections x buckets rows come back.
-        pairs = incoming.select("collection", "bucket").distinct().collect()
+        own = incoming.select("collection", "bucket")
+        pairs = own.unionByName(self._same_ids(incoming).select("collection", "bucket")).distinct().collect()
         hit = F.lit(False)
         for name in sorted({p["collection"] for p in pairs}):
             buckets = sorted(p["bucket"] for p in pairs if p["collection"] == name)
@@ -116,10 +128,10 @@ class ChunkTable:
     def upsert(self, chunks: DataFrame, keep_stale: bool = False) -> int:
         """Write a batch; returns the number of chunks in it."""
         incoming = stage(self._bucketed(chunks), "incoming")
-        key = ["collection", "id"] if keep_stale else ["collection", "source"]
         fresh = last_write(incoming, ["collection", "id"], ["chunk_no"])
-        replaced = broadcast_if_small(incoming.select(*key).distinct())
-        kept = self._touched(incoming).join(replaced, key, "left_anti")
+        kept = self._touched(incoming)
+        for key in [["collection", "id"]] + ([] if keep_stale else [["collection", "source"]]):
+            kept = kept.join(broadcast_if_small(incoming.select(*key).distinct()), key, "left_anti")
         merged = stage(kept.select(*incoming.columns).unionByName(fresh), "merged")
         self._write(merged, "overwrite")
         return fresh.count()
@@ -127,9 +139,7 @@ class ChunkTable:
     def add_new(self, chunks: DataFrame, embed: Embedder) -> int:
         """Embed and append only chunks whose id is not stored yet."""
         incoming = stage(last_write(self._bucketed(chunks), ["collection", "id"], ["chunk_no"]), "incoming")
-        wanted = broadcast_if_small(incoming.select("collection", "id"))
-        stored = self._touched(incoming).select("collection", "id").join(wanted, ["collection", "id"], "left_semi")
-        fresh = embed(insert_new(stored, incoming, ["collection", "id"]), "document", "embedding")
+        fresh = embed(insert_new(self._same_ids(incoming), incoming, ["collection", "id"]), "document", "embedding")
         fresh = stage(fresh.select(*incoming.columns), "fresh")
         self._write(fresh, "append")
         return fresh.count()

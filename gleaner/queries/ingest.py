@@ -116,7 +116,7 @@ def chunk_lookup(spark, root):
 
 def chunk_table_upsert(spark, root):
     """The stored chunk table: create, replace the sources of one language's
-    documents by their first words, add new ids only."""
+    documents by their first words, add new ids only, move ids to other sources."""
     docs = load(spark, root, "documents")
 
     def rows(df, text, prefix):
@@ -133,6 +133,11 @@ def chunk_table_upsert(spark, root):
     store.upsert(chunking.conform(rows(french.where(F.col("n_chars") > 500), F.lit("rewritten"), "d")))
     mixed = rows(docs, F.lit("new"), "d").unionByName(rows(french, F.lit("extra"), "x"))
     store.add_new(chunking.conform(mixed), lambda df, text, out: df)
+    # Some ids move to another source; then none of them is new under a third one.
+    moved = rows(docs.where(F.col("doc_id") % 10 == 7), F.lit("moved"), "d")
+    place = F.concat(F.lit("moved/"), (F.col("chunk_no") % 50).cast("string"))
+    store.upsert(chunking.conform(moved.withColumn("source", place)), keep_stale=True)
+    store.add_new(chunking.conform(moved.withColumn("source", F.lit("third"))), lambda df, text, out: df)
     return store.read().select("collection", "id", "source", "document")
 
 
@@ -540,10 +545,12 @@ old AS (
   UNION ALL
   SELECT collection, 'd' || doc_id, src, 'rewritten' FROM base WHERE lang = 'fr' AND n_chars > 500
 )
-SELECT * FROM old
+SELECT * FROM old WHERE substr(id, 2)::BIGINT % 10 <> 7
+UNION ALL
+SELECT collection, 'd' || doc_id, 'moved/' || (doc_id % 50), 'moved' FROM base WHERE doc_id % 10 = 7
 UNION ALL
 SELECT collection, 'd' || doc_id, src, 'new' FROM base
-WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.collection = base.collection AND old.id = 'd' || doc_id)
+WHERE doc_id % 10 <> 7 AND NOT EXISTS (SELECT 1 FROM old WHERE old.collection = base.collection AND old.id = 'd' || doc_id)
 UNION ALL
 SELECT collection, 'x' || doc_id, src, 'extra' FROM base WHERE lang = 'fr'""",
     "csv_roundtrip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, "
