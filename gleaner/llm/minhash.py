@@ -4,11 +4,11 @@ A document's sketch is the ``KEPT`` smallest hashes of its shingle set. Sets tha
 are equal meet by digest first and go on as one. Retained values form inverted
 lists. Two sets of the wanted similarity share most retained values, so a set only
 enters the lists of its rarest ones (as many as it could lack, and one more), and
-the lists of very common values stay short. In a list, first everyone is held
-against the list's first set; what is in one component by then needs no further
-comparison. The rest of a list is compared in blocks of sketches: the retained values
-two sets share estimate their similarity over the sketch of their union, and only
-pairs above the margin leave the task. Every link is confirmed on the full sets.
+the lists of very common values stay short: only a set that consists of such values for
+the greater part is in them. Sets that lists connect are compared in blocks of bounded
+size: the values that two sketches share estimate the similarity over the sketch of the
+union, and pairs above the margin are confirmed on the full sets. A task passes on only as many
+links as join what belongs together, so the links do not grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import mark, short_batches
+from gleaner.llm.common import mark, maybe_broadcast, short_batches, stored
 from gleaner.llm.components import components
 from gleaner.llm.exact import without
 from gleaner.llm.words import shingle_sets
@@ -31,8 +31,8 @@ from gleaner.session import stage
 #: at 0.8 the chance to share fewer than half of 64 retained values is below one in ten million.
 KEPT, MARGIN = 64, 0.3
 
-#: Sketches of a block.
-BLOCK = 512
+#: Sets of a block, and most sets that are compared together because lists connect them.
+BLOCK, TOGETHER = 512, 8_192
 
 
 def _sketches(words: int, kept: int):
@@ -71,70 +71,97 @@ def least_shared(percent: int, kept: int):
     return F.when(F.col("n") <= kept, F.ceil(F.col("n") * max(2 - 1 / t, 0.0) - 1e-9)).otherwise(F.lit(int(kept * max(t - MARGIN, 0.1)))).cast("int")
 
 
-def _pairs_in_blocks(percent: int, kept: int):
-    """Arrow function over rows sorted by list and block pair: pairs of different labels whose sketches agree enough."""
-    ratio, margin = percent / 100, max(percent / 100 - MARGIN, 0.1)
+def _table(sets: list[np.ndarray], columns: int) -> Iterator[np.ndarray]:
+    """0/1 tables of the sets over the values that more than one holds, a bounded number of columns at a time."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)
+    column = np.full(len(count), -1)
+    column[often] = np.arange(len(often))
+    place = column[at]
+    for first in range(0, len(often), columns):
+        own = (place >= first) & (place < first + columns)
+        table = np.zeros((len(sets), min(columns, len(often) - first)), np.float32)
+        table[owner[own], place[own] - first] = 1
+        yield table
 
-    def survivors(rows: list[tuple]) -> list[tuple[int, int]]:
+
+def _shared(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Number of common values of every two sets."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for table in _table(sets, columns):
+        out += table @ table.T
+    return out
+
+
+def linked_pairs(full: list[np.ndarray], block: np.ndarray, percent: int, kept: int) -> list[tuple[int, int]]:
+    """Links between rows of a block (or of two, then only across), as few as join what belongs together.
+
+    The overlap of two sketches below the smaller of their largest values
+    estimates the similarity; pairs above the margin are confirmed on the full sets.
+    """
+    margin = max(percent / 100 - MARGIN, 0.1)
+    size = np.array([len(s) for s in full], np.float64)
+    sketch = [s[:kept] for s in full]
+    last = np.array([s[-1] if len(f) > kept else np.uint64(2**64 - 1) for s, f in zip(sketch, full)], np.uint64)
+    below = np.stack([np.searchsorted(s, last, side="right") for s in sketch]).astype(np.float32)
+    shared = _shared(sketch)
+    good = shared >= margin * (below + below.T - shared) - 1e-3
+    good &= np.minimum.outer(size, size) * 100 >= percent * np.maximum.outer(size, size)
+    if block.min() != block.max():
+        good &= block[:, None] != block[None, :]
+    one, two = np.nonzero(np.triu(good, 1))
+    if not len(one):
+        return []
+    rows = np.unique(np.concatenate([one, two]))
+    place = np.full(len(full), -1)
+    place[rows] = np.arange(len(rows))
+    both = _shared([full[i] for i in rows])[place[one], place[two]].astype(np.int64)
+    sure = both * 100 >= percent * (size[one] + size[two] - both)
+    parent = list(range(len(full)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(one[sure].tolist(), two[sure].tolist()):
+        a, b = root(i), root(j)
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
+
+
+def _links_in_blocks(percent: int, kept: int):
+    """Arrow function over rows sorted by group and block pair: confirmed links."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
         number = np.array([r[0] for r in rows], np.int64)
-        size = np.array([r[1] for r in rows], np.float64)
-        label = np.array([r[2] for r in rows], np.int64)
-        block = np.array([r[3] for r in rows], np.int32)
-        head = np.array([r[4] for r in rows], bool)
-        flat = np.concatenate([np.asarray(r[5], np.int64) for r in rows])
-        owner = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
-        values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-        often = np.flatnonzero(count > 1)
-        column = np.full(len(values), -1)
-        column[often] = np.arange(len(often))
-        held = column[at] >= 0
-        table = np.zeros((len(rows), len(often)), np.float32)
-        table[owner[held], column[at[held]]] = 1
-        shared = table @ table.T
-        smaller, larger = np.minimum.outer(size, size), np.maximum.outer(size, size)
-        good = (shared >= margin * np.minimum(smaller, kept) - 1e-3) & (smaller >= ratio * larger) & (label[:, None] != label[None, :])
-        good &= ~(head[:, None] | head[None, :])
-        if block.min() != block.max():
-            good &= block[:, None] != block[None, :]
-        one, two = np.nonzero(np.triu(good, 1))
-        out = []
-        for i, j in zip(one.tolist(), two.tolist()):
-            union = np.union1d(np.asarray(rows[i][5], np.int64).view(np.uint64), np.asarray(rows[j][5], np.int64).view(np.uint64))[:kept]
-            both = np.intersect1d(np.asarray(rows[i][5], np.int64).view(np.uint64), np.asarray(rows[j][5], np.int64).view(np.uint64))
-            if np.isin(both, union, assume_unique=True).sum() >= margin * len(union) - 1e-9:
-                out.append((int(number[i]), int(number[j])))
-        return out
+        pairs = linked_pairs([r[2] for r in rows], np.array([r[1] for r in rows]), percent, kept)
+        one, two = number[[p[0] for p in pairs]], number[[p[1] for p in pairs]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
-
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"]
-            )
-
         for batch in batches:
-            for v, i, j, *rest in zip(*[batch.column(c).to_pylist() for c in ("v", "i", "j", "row", "n", "label", "block", "first", "sketch")]):
-                if (v, i, j) != key:
+            sets = batch.column("full")
+            flat, where = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            for n, (*own, row, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("by_list", "key", "i", "j", "row", "block")])):
+                if own != key:
                     if len(rows) > 1:
-                        yield batch_of(survivors(rows))
-                    key, rows = (v, i, j), []
-                rows.append(tuple(rest))
+                        yield links(rows)
+                    key, rows = own, []
+                rows.append((row, block, flat[where[n] : where[n + 1]].copy()))
         if len(rows) > 1:
-            yield batch_of(survivors(rows))
+            yield links(rows)
 
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets are similar enough. Heavy sides are split by the engine's skew join."""
-    left = sets.select(F.col("row").alias("a"), F.col("full").alias("full_a"))
-    right = sets.select(F.col("row").alias("b"), F.col("full").alias("full_b"))
-    both = F.size(F.array_intersect("full_a", "full_b"))
-    tested = pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("both"), (F.size("full_a") + F.size("full_b")).alias("sum"))
-    return tested.filter(F.col("both") * 100 >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
-
-
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, kept: int = KEPT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, mark`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -172,36 +199,32 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, kept: int = KEPT)
 
     lists = stage(posted.groupBy("v").agg(F.min("row").alias("head"), F.count("*").alias("length")).filter("length > 1"), "near-heads")
     listed = posted.join(lists, "v")
-    ahead = posted.select(F.col("v").alias("_v"), F.col("row").alias("_row"), F.col("n").alias("_n"))
-    heads = lists.join(ahead, (F.col("v") == F.col("_v")) & (F.col("head") == F.col("_row"))).select("v", "head", F.col("_n").alias("head_n"))
-    close = F.least("n", "head_n") * 100 >= percent * F.greatest("n", "head_n")
-    first = posted.join(heads, "v").filter((F.col("row") != F.col("head")) & close)
-    first = stage(first.select(F.col("head").alias("a"), F.col("row").alias("b")).distinct(), "near-first")
-
-    listed_rows = listed.select("row").distinct()
-    texts = stage(rows.join(listed_rows, "row", "left_semi").select("row", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "near-listed")
-    found = plain.join(F.broadcast(texts) if texts.count() <= 200_000 else texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    sets = stage(found.select("row", "text").mapInArrow(_full(words), "row long, full array<long>").dropDuplicates(["row"]), "near-sets")
-
-    links = stage(_confirmed(first, sets, percent), "near-links")
-    labels = components(links)
-
-    labelled = listed.join(labels, listed["row"] == labels["node"], "left")
-    labelled = labelled.select("v", "row", "n", "head", "length", F.coalesce("root", "row").alias("label"))
-    spread = labelled.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed_lists = stage(spread.filter("low <> high").select("v"), "near-mixed")
-    open_rows = labelled.join(mixed_lists, "v").join(firsts.select("row", "sketch"), "row")
+    # What lists connect is compared together, each set being sent once; what they connect beyond a bound, list by list.
+    hung = components(listed.filter("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    members = listed.select("row").distinct().join(hung, F.col("row") == F.col("node"), "left").select("row", F.coalesce("root", "row").alias("key"))
+    members = stage(members, "near-members")
+    sizes = stage(members.groupBy("key").agg(F.count("*").alias("length")), "near-sizes")
+    counted = members.join(sizes, "key")
+    keyed = counted.filter(F.col("length") <= TOGETHER).select("row", "key", "length", F.lit(False).alias("by_list"))
+    wide = counted.filter(F.col("length") > TOGETHER).select("row")
+    by_list = listed.join(wide, "row", "left_semi").select("row", F.col("v").alias("key"), "length", F.lit(True).alias("by_list"))
+    keyed = keyed.unionByName(by_list)
+
+    texts = rows.join(members, "row", "left_semi").select("row", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    texts = stage(texts, "near-listed")
+    texts = maybe_broadcast(texts, texts.count())
+    found = plain.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    sets = found.select("row", "text").mapInArrow(_full(words), "row long, full array<long>")
+    sets = stored(sets.dropDuplicates(["row"]), "near-sets")
+
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    open_rows = open_rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "n", "label", "block",
-        (F.col("row") == F.col("head")).alias("first"), "sketch",
-    )
-    dealt = dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
-    rest = stage(dealt.mapInArrow(_pairs_in_blocks(percent, kept), "a long, b long").distinct(), "near-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, sets, percent))
-        labels = components(links)
+    keyed = keyed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "by_list", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "block"
+    )
+    pair = ["by_list", "key", "i", "j"]
+    dealt = dealt.join(sets, "row").repartition(*pair).sortWithinPartitions(*pair)
+    labels = components(stage(dealt.mapInArrow(_links_in_blocks(percent, kept), "a long, b long"), "near-links"))
 
     placed = classes.join(labels, classes["class"] == labels["node"], "left").withColumn("label", F.coalesce("root", "class"))
     placed = stage(placed.select("same", "n", "label", "least"), "near-placed")
