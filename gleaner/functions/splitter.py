@@ -101,6 +101,62 @@ def split_text(
     return out
 
 
+class Stretch:
+    """A stretch of a long text, with enough around it to cut it as the whole text would be cut.
+
+    ``text`` starts at ``offset`` of the whole and at a line break or at its start.
+    ``blank_lines`` tells whether the whole contains the coarsest separator. Pieces
+    of the whole text are known here once ``size`` characters around them are: those
+    between blank lines that are shorter than ``size`` stay whole, longer ones are cut
+    into lines. A window never crosses from one of these kinds to the other, and where
+    it starts decides where the next one starts.
+    """
+
+    def __init__(self, text: str, offset: int, ends: bool, blank_lines: bool, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP):
+        self.text, self.offset, self.ends, self.size, self.overlap = text, offset, ends, size, overlap
+        self.starts: list[int] = []
+        self.fresh: list[bool] = []
+        outer = [0, *_edges(text, 0, len(text), SEPARATORS[0])] if blank_lines else [0, len(text)]
+        long_before = True
+        for i, (lo, hi) in enumerate(zip(outer, outer[1:])):
+            cut_off = not blank_lines or (i == 0 and offset > 0) or (i == len(outer) - 2 and not ends)
+            is_long = cut_off or hi - lo >= size
+            inside = [lo, *_edges(text, lo, hi, SEPARATORS[1])][:-1] if is_long else [lo]
+            for n, at in enumerate(inside):
+                self.starts.append(at)
+                self.fresh.append(n == 0 and (is_long or long_before))
+            long_before = is_long
+        self.stops = [*self.starts[1:], len(text)]
+
+    def step(self, i: int) -> tuple[int, tuple[int, int] | None, int | None]:
+        """From the window that starts at piece ``i``: where the next starts, the window's range, a piece to cut finer."""
+        n = len(self.starts)
+        j = i
+        while j < n:
+            if j > i and self.fresh[j]:
+                return j, (self.starts[i], self.starts[j]), None
+            if self.stops[j] - self.starts[j] >= self.size:
+                return j + 1, (self.starts[i], self.starts[j]) if j > i else None, j
+            if j > i and self.stops[j] - self.starts[i] > self.size:
+                first = i
+                while first < j and (
+                    self.starts[j] - self.starts[first] > self.overlap or self.stops[j] - self.starts[first] > self.size
+                ):
+                    first += 1
+                return first, (self.starts[i], self.starts[j]), None
+            j += 1
+        return n, (self.starts[i], len(self.text)), None
+
+    def chunks_from(self, i: int) -> tuple[int, list[str]]:
+        """Where the next window starts, and the stripped chunks before that."""
+        after, window, long = self.step(i)
+        ranges = [window] if window else []
+        if long is not None:
+            ranges += _ranges(self.text, self.starts[long], self.stops[long], SEPARATORS[2:], self.size, self.overlap)
+        bodies = [self.text[lo:hi].strip(WHITESPACE) for lo, hi in ranges]
+        return after, [b for b in bodies if b]
+
+
 def chunks(
     col: Column | str, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP
 ) -> Column:

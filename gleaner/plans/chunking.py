@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from gleaner.operators.upsert import ChunkTable
 from gleaner.session import fresh_dir, stage
 from gleaner.sources import files
 
-TABLE_BLOCK_ROWS = 5_000
+# Characters of a stretch of table text that one function call cuts.
+BLOCK_CHARS = 1 << 20
 PARALLEL_FILES = 8
 
 
@@ -127,47 +130,144 @@ def ocr_split_chunks(images: DataFrame) -> DataFrame:
     )
 
 
-def table_chunks(table: DataFrame, file: str, order: str, block_rows: int = TABLE_BLOCK_ROWS) -> DataFrame:
-    """Chunks of a table written out as CSV text, header in chunk 0.
-
-    Rows are numbered by ``order`` and cut into blocks of ``block_rows``; each
-    block is one text. A table of one block gives the chunks of its whole text;
-    in a longer one no chunk crosses a block border.
+def _stretch(rows: list[tuple], blank_lines: bool, total: int) -> tuple[splitter.Stretch, list[int], int]:
+    """The stretch of a block's lines, the block of each of its pieces, and the block itself."""
+    rows.sort(key=lambda r: r[1])
+    text = "".join(r[2] for r in rows)
+    offset = rows[0][1]
+    stretch = splitter.Stretch(text, offset, offset + len(text) == total, blank_lines)
+    homes, at = [], 0
+    for start in stretch.starts:
+        while at + 1 < len(rows) and rows[at + 1][1] <= start + offset:
+            at += 1
+        homes.append(rows[at][3])
+    return stretch, homes, rows[0][0]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of one block after the other, from batches sorted by block."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in columns]):
+            if rows and rows[-1][0] != row[0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+_LINE = ("_block", "_at", "_text", "_home")
+
+
+def _maps(blank_lines: bool, total: int):
+    """Arrow function: for every window start a block may be entered with, where the block is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches, _LINE):
+            stretch, homes, block = _stretch(rows, blank_lines, total)
+            own = [i for i, home in enumerate(homes) if home == block]
+            leave: dict[int, int] = {}
+            for i in reversed(own):
+                after = stretch.step(i)[0]
+                leave[i] = leave.get(after, after)
+            near = [i for i in own if stretch.starts[i] <= stretch.starts[own[0]] + 2 * stretch.size]
+            left = [leave[i] for i in near]
+            position = lambda i: stretch.offset + (stretch.starts[i] if i < len(homes) else len(stretch.text))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block] * len(near), pa.int64()), pa.array([position(i) for i in near], pa.int64()),
+                    pa.array([position(i) for i in left], pa.int64()),
+                    pa.array([homes[i] if i < len(homes) else None for i in left], pa.int64()),
+                ],
+                ["_block", "_entry", "_exit", "_next"],
+            )
+
+    return run
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The window start each block is really entered with, following the maps from the first block on."""
+    block, entry = -1, 0
+    found: list[tuple[int, int]] = []
+    for rows in _by_block(batches, ("_block", "_entry", "_exit", "_next")):
+        if block == -1:
+            block, entry = rows[0][0], min(r[1] for r in rows)
+        if rows[0][0] != block:
+            continue
+        found.append((block, entry))
+        block, entry = next((r[3], r[2]) for r in rows if r[1] == entry)
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["_block", "_entry"])
+
+
+def _cut_block(blank_lines: bool, total: int):
+    """Arrow function: the chunks of the windows that start in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches, (*_LINE, "_entry")):
+            entry = rows[0][4]
+            stretch, homes, block = _stretch([r[:4] for r in rows], blank_lines, total)
+            i, bodies = stretch.starts.index(entry - stretch.offset), []
+            while i < len(homes) and homes[i] == block:
+                i, some = stretch.chunks_from(i)
+                bodies += some
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(bodies), pa.int64()), pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.string())],
+                ["_block", "_i", "document"],
+            )
+
+    return run
+
+
+def table_chunks(table: DataFrame, file: str, order: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Chunks of a table written out as CSV text in the order of ``order``, header first.
+
+    The chunks are those of the whole text, whatever ``block_chars`` is. Lines are
+    placed by the running sum of their lengths and dealt to blocks, each with a
+    few lines of its neighbours. Where a window starts decides where the next one
+    does, so a block is first read as a map from each start it may be entered with
+    to the start it is left with; the maps (a few rows per block) are followed from
+    the first block on, then every block cuts its own windows.
     """
+    spark = table.sparkSession
     columns = [c for c in table.columns if c != "_row"]
     line = X.csv_line(columns, dict(table.dtypes))
-    rows = number_rows(table.select(F.col(order).alias("_order"), line.alias("_line")), [], "_order", "_n")
-    blocks = (
-        rows.withColumn("_block", F.floor(F.col("_n") / block_rows).cast("bigint"))
-        .groupBy("_block")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda r: r["_line"]), "\n"
-            ).alias("_body"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
-    )
-    header = F.when(F.col("_block") == 0, F.lit(X.csv_header(columns) + "\n")).otherwise("")
-    whole = F.concat(header, F.col("_body"), F.lit("\n"))
-    cut = stage(blocks.select("_block", "_rows", splitter.chunks(whole).alias("_parts")), "table-text")
-    starts = prefix_sum(cut.select("_block", F.size("_parts").alias("_c")), [], "_block", "_c", "_first")
-    total = cut.agg(F.sum("_rows")).head()[0] or 0
-    parts = cut.join(starts.select("_block", "_first"), "_block").select(
-        "_block", "_first", F.posexplode("_parts").alias("_i", "_part")
+    lines = table.select(F.lit(1).alias("_kind"), F.col(order).cast("bigint").alias("_order"), F.concat(F.lit("\n"), line).alias("_text"))
+    ends = spark.createDataFrame([(0, 0, X.csv_header(columns)), (2, 0, "\n")], lines.schema)
+    placed = lines.unionByName(ends).withColumn("_length", F.length("_text"))
+    placed = stage(prefix_sum(placed, [], ["_kind", "_order"], "_length", "_at"), "table-lines")
+    seen = placed.agg(F.sum("_length"), F.count_if(F.col("_kind") == 1), F.bool_or(F.contains("_text", F.lit("\n\n")))).head()
+    total, n_rows, blank_lines = seen[0], seen[1], bool(seen[2])
+    around = 4 * S.CHUNK_SIZE
+    home = F.floor(F.col("_at") / block_chars)
+    # A line goes to its own block and to those whose border is near.
+    reached = F.sequence(
+        F.greatest(F.floor((F.col("_at") - around) / block_chars), F.lit(0)), F.floor((F.col("_at") + F.col("_length") + around) / block_chars)
     )
+    dealt = placed.select(F.explode(reached).alias("_block"), "_at", "_text", home.alias("_home"))
+    held = stage(dealt, "table-blocks")
+    with_own = held.where(F.col("_block") == F.col("_home")).select("_block").distinct()
+    blocks = held.join(with_own, "_block", "left_semi").repartition("_block").sortWithinPartitions("_block")
+    maps = blocks.mapInArrow(_maps(blank_lines, total), "_block bigint, _entry bigint, _exit bigint, _next bigint")
+    # A few rows per block of text, in the order of the blocks.
+    entries = stage(maps.repartition(1).sortWithinPartitions("_block").mapInArrow(_entries, "_block bigint, _entry bigint"), "table-entries")
+    cut = held.join(entries, "_block").repartition("_block").sortWithinPartitions("_block")
+    parts = stage(cut.mapInArrow(_cut_block(blank_lines, total), "_block bigint, _i bigint, document string"), "table-text")
+    counts = parts.groupBy("_block").agg(F.count(F.lit(1)).alias("_c"))
+    firsts = prefix_sum(counts, [], "_block", "_c", "_first").select("_block", "_first")
     number = F.col("_first") + F.col("_i")
-    return parts.select(
+    return parts.join(firsts, "_block").select(
         F.lit(S.TABULAR).alias("collection"),
         X.table_chunk_id(F.lit(file), number).alias("id"),
         F.lit(file).alias("source"),
         F.lit("table").alias("type"),
         F.lit(file).alias("file"),
         number.alias("chunk_no"),
-        F.lit(total).cast("bigint").alias("rows"),
-        F.col("_part.chunk").alias("document"),
+        F.lit(n_rows).cast("bigint").alias("rows"),
+        "document",
         F.create_map(
             F.lit("source"), F.lit(file), F.lit("type"), F.lit("table"),
-            F.lit("rows"), F.lit(str(total)), F.lit("chunk"), number.cast("string"),
+            F.lit("rows"), F.lit(str(n_rows)), F.lit("chunk"), number.cast("string"),
         ).alias("metadata"),
     )
 

@@ -209,17 +209,24 @@ def test_paged_numbers_run_over_the_source(spark):
     assert got == {"s#page=1_chunk=0", "s#page=1_chunk=1", "s#page=1_chunk=2", "s#page=2_chunk=3", "s#page=9_chunk=4", "s#page=9_chunk=5", "t#page=0_chunk=0"}
 
 
-def test_table_of_one_block_equals_whole_text(spark):
+TABLE_ROWS = {
+    "short": [(i, f'va"l,{i}' if i % 3 else None, i / 4) for i in range(150)],
+    "long": [(i, "word " * (40 * (i % 9)) + "x" * (900 if i % 17 == 5 else 3), i / 4) for i in range(60)],
+    "blank": [(i, ("a\n\nb" if i % 7 == 1 else "c\nd") * (i % 5 + 1) + ("y " * 500 if i % 13 == 4 else ""), i / 4) for i in range(120)],
+    "few": [(1, "a", 0.5)],
+}
+
+
+@pytest.mark.parametrize("kind", list(TABLE_ROWS))
+def test_table_chunks_equal_the_whole_text(spark, kind):
     from gleaner.functions.splitter import split_text
 
-    rows = [(i, f'va"l,{i}' if i % 3 else None, i / 4) for i in range(150)]
-    df = spark.createDataFrame(rows, "k long, name string, x double")
+    df = spark.createDataFrame(TABLE_ROWS[kind], "k long, name string, x double")
     text = df.toPandas().to_csv(index=False)
-    got = [r["document"] for r in chunking.table_chunks(df, "f.csv", "k").orderBy("chunk_no").collect()]
-    assert got == [c for _, c in split_text(text)]
-    cut = chunking.table_chunks(df, "f.csv", "k", block_rows=20).orderBy("chunk_no").collect()
-    assert [r["chunk_no"] for r in cut] == list(range(len(cut)))
-    assert "\n".join(r["document"] for r in cut).count("k,name,x") == 1
+    for block in (50, 700, 5_000, 1 << 20):
+        cut = chunking.table_chunks(df, "f.csv", "k", block).orderBy("chunk_no").collect()
+        assert [r["document"] for r in cut] == [c for _, c in split_text(text)], block
+        assert [r["chunk_no"] for r in cut] == list(range(len(cut))) and {r["rows"] for r in cut} == {len(TABLE_ROWS[kind])}
 
 
 def test_stats_of_absent_collections(spark):
