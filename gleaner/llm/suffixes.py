@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import short_batches, stored
+from gleaner.llm.common import discard, short_batches, stored
 from gleaner.llm.words import _BASE, _INVERSE, _INVERSES, _POWERS, PIECE, bytes_of, mixed
 
 #: Bytes of a repeated string, bytes of an anchor.
-LENGTH, GRAM = 200, 40
+LENGTH, GRAM = 200, 32
 
 #: Pieces of a block of rounds, and most pieces of one anchor that a task gathers.
 BLOCK, HOT = 4_000, 20_000
@@ -264,8 +264,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     often = stored(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "suffix-often")
     listed = found.join(often, "h").groupBy("key").agg(F.collect_set(F.struct("h", "place")).alias("found"))
     listed = stored(listed, "suffix-listed")
+    discard(found, often)
     # Rows that share a key by chance get each other's anchors too, which only adds pieces to compare.
     parts = stored(plain.join(listed, "key", "left").mapInArrow(_cut_out(length), _PARTS), "suffix-parts")
+    discard(listed)
     pieces = parts.filter("kind = 2")
     distinct = stored(pieces.groupBy("h", "sid", "off", "seg").agg(F.count("*").alias("n")), "suffix-pieces")
     hot = stored(distinct.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("h"), "suffix-heavy")
@@ -278,6 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     if some_hot:
         runs = runs.unionByName(_hot_windows(distinct.join(hot, "h", "left_semi"), length))
     runs = stored(runs, "suffix-runs")
+    discard(distinct, hot)
     spans = pieces.select("doc_id", "key", "h", "sid", "lo").join(runs, ["h", "sid"])
     span = F.struct((F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + length).alias("b"))
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(span).alias("spans"))
