@@ -76,7 +76,8 @@ def copies(docs: DataFrame) -> DataFrame:
         parts = window.groupBy("part", "window").agg(
             F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.min("row").alias("next_part")
         )
-        split = window.join(parts, ["part", "window"])
+        parts = stage(parts, "exact-parts")  # stored, so that the join can split a large group
+        split = window.join(parts.hint("merge"), ["part", "window"])
         ended = F.length("window") < width
         split = stage(
             split.select(
@@ -93,7 +94,7 @@ def copies(docs: DataFrame) -> DataFrame:
     for more in done[1:]:
         shared = shared.unionByName(more)
     shared = shared.distinct().select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "keep_id", "group_size")
-    found = rows.join(shared, rows["doc_id"].eqNullSafe(shared["id"]) & (rows["mark"] == shared["m"]), "left")
+    found = rows.join(shared.hint("merge"), rows["doc_id"].eqNullSafe(shared["id"]) & (rows["mark"] == shared["m"]), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
