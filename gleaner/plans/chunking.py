@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import schemas as S
@@ -16,12 +15,11 @@ from gleaner.functions import text as X
 from gleaner.functions.embedding import Embedder, hash_embedder
 from gleaner.operators.numbering import number_rows, prefix_sum
 from gleaner.operators.upsert import ChunkTable
-from gleaner.session import fresh_dir, stage
+from gleaner.session import stage
 from gleaner.sources import files
 
 # Characters of a stretch of table text that one function call cuts.
 BLOCK_CHARS = 1 << 20
-PARALLEL_FILES = 8
 
 
 def conform(df: DataFrame) -> DataFrame:
@@ -130,26 +128,26 @@ def ocr_split_chunks(images: DataFrame) -> DataFrame:
     )
 
 
-def _stretch(rows: list[tuple], blank_lines: bool, total: int) -> tuple[splitter.Stretch, list[int], int]:
+def _stretch(rows: list[tuple]) -> tuple[splitter.Stretch, list[int], int]:
     """The stretch of a block's lines, the block of each of its pieces, and the block itself."""
-    rows.sort(key=lambda r: r[1])
-    text = "".join(r[2] for r in rows)
-    offset = rows[0][1]
+    rows.sort(key=lambda r: r[2])
+    text = "".join(r[3] for r in rows)
+    (_, block), offset, blank_lines, total = rows[0][:2], rows[0][2], rows[0][5], rows[0][6]
     stretch = splitter.Stretch(text, offset, offset + len(text) == total, blank_lines)
     homes, at = [], 0
     for start in stretch.starts:
-        while at + 1 < len(rows) and rows[at + 1][1] <= start + offset:
+        while at + 1 < len(rows) and rows[at + 1][2] <= start + offset:
             at += 1
-        homes.append(rows[at][3])
-    return stretch, homes, rows[0][0]
+        homes.append(rows[at][4])
+    return stretch, homes, block
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """Rows of one block after the other, from batches sorted by block."""
+def _by_key(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], width: int = 2) -> Iterator[list[tuple]]:
+    """Rows of one file and block after the other (or of one file), from batches sorted by them."""
     rows: list[tuple] = []
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in columns]):
-            if rows and rows[-1][0] != row[0]:
+            if rows and rows[-1][:width] != row[:width]:
                 yield rows
                 rows = []
             rows.append(row)
@@ -157,154 +155,178 @@ def _by_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> It
         yield rows
 
 
-_LINE = ("_block", "_at", "_text", "_home")
+_LINE = ("_file", "_block", "_at", "_text", "_home", "_blank", "_total")
 
 
-def _maps(blank_lines: bool, total: int):
-    """Arrow function: for every window start a block may be entered with, where the block is left."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_block(batches, _LINE):
-            stretch, homes, block = _stretch(rows, blank_lines, total)
-            own = [i for i, home in enumerate(homes) if home == block]
-            leave: dict[int, int] = {}
-            for i in reversed(own):
-                after = stretch.step(i)[0]
-                leave[i] = leave.get(after, after)
-            near = [i for i in own if stretch.starts[i] <= stretch.starts[own[0]] + 2 * stretch.size]
-            left = [leave[i] for i in near]
-            position = lambda i: stretch.offset + (stretch.starts[i] if i < len(homes) else len(stretch.text))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * len(near), pa.int64()), pa.array([position(i) for i in near], pa.int64()),
-                    pa.array([position(i) for i in left], pa.int64()),
-                    pa.array([homes[i] if i < len(homes) else None for i in left], pa.int64()),
-                ],
-                ["_block", "_entry", "_exit", "_next"],
-            )
-
-    return run
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every window start a block may be entered with, where the block is left."""
+    for rows in _by_key(batches, _LINE):
+        stretch, homes, block = _stretch(rows)
+        own = [i for i, home in enumerate(homes) if home == block]
+        leave: dict[int, int] = {}
+        for i in reversed(own):
+            after = stretch.step(i)[0]
+            leave[i] = leave.get(after, after)
+        near = [i for i in own if stretch.starts[i] <= stretch.starts[own[0]] + 2 * stretch.size]
+        left = [leave[i] for i in near]
+        places = [*stretch.starts, len(stretch.text)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([rows[0][0]] * len(near), pa.string()), pa.array([block] * len(near), pa.int64()),
+                pa.array([stretch.offset + places[i] for i in near], pa.int64()), pa.array([stretch.offset + places[i] for i in left], pa.int64()),
+                pa.array([homes[i] if i < len(homes) else None for i in left], pa.int64()),
+            ],
+            ["_file", "_block", "_entry", "_exit", "_next"],
+        )
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The window start each block is really entered with, following the maps from the first block on."""
-    block, entry = -1, 0
-    found: list[tuple[int, int]] = []
-    for rows in _by_block(batches, ("_block", "_entry", "_exit", "_next")):
-        if block == -1:
-            block, entry = rows[0][0], min(r[1] for r in rows)
-        if rows[0][0] != block:
-            continue
-        found.append((block, entry))
-        block, entry = next((r[3], r[2]) for r in rows if r[1] == entry)
-    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["_block", "_entry"])
-
-
-def _cut_block(blank_lines: bool, total: int):
-    """Arrow function: the chunks of the windows that start in a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_block(batches, (*_LINE, "_entry")):
-            entry = rows[0][4]
-            stretch, homes, block = _stretch([r[:4] for r in rows], blank_lines, total)
-            i, bodies = stretch.starts.index(entry - stretch.offset), []
-            while i < len(homes) and homes[i] == block:
-                i, some = stretch.chunks_from(i)
-                bodies += some
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(bodies), pa.int64()), pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.string())],
-                ["_block", "_i", "document"],
-            )
-
-    return run
-
-
-def table_chunks(table: DataFrame, file: str, order: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Chunks of a table written out as CSV text in the order of ``order``, header first.
-
-    The chunks are those of the whole text, whatever ``block_chars`` is. Lines are
-    placed by the running sum of their lengths and dealt to blocks, each with a
-    few lines of its neighbours. Where a window starts decides where the next one
-    does, so a block is first read as a map from each start it may be entered with
-    to the start it is left with; the maps (a few rows per block) are followed from
-    the first block on, then every block cuts its own windows.
+    """The window start each block of a file is really entered with, following the maps from the first block on."""
+    found: list[tuple] = []
+    file, block, entry = None, None, None
+    for rows in _by_key(batches, ("_file", "_block", "_entry", "_exit", "_next")):
+        if rows[0][0] != file:
+            file, block, entry = rows[0][0], rows[0][1], min(r[2] for r in rows)
+        if rows[0][1] == block:
+            found.append((file, block, entry))
+            block, entry = next((r[4], r[3]) for r in rows if r[2] == entry)
+    columns = list(zip(*found)) or [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["_file", "_block", "_entry"])
+
+
+def _cut_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of the windows that start in a block."""
+    for rows in _by_key(batches, (*_LINE, "_entry")):
+        file, entry = rows[0][0], rows[0][7]
+        stretch, homes, block = _stretch(rows)
+        i, bodies = stretch.starts.index(entry - stretch.offset), []
+        while i < len(homes) and homes[i] == block:
+            i, some = stretch.chunks_from(i)
+            bodies += some
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([file] * len(bodies), pa.string()), pa.array([block] * len(bodies), pa.int64()),
+                pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.string()),
+            ],
+            ["_file", "_block", "_i", "document"],
+        )
+
+
+def _lines(rows: DataFrame, columns: list[str], order: str, file: Column) -> DataFrame:
+    line = X.csv_line(columns, {c: t for c, t in rows.dtypes if c in columns})
+    return rows.select(file.alias("_file"), F.lit(1).alias("_kind"), F.col(order).cast("bigint").alias("_order"), F.concat(F.lit("\n"), line).alias("_text"))
+
+
+def _frames(spark: SparkSession, headers: dict[str, list[str]]) -> DataFrame:
+    """The header before the lines of each file, and the line break after them."""
+    ends = [(f, 0, 0, X.csv_header(c)) for f, c in headers.items()] + [(f, 2, 0, "\n") for f in headers]
+    return spark.createDataFrame(ends, "_file string, _kind int, _order bigint, _text string")
+
+
+def _text_chunks(lines: DataFrame, block_chars: int) -> DataFrame:
+    """Chunks of the texts of files (``_file, _kind, _order, _text``), each as the chunks of its whole text.
+
+    Lines are placed by the running sum of their lengths and dealt to blocks,
+    each with a few lines of its neighbours. Where a window starts decides where the
+    next one does, so a block is first read as a map from each start it may be
+    entered with to the start it is left with; the maps (a few rows per block) are
+    followed file by file, then every block cuts its own windows.
     """
-    spark = table.sparkSession
-    columns = [c for c in table.columns if c != "_row"]
-    line = X.csv_line(columns, dict(table.dtypes))
-    lines = table.select(F.lit(1).alias("_kind"), F.col(order).cast("bigint").alias("_order"), F.concat(F.lit("\n"), line).alias("_text"))
-    ends = spark.createDataFrame([(0, 0, X.csv_header(columns)), (2, 0, "\n")], lines.schema)
-    placed = lines.unionByName(ends).withColumn("_length", F.length("_text"))
-    placed = stage(prefix_sum(placed, [], ["_kind", "_order"], "_length", "_at"), "table-lines")
-    seen = placed.agg(F.sum("_length"), F.count_if(F.col("_kind") == 1), F.bool_or(F.contains("_text", F.lit("\n\n")))).head()
-    total, n_rows, blank_lines = seen[0], seen[1], bool(seen[2])
+    placed = stage(prefix_sum(lines.withColumn("_length", F.length("_text")), ["_file"], ["_kind", "_order"], "_length", "_at"), "table-lines")
+    whole = placed.groupBy("_file").agg(
+        F.sum("_length").alias("_total"), F.count_if(F.col("_kind") == 1).alias("rows"), F.bool_or(F.contains("_text", F.lit("\n\n"))).alias("_blank")
+    )
+    whole = stage(whole, "table-files")
     around = 4 * S.CHUNK_SIZE
     home = F.floor(F.col("_at") / block_chars)
     # A line goes to its own block and to those whose border is near.
     reached = F.sequence(
         F.greatest(F.floor((F.col("_at") - around) / block_chars), F.lit(0)), F.floor((F.col("_at") + F.col("_length") + around) / block_chars)
     )
-    dealt = placed.select(F.explode(reached).alias("_block"), "_at", "_text", home.alias("_home"))
-    held = stage(dealt, "table-blocks")
-    with_own = held.where(F.col("_block") == F.col("_home")).select("_block").distinct()
-    blocks = held.join(with_own, "_block", "left_semi").repartition("_block").sortWithinPartitions("_block")
-    maps = blocks.mapInArrow(_maps(blank_lines, total), "_block bigint, _entry bigint, _exit bigint, _next bigint")
-    # A few rows per block of text, in the order of the blocks.
-    entries = stage(maps.repartition(1).sortWithinPartitions("_block").mapInArrow(_entries, "_block bigint, _entry bigint"), "table-entries")
-    cut = held.join(entries, "_block").repartition("_block").sortWithinPartitions("_block")
-    parts = stage(cut.mapInArrow(_cut_block(blank_lines, total), "_block bigint, _i bigint, document string"), "table-text")
-    counts = parts.groupBy("_block").agg(F.count(F.lit(1)).alias("_c"))
-    firsts = prefix_sum(counts, [], "_block", "_c", "_first").select("_block", "_first")
-    number = F.col("_first") + F.col("_i")
-    return parts.join(firsts, "_block").select(
+    dealt = placed.select("_file", F.explode(reached).alias("_block"), "_at", "_text", home.alias("_home")).join(whole, "_file")
+    held = stage(dealt.select(*_LINE), "table-blocks")
+    with_own = held.where(F.col("_block") == F.col("_home")).select("_file", "_block").distinct()
+    key = ["_file", "_block"]
+    blocks = held.join(with_own, key, "left_semi").repartition(*key).sortWithinPartitions(*key)
+    maps = blocks.mapInArrow(_maps, "_file string, _block bigint, _entry bigint, _exit bigint, _next bigint")
+    entries = maps.repartition("_file").sortWithinPartitions(*key)
+    entries = stage(entries.mapInArrow(_entries, "_file string, _block bigint, _entry bigint"), "table-entries")
+    cut = held.join(entries, key).repartition(*key).sortWithinPartitions(*key)
+    parts = stage(cut.mapInArrow(_cut_block, "_file string, _block bigint, _i bigint, document string"), "table-text")
+    counts = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
+    firsts = prefix_sum(counts, ["_file"], "_block", "_c", "_first").select(*key, "_first")
+    number = (F.col("_first") + F.col("_i")).alias("chunk_no")
+    return parts.join(firsts, key).select("_file", "_block", "document", number).join(whole.select("_file", "rows"), "_file")
+
+
+def _table_rows(parts: DataFrame) -> DataFrame:
+    file, number, rows = F.col("_file"), F.col("chunk_no"), F.col("rows")
+    return parts.select(
         F.lit(S.TABULAR).alias("collection"),
-        X.table_chunk_id(F.lit(file), number).alias("id"),
-        F.lit(file).alias("source"),
+        X.table_chunk_id(file, number).alias("id"),
+        file.alias("source"),
         F.lit("table").alias("type"),
-        F.lit(file).alias("file"),
-        number.alias("chunk_no"),
-        F.lit(n_rows).cast("bigint").alias("rows"),
+        file.alias("file"),
+        "chunk_no",
+        rows.cast("bigint").alias("rows"),
         "document",
         F.create_map(
-            F.lit("source"), F.lit(file), F.lit("type"), F.lit("table"),
-            F.lit("rows"), F.lit(str(n_rows)), F.lit("chunk"), number.cast("string"),
+            F.lit("source"), file, F.lit("type"), F.lit("table"),
+            F.lit("rows"), rows.cast("string"), F.lit("chunk"), number.cast("string"),
         ).alias("metadata"),
     )
 
 
-REPORT = "name string, rows bigint, chunks bigint"
+def table_chunks(table: DataFrame, file: str, order: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Chunks of a table written out as CSV text in the order of ``order``, header first.
+
+    They are the chunks of the whole text, whatever ``block_chars`` is.
+    """
+    columns = [c for c in table.columns if c != "_row"]
+    lines = _lines(table, columns, order, F.lit(file))
+    return _table_rows(_text_chunks(lines.unionByName(_frames(table.sparkSession, {file: columns})), block_chars))
+
+
+REPORT = "name string, rows bigint, chunks bigint, status string, error string"
 
 
-def ingest_table_files(
-    store: ChunkTable, listing: DataFrame, embed: Embedder | None = None, multi_line: bool = False
-) -> DataFrame:
+def ingest_table_files(store: ChunkTable, listing: DataFrame, embed: Embedder | None = None) -> DataFrame:
     """Chunk the text of every listed file (``path, file, ext``) into the store.
 
-    Files are read one job each, a few at a time; their chunks are staged side
-    by side and embedded and upserted together. Files that are missing (a NULL
-    path), unreadable, empty or of another kind report zeros.
+    All files are read, cut, embedded and upserted together, in a number of jobs
+    that follows their schemas. Files that are missing (a NULL path), unreadable,
+    empty or of another kind report zeros and why. Of listed files with one
+    name the last path is taken and the others are reported.
     """
     spark = listing.sparkSession
-    staged = fresh_dir(spark, "table-files")
-
-    def load(item: tuple) -> tuple:
-        number, row = item
-        try:
-            if row["path"] is None or row["ext"] != ".csv":
-                return (row["file"], 0, 0)
-            table = files.read_csv(spark, row["path"], multi_line, row_column="_row")
-            path = f"{staged}/n={number}"
-            table_chunks(table, row["file"], "_row").write.parquet(path)
-            found = spark.read.parquet(path).agg(F.max("rows"), F.count(F.lit(1))).head()
-            return (row["file"], found[0] or 0, found[1])
-        except Exception:  # noqa: BLE001
-            return (row["file"], 0, 0)
-
-    with ThreadPoolExecutor(PARALLEL_FILES) as pool:
-        loaded = list(pool.map(load, enumerate(listing.toLocalIterator())))
-    if any(chunks for _, _, chunks in loaded):
-        store.upsert(_embedded(spark.read.parquet(staged).drop("n"), embed))
-    return spark.createDataFrame(loaded, REPORT)
+    report, named = [], {}
+    # Names only; contents never pass the driver.
+    for row in sorted(listing.select("path", "file", "ext").collect(), key=lambda r: (r["path"] is None, r["path"] or "")):
+        if row["path"] is None or row["ext"] != ".csv":
+            report.append((row["file"], 0, 0, "Failed", "no such file" if row["path"] is None else f"Unsupported file type: {row['ext']}"))
+        else:
+            if row["file"] in named:
+                report.append((row["file"], 0, 0, "Name collision", f"same file name as {row['path']}"))
+            named[row["file"]] = row["path"]
+    of = {files.plain_path(path): file for file, path in named.items()}
+    groups, errors = files.read_groups(spark, list(named.values()))
+    report += [(of[path], 0, 0, "Failed", error) for path, error in errors.items()]
+    lines, headers, counts = None, {}, {}
+    for group in groups:
+        owners = spark.createDataFrame([(path, of[path]) for path in group.counts], "_path string, _name string")
+        own = _lines(group.rows.join(F.broadcast(owners), "_path"), list(group.names), "_row", F.col("_name"))
+        lines = own if lines is None else lines.unionByName(own)
+        for path, n in group.counts.items():
+            counts[of[path]] = n
+            if n:
+                headers[of[path]] = list(group.names)
+    chunks: dict[str, int] = {}
+    if headers:
+        parts = stage(_table_rows(_text_chunks(lines.unionByName(_frames(spark, headers)), BLOCK_CHARS)), "table-chunks")
+        chunks = {r["file"]: r["count"] for r in parts.groupBy("file").count().collect()}
+        store.upsert(_embedded(parts, embed))
+    report += [(file, n, chunks.get(file, 0), S.STATUS_NEW if n else "Empty", None) for file, n in counts.items()]
+    return spark.createDataFrame(report, REPORT)
 
 
 def row_chunks(table: DataFrame, file: str, order: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
+import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +33,34 @@ _INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 _BOOLEAN = r"^(True|False|TRUE|FALSE|true|false)$"
 
 
+def plain_path(path: str) -> str:
+    """A path as it is compared: local ones without a scheme."""
+    return re.sub(r"^file:/+", "/", path)
+
+
+def _plain(column: Column) -> Column:
+    """As :func:`plain_path`, for the escaped path that Spark gives with a row."""
+    return F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: path, length, base name, extension, table name."""
+    """Every file below ``root``: path, length, base name, extension, table name.
+
+    Spark's readers leave out files without content; those are added from the
+    listing that the reader holds anyway.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return describe(found.select("path", "length", "modificationTime"))
+    named = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in sorted(found.inputFiles())]
+    named = spark.createDataFrame(named, "path string")
+    read = found.select("path", "length", "modificationTime")
+    known = read.select(_slashes("path").alias("_known"))
+    empty = named.join(known, _slashes("path") == F.col("_known"), "left_anti")
+    empty = empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    return describe(read.unionByName(empty))
+
+
+def _slashes(column: str) -> Column:
+    return F.regexp_replace(column, "^file:/+", "/")
 
 
 def describe(files: DataFrame) -> DataFrame:
@@ -47,23 +74,33 @@ def describe(files: DataFrame) -> DataFrame:
     )
 
 
-def _stream_digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _opened(path: str):
+    """A byte stream of a local file, or of any file that Arrow's file systems reach."""
+    if path.startswith("file:") or "://" not in path:
+        return open(re.sub(r"^file:/+", "/", path), "rb")
     from pyarrow import fs
 
+    system, where = fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
+    return system.open_input_stream(where)
+
+
+def _stream_digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            system, where = fs.FileSystem.from_uri(path)
             digest = hashlib.sha256()
-            with system.open_input_stream(where) as stream:
-                while block := stream.read(_BLOCK):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
+            try:
+                with _opened(path) as stream:
+                    while block := stream.read(_BLOCK):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            except Exception:  # noqa: BLE001  one unreadable file is one row without a hash
+                digests.append(None)
         yield batch.assign(file_hash=digests)
 
 
 def stream_hashes(paths: DataFrame) -> DataFrame:
-    """``path`` and SHA-256, each file read as a stream of 1 MiB blocks.
+    """``path`` and SHA-256, each file read as a stream of 1 MiB blocks; NULL for a file that cannot be read.
 
     The size of a file never has to fit in memory.
     """
@@ -80,7 +117,9 @@ def hash_files(spark: SparkSession, root: str, limit: int = WHOLE_FILE_BYTES) ->
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     small = found.where(F.col("length") <= limit).select("path", F.sha2("content", 256).alias("file_hash"))
     large = found.where(F.col("length") > limit).select("path")
-    return small.unionByName(stream_hashes(large))
+    nothing = F.lit(hashlib.sha256().hexdigest())
+    empty = list_files(spark, root).where(F.col("length") == 0).select("path", nothing.alias("file_hash"))
+    return small.unionByName(stream_hashes(large)).unionByName(empty)
 
 
 def requested_paths(requested: DataFrame, listing: DataFrame) -> DataFrame:
@@ -115,69 +154,145 @@ def _cell(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def read_csv_text(
-    spark: SparkSession, path: str, multi_line: bool = False, row_column: str | None = None
-) -> DataFrame:
-    """A CSV file with every column as text and missing words as NULL.
+# Column for what stands beyond the header, and a word no cell holds: an empty cell is not an absent one.
+_WIDE, _ABSENT = "_wide", "\x00\x00"
 
-    ``multi_line`` reads quoted line breaks, at the price of one task per file.
-    ``row_column`` adds a number that rises in file order.
-    """
-    reader = spark.read.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE")
-    first = reader.option("header", False).csv(path).head()
-    if first is None:
-        raise ValueError("no columns to parse from file")
-    names = _unique_names(list(first))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+
+class Unreadable(ValueError):
+    """The file is not a table."""
+
+
+def _reader(spark: SparkSession, multi_line: bool):
+    return spark.read.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _ABSENT)
+
+
+def _open_quotes() -> Column:
+    """The line ends inside quotes, or leaves them."""
+    return F.size(F.split("value", '"')) % 2 == 0
+
+
+def survey(spark: SparkSession, paths: list[str]) -> dict[str, tuple[tuple[str, ...], bool]]:
+    """Column names of each file and whether its quotes hold line breaks, for all files in one job; files without a line are left out."""
+    lines = spark.read.text(paths).where("value <> ''")
+    lines = lines.select("value", _plain(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("at"))
+    # One row per file.
+    seen = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.bool_or(_open_quotes()).alias("quoted")).collect()
+    out = {}
+    for row in seen:
+        header = row["header"].lstrip("\ufeff")
+        if header.count('"') % 2:
+            first = _reader(spark, True).option("header", False).csv(row["path"]).head()
+            names = [None if c in (None, _ABSENT) else c for c in first]
+        else:
+            names = next(csv.reader([header]))
+        out[row["path"]] = (tuple(_unique_names(names)), row["quoted"])
+    return out
+
+
+def _text_rows(spark: SparkSession, paths: list[str], names: tuple[str, ...], multi_line: bool) -> DataFrame:
+    """Rows of files with one header, every column as text and missing words as NULL; ``_wide``, ``_path`` and ``_row`` beside them."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _WIDE)])
+    rows = _reader(spark, multi_line).option("header", True).option("enforceSchema", True).schema(schema).csv(paths)
     cells = [F.when(~_cell(n).isin(*MISSING), _cell(n)).alias(n) for n in names]
-    place = [F.monotonically_increasing_id().alias(row_column)] if row_column else []
-    return rows.select(*cells, *place)
+    return rows.select(*cells, _cell(_WIDE), _plain(F.col("_metadata.file_path")).alias("_path"), F.monotonically_increasing_id().alias("_row"))
 
 
-def infer_types(rows: DataFrame) -> dict[str, str]:
-    """Narrowest of bigint, double, boolean, string per column, in one pass."""
-    checks = []
-    for i, name in enumerate(rows.columns):
+def _checks(names: tuple[str, ...]) -> list[Column]:
+    out = [F.count(F.lit(1)).alias("rows"), F.count(_cell(_WIDE)).alias("wide")]
+    for i, name in enumerate(names):
         cell = _cell(name)
         whole = F.trim(cell).try_cast("bigint").isNotNull()
-        number = cell.rlike(_NUMBER) | cell.rlike(_INFINITE)
-        checks += [
+        out += [
             F.count(cell).alias(f"n{i}"),
             # A missing cell decides nothing: integers with gaps stay integers.
             F.every(F.when(cell.isNotNull(), cell.rlike(_INTEGER) & whole)).alias(f"i{i}"),
-            F.every(number).alias(f"d{i}"),
+            F.every(cell.rlike(_NUMBER) | cell.rlike(_INFINITE)).alias(f"d{i}"),
             F.every(cell.rlike(_BOOLEAN)).alias(f"b{i}"),
         ]
-    seen = rows.agg(*checks).head()
-    out = {}
-    for i, name in enumerate(rows.columns):
-        if seen[f"n{i}"] == 0:
-            out[name] = "double"
-        elif seen[f"i{i}"]:
-            out[name] = "bigint"
-        elif seen[f"d{i}"]:
-            out[name] = "double"
-        elif seen[f"b{i}"]:
-            out[name] = "boolean"
+    return out
+
+
+def _types(names: tuple[str, ...], seen) -> tuple[str, ...]:
+    """Narrowest of bigint, double, boolean, string per column."""
+    out = []
+    for i in range(len(names)):
+        if seen is None or seen[f"n{i}"] == 0:
+            out.append("double")
         else:
-            out[name] = "string"
+            kinds = (("i", "bigint"), ("d", "double"), ("b", "boolean"))
+            out.append(next((kind for letter, kind in kinds if seen[f"{letter}{i}"]), "string"))
+    return tuple(out)
+
+
+def _typed(rows: DataFrame, names: tuple[str, ...], types: tuple[str, ...]) -> list[Column]:
+    out = []
+    for name, kind in zip(names, types):
+        cell = _cell(name)
+        if kind in ("bigint", "double"):
+            cell = F.trim(cell).try_cast(kind)
+        elif kind == "boolean":
+            cell = F.lower(cell) == "true"
+        out.append(cell.alias(name))
     return out
 
 
+def _wide_error(names: tuple[str, ...], n: int) -> str:
+    return f"{n} rows have more than {len(names)} fields"
+
+
+class Group:
+    """Files with equal names and types: ``rows`` holds them all, with ``_path`` and ``_row``; ``counts`` their rows by path."""
+
+    def __init__(self, rows: DataFrame, names: tuple[str, ...], counts: dict[str, int]):
+        self.rows, self.names, self.counts = rows, names, counts
+
+
+def read_groups(spark: SparkSession, paths: list[str]) -> tuple[list[Group], dict[str, str]]:
+    """Typed tables of many files, and an error for each file that is none.
+
+    One job looks at the headers of all files, one per distinct header at the
+    types of its files; the number of jobs follows the schemas, not the files.
+    """
+    wanted = {plain_path(p): p for p in paths}
+    known = survey(spark, paths) if paths else {}
+    errors = {p: "no columns to parse from file" for p in wanted if p not in known}
+    by_header: dict[tuple, list[str]] = {}
+    for path, shape in known.items():
+        by_header.setdefault(shape, []).append(path)
+    groups = []
+    for (names, quoted), own in sorted(by_header.items()):
+        rows = _text_rows(spark, [wanted[p] for p in own], names, quoted)
+        seen = {r["_path"]: r for r in rows.groupBy("_path").agg(*_checks(names)).collect()}
+        by_types: dict[tuple, dict[str, int]] = {}
+        for path in own:
+            got = seen.get(path)
+            if got is not None and got["wide"]:
+                errors[path] = _wide_error(names, got["wide"])
+            else:
+                by_types.setdefault(_types(names, got), {})[path] = got["rows"] if got is not None else 0
+        for types, counts in sorted(by_types.items()):
+            part = _text_rows(spark, [wanted[p] for p in counts], names, quoted)
+            groups.append(Group(part.select(*_typed(part, names, types), "_path", "_row"), names, counts))
+    return groups, errors
+
+
 def read_csv(
-    spark: SparkSession, path: str, multi_line: bool = False, row_column: str | None = None
+    spark: SparkSession, path: str, multi_line: bool | None = None, row_column: str | None = None
 ) -> DataFrame:
-    """A CSV file with inferred column types; dates stay text."""
-    rows = read_csv_text(spark, path, multi_line, row_column)
-    named = [c for c in rows.columns if c != row_column]
-    types = infer_types(rows.select(*[_cell(c) for c in named]))
-    cast = [F.col(row_column)] if row_column else []
-    for name in named:
-        cell = _cell(name)
-        if types[name] in ("bigint", "double"):
-            cell = F.trim(cell).try_cast(types[name])
-        elif types[name] == "boolean":
-            cell = F.lower(cell) == "true"
-        cast.append(cell.alias(name))
-    return rows.select(*cast)
+    """A CSV file, or a folder of files with one header, with inferred column types; dates stay text.
+
+    Quoted line breaks are found by themselves unless ``multi_line`` says so; a
+    row wider than the header is an error. ``row_column`` adds a number that
+    rises in file order.
+    """
+    shapes = survey(spark, [path])
+    if not shapes:
+        raise Unreadable("no columns to parse from file")
+    names = next(iter(shapes.values()))[0]
+    quoted = any(q for _, q in shapes.values()) if multi_line is None else multi_line
+    rows = _text_rows(spark, [path], names, quoted)
+    seen = rows.agg(*_checks(names)).head()
+    if seen["wide"]:
+        raise Unreadable(_wide_error(names, seen["wide"]))
+    place = [F.col("_row").alias(row_column)] if row_column else []
+    return rows.select(*place, *_typed(rows, names, _types(names, seen)))

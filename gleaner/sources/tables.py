@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 POINTER = "_current"
+# Start of the names of folders that hold versions of several tables.
+BATCHES = "batch-"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -41,18 +43,36 @@ class Warehouse:
             version = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return f"{self.root}/{table}/{version.strip()}"
+        version = version.strip()
+        return f"{self.root}/{version}" if version.startswith(BATCHES) else f"{self.root}/{table}/{version}"
 
     def replace(self, table: str, df: DataFrame) -> None:
         """Write a new version of ``table`` and switch to it."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{table}/{version}")
+        self._switch(table, version)
+
+    def replace_many(self, rows: DataFrame, name: str, tables: list[str]) -> None:
+        """New versions of many tables of one schema in one job; column ``name`` tells whose a row is."""
+        batch = f"{BATCHES}{uuid.uuid4().hex}"
+        rows.write.partitionBy(name).parquet(f"{self.root}/{batch}")
+        for table in tables:
+            self._switch(table, f"{batch}/{name}={table}")
+
+    def _switch(self, table: str, version: str) -> None:
+        """Write the pointer aside and rename it over the old one, in one step of the file system."""
         files, target = _file_system(self.spark, self._pointer(table))
-        stream = files.create(target, True)
+        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._pointer(table)}-{uuid.uuid4().hex}")
+        stream = files.create(fresh, True)
         try:
             stream.write(bytearray(version, "utf-8"))
         finally:
             stream.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else files.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        context.rename(files.makeQualified(fresh), files.makeQualified(target), options)
 
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
         """Current version; with a schema, an absent table reads as empty."""

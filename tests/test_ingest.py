@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
+import pytest
+
 from gleaner import schemas as S
 from gleaner.plans import tables
 from gleaner.sources import files
@@ -40,7 +42,7 @@ def test_csv_types_and_names(spark, tmp_path):
 def test_csv_header_only_and_quoted_newline(spark, tmp_path):
     empty = files.read_csv(spark, str(write(tmp_path, "h.csv", "a,b\n")))
     assert empty.columns == ["a", "b"] and empty.count() == 0
-    quoted = files.read_csv(spark, str(write(tmp_path, "q.csv", 'a,b\n"x\ny",1\n')), multi_line=True)
+    quoted = files.read_csv(spark, str(write(tmp_path, "q.csv", 'a,b\n"x\ny",1\n')))
     assert [tuple(r) for r in quoted.collect()] == [("x\ny", 1)]
 
 
@@ -49,6 +51,34 @@ def test_big_integers_fall_back_to_double(spark, tmp_path):
     assert df.dtypes == [("a", "double")]
 
 
+def test_wide_rows_are_refused_and_short_ones_filled(spark, tmp_path):
+    with pytest.raises(files.Unreadable):
+        files.read_csv(spark, str(write(tmp_path, "w.csv", "a,b\n1,2\n3,4,5\n")))
+    short = files.read_csv(spark, str(write(tmp_path, "s.csv", "a,b\n1\n3,4\n")))
+    assert sorted(map(str, short.collect())) == sorted(["Row(a=1, b=None)", "Row(a=3, b=4)"])
+
+
+def test_odd_files_are_all_reported(spark, tmp_path):
+    up = tmp_path / "up load"
+    warehouse = Warehouse(spark, str(tmp_path / "db"))
+    write(up, "2023/sales.csv", "a,b\n1,x\n")
+    write(up, "2024/sales.csv", "a,b\n1,x\n2,y\n")
+    write(up, "with blank.csv", 'a,b\n1,"x\ny"\n2,"z"\n')
+    write(up, "wide.csv", "a,b\n3,4,5\n")
+    write(up, "none.csv", "")
+    write(up, "h%20+.csv", "k\n7\n")
+    got = sorted((r["file"], r["status"], r["rows"]) for r in tables.ingest_folder(warehouse, str(up)).collect())
+    assert len(got) == 6 and [g for g in got if g[0] != "sales.csv"] == [
+        ("h%20+.csv", S.STATUS_NEW, 1), ("none.csv", "Failed", 0), ("wide.csv", "Failed", 0), ("with blank.csv", S.STATUS_NEW, 2),
+    ]
+    assert sorted(g[1] for g in got if g[0] == "sales.csv") == ["Name collision", S.STATUS_NEW]
+    assert sorted(tuple(r) for r in warehouse.read("with_blank").collect()) == [(1, "x\ny"), (2, "z")]
+    for limit in (0, 10**9):
+        hashed = {r["path"].split("/")[-1]: r["file_hash"] for r in files.hash_files(spark, str(up), limit).collect()}
+        assert hashed["with blank.csv"] == hashlib.sha256((up / "with blank.csv").read_bytes()).hexdigest()
+        assert hashed["none.csv"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_hashes(spark, tmp_path):
     body = b"k,v\n1,2\n" * 1000
     (tmp_path / "x.csv").write_bytes(body)
