@@ -100,7 +100,40 @@ def op10_exact(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_suffixes, op4_sharding, op5_mixing, op6_quality, op7_chat, op8_warc, op9_packing, op10_exact)}
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op1_minhash": rf"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM split),
+sized AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n FROM shingled),
+one AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM shingled),
+shared AS MATERIALIZED (SELECT x FROM one GROUP BY x HAVING count(*) > 1),
+used AS MATERIALIZED (SELECT doc_id, x FROM one JOIN shared USING (x)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared_n FROM used a JOIN used b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * shared_n >= 80 * (p.n + q.n - shared_n)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS node, doc_id AS other FROM sized
+  UNION
+  SELECT r.node, e.b FROM reached r JOIN edges e ON e.a = r.other)
+SELECT z.doc_id, z.n AS n_shingles, min(r.other) AS component_id, z.doc_id = min(r.other) AS kept
+FROM sized z JOIN reached r ON r.node = z.doc_id GROUP BY z.doc_id, z.n
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep FROM pages),
+d AS (SELECT *, sha1(h) AS hex FROM p),
+b AS (SELECT *, array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31) + 1, 1)
+    FOR i IN range(32)], '') AS payload_digest FROM d)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM b
+""",
     "op5_mixing": r"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, coalesce('0' || source, '1') AS stratum,
