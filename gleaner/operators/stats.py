@@ -60,6 +60,25 @@ def ingest_report(requested: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def full_report(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``name, rows, chunks, ocr_chars, ocr_preview, status, error`` of an ingest.
+
+    ``asked`` has ``name`` once each, ``error`` and perhaps the two columns of
+    recognised texts; sources that came without being asked are appended.
+    """
+    counted = chunks.groupBy(F.col("source").alias("_name")).agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("r"))
+    joined = asked.join(counted, F.col("name").eqNullSafe(F.col("_name")), "full_outer")
+    found = F.coalesce("n", F.lit(0)).cast("bigint")
+    status = F.when(F.col("error").isNotNull(), "Failed").when(found == 0, "Empty").otherwise(S.STATUS_NEW)
+    more = [
+        (F.col(c) if c in asked.columns else F.lit(None)).cast(t).alias(c) for c, t in (("ocr_chars", "bigint"), ("ocr_preview", "string"))
+    ]
+    return joined.select(
+        F.coalesce("name", "_name").alias("name"), F.coalesce("r", F.lit(0)).cast("bigint").alias("rows"), found.alias("chunks"),
+        *more, status.alias("status"), "error",
+    )
+
+
 def ingest_totals(report: DataFrame) -> DataFrame:
     """Files, chunks and rows per kind."""
     return report.groupBy("kind").agg(

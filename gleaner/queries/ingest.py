@@ -9,7 +9,7 @@ from gleaner import schemas as S
 from gleaner.functions import text as X
 from gleaner.functions.embedding import hash_embedder
 from gleaner.operators import stats, upsert
-from gleaner.plans import chunking, tables
+from gleaner.plans import chunking, ingest, tables
 from gleaner.queries.common import case_of, lit, load, load_spread, nth, strip_sql
 from gleaner.queries.facts import FACT_SQL, INVOICE_SQL, invoices
 from gleaner.queries.text import normal_url_sql
@@ -415,6 +415,71 @@ def ingest_ocr_chunked(spark, root):
     )
 
 
+def _store(spark) -> upsert.ChunkTable:
+    return upsert.ChunkTable(spark, fresh_dir(spark, "chunks"), buckets=4)
+
+
+def rebuilt(parts, start: str, text: str):
+    """The text that chunks in order stand for, without blanks: what each adds to those before it."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit("").alias("text"))
+
+    def add(so_far, part):
+        from_ = F.greatest(so_far["end"] - part[start], F.lit(0))
+        end = F.greatest(so_far["end"], part[start] + F.length(part[text]))
+        more = F.substring(part[text], (from_ + 1).cast("int"), F.length(part[text]))
+        return F.struct(end.cast("bigint").alias("end"), F.concat(so_far["text"], F.translate(more, X.WHITESPACE, "")).alias("text"))
+
+    return F.aggregate(parts, zero, add)["text"]
+
+
+def stored_paged_docs(spark, root):
+    """Pages through one call into the store; the ends of the stored text of each page, and how the report names its source.
+
+    Some pages have no text; where a source has no other, it is reported as failed.
+    """
+    docs = load_spread(spark, root, "documents")
+    source = F.when(F.col("doc_id") % 97 == 5, F.concat(F.lit("broken"), F.col("doc_id").cast("string"))).otherwise(F.col("source"))
+    text = F.when(F.col("doc_id") % 97 < 6, None).otherwise(F.col("text"))
+    store = _store(spark)
+    report = ingest.store_paged(store, contracts.paged(docs.select(source.alias("source"), "doc_id", text.alias("text")), page="doc_id"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", "document")))
+    pages = store.read().groupBy("source", "page").agg(parts.alias("parts"), F.count("*").alias("n"))
+    pages = pages.join(docs.select(F.col("doc_id").alias("page"), "text"), "page")
+    # Stored chunks carry no start; the whole rebuilt text is compared in chunk_text_rebuilt.
+    pages = pages.select(
+        "source", "page", "n", F.left(F.get("parts", F.lit(0))["document"], F.lit(8)).alias("head"),
+        F.right(F.element_at("parts", -1)["document"], F.lit(4)).alias("tail"),
+        F.forall("parts", lambda p: F.contains(F.col("text"), p["document"])).alias("from_text"),
+        (F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p["document"])) >= F.length(F.regexp_replace("text", "\\s", ""))).alias("covers"),
+    )
+    held = pages.groupBy("source").agg(F.sum("n").alias("held"))
+    told = report.join(held, report["name"] == held["source"], "left").drop("source")
+    return told.join(pages.drop("n"), F.col("name") == F.col("source"), "left").select(
+        "name", "page", "head", "tail", "from_text", "covers", "status", "error", (F.col("chunks") == F.coalesce("held", F.lit(0))).alias("all_stored")
+    )
+
+
+def stored_ocr_text(spark, root):
+    """Scans through one call into the store: the report."""
+    rows = invoices(spark, root).select(
+        F.concat(F.lit("/scans/"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("source"), F.col("t").alias("ocr_text")
+    )
+    return ingest.store_ocr(_store(spark), contracts.ocr(rows))
+
+
+def stored_rows(spark, root):
+    """A table into a new store, one record per row: the counts by collection."""
+    return ingest.store_rows(_store(spark), load(spark, root, "customer"), "customer.csv", "c_custkey")
+
+
+def stored_table_text(spark, root):
+    """A table's text through one call into the store: its lines read back from the stored chunks, beside the report."""
+    store = _store(spark)
+    report = ingest.store_table(store, load(spark, root, "orders").drop("o_totalprice"), "orders.csv", "o_orderkey")
+    parts = store.read().select("source", F.explode(F.split("document", "\n")).alias("line"))
+    return parts.join(report, parts["source"] == report["name"]).select("line", "rows", "status").distinct()
+
+
 def ingest_table_text(spark, root):
     orders = load(spark, root, "orders").drop("o_orderdate")
     chunks = chunking.ingest_table_text(orders, "orders.csv", "o_orderkey")
@@ -502,6 +567,10 @@ QUERIES = {
     "ingest_pages": ingest_pages,
     "ingest_paged_docs": ingest_paged_docs,
     "paged_chunk_numbers": paged_chunk_numbers,
+    "stored_paged_docs": stored_paged_docs,
+    "stored_ocr_text": stored_ocr_text,
+    "stored_rows": stored_rows,
+    "stored_table_text": stored_table_text,
     "ingest_ocr_text": ingest_ocr_text,
     "ingest_ocr_chunked": ingest_ocr_chunked,
     "ingest_table_text": ingest_table_text,
@@ -589,6 +658,26 @@ FULL JOIN (SELECT 'f' || doc_id AS name, count(*) AS n FROM documents WHERE lang
 SELECT source || '#page=' || page || '_chunk=' || chunk_no AS id, source, page, chunk_no FROM (
   SELECT source, doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_no
   FROM documents WHERE {_SHORT})""",
+    "stored_paged_docs": f"""
+WITH named AS (
+  SELECT CASE WHEN doc_id % 97 = 5 THEN 'broken' || doc_id ELSE source END AS name, doc_id,
+    CASE WHEN doc_id % 97 < 6 THEN NULL ELSE text END AS text FROM documents),
+pages AS (SELECT name, doc_id AS page, left({strip_sql('text')}, 8) AS head, right({strip_sql('text')}, 4) AS tail,
+  true AS from_text, true AS covers FROM named WHERE {strip_sql("coalesce(text, '')")} <> ''),
+asked AS (SELECT name, count(text) = 0 AS failed FROM named GROUP BY name)
+SELECT name, page, head, tail, from_text, covers, CASE WHEN failed THEN 'Failed' WHEN page IS NULL THEN 'Empty' ELSE '{S.STATUS_NEW}' END AS status,
+  CASE WHEN failed THEN 'no text' END AS error, true AS all_stored
+FROM asked LEFT JOIN pages USING (name)""",
+    "stored_ocr_text": f"""
+SELECT '/scans/' || o_orderkey || '.png' AS name, 0::BIGINT AS rows, 1::BIGINT AS chunks, length(t)::BIGINT AS ocr_chars,
+  left(replace(t, chr(10), ' '), {S.OCR_PREVIEW_CHARS}) AS ocr_preview, '{S.STATUS_NEW}' AS status, NULL::VARCHAR AS error
+FROM (SELECT o_orderkey, {INVOICE_SQL} AS t FROM orders)""",
+    "stored_rows": f"SELECT '{S.TABULAR}' AS collection, count(*) AS chunks FROM customer",
+    "stored_table_text": f"""
+WITH lines AS (
+  SELECT o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ',' || o_orderpriority AS line FROM orders
+  UNION ALL SELECT 'o_orderkey,o_custkey,o_orderstatus,o_orderdate,o_orderpriority')
+SELECT DISTINCT line, (SELECT count(*) FROM orders) AS rows, '{S.STATUS_NEW}' AS status FROM lines""",
     "ingest_ocr_text": f"""
 SELECT '{S.IMAGES}' AS collection, '/scans/' || o_orderkey || '.png#img_chunk=0' AS id, '/scans/' || o_orderkey || '.png' AS source,
   'image' AS type, o_orderkey || '.png' AS file, t AS document, {FACT_SQL['invoice_number']} AS invoice_number,

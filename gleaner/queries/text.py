@@ -119,6 +119,14 @@ def chunk_invariants(spark, root):
     )
 
 
+def chunk_text_rebuilt(spark, root):
+    """Every document put together again from the starts and texts of its chunks, blanks aside."""
+    from gleaner.queries.ingest import rebuilt
+
+    docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text").alias("parts"))
+    return docs.select("doc_id", F.md5(rebuilt(F.col("parts"), "start", "chunk")).alias("text_md5"))
+
+
 def chunk_counts(spark, root):
     docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text").alias("parts"))
     return docs.select("doc_id", F.size("parts").cast("bigint").alias("chunks"))
@@ -250,6 +258,7 @@ QUERIES = {
     "pages_to_docs": pages_to_docs,
     "pages_meta": pages_meta,
     "chunk_invariants": chunk_invariants,
+    "chunk_text_rebuilt": chunk_text_rebuilt,
     "chunk_counts": chunk_counts,
     "chunk_single": chunk_single,
     "chunk_ids": chunk_ids,
@@ -279,6 +288,7 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos,
     "pages_meta": f"SELECT page_id, {_unescape_sql('regexp_extract(html, ' + lit(markup.TITLE) + ', 1)')} AS title, "
     f"coalesce(nullif(regexp_extract(html, {lit(markup.LANGUAGE)}, 1), ''), 'No language found.') AS language FROM pages",
     "chunk_invariants": "SELECT doc_id, true AS fits, true AS in_place, true AS covered FROM documents",
+    "chunk_text_rebuilt": f"SELECT doc_id, md5(translate(text, {lit(X.WHITESPACE)}, '')) AS text_md5 FROM documents",
     "chunk_single": f"""
 SELECT doc_id, length(text) - length(ltrim(text, {WS})) AS start, md5({strip_sql('text')}) AS chunk_md5
 FROM documents WHERE length(text) < {S.CHUNK_SIZE} AND {strip_sql('text')} <> ''""",
