@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import schemas as S
@@ -387,9 +387,17 @@ def ingest_paged_docs(spark, root):
 
 
 def paged_chunk_numbers(spark, root):
-    """Running chunk numbers: each page starts where the pages before it ended."""
-    pages = contracts.paged(load_spread(spark, root, "documents").where(F.length("text") < S.CHUNK_SIZE), page="doc_id")
-    return chunking.paged_chunks(pages).select("id", "source", "page", "chunk_no")
+    """Running chunk numbers: each page starts where the page before it ended."""
+    pages = contracts.paged(load_spread(spark, root, "documents"), page="doc_id")
+    chunks = chunking.paged_chunks(pages)
+    first = F.min_by("id", "chunk_no")
+    cut = chunks.groupBy("source", "page").agg(F.min("chunk_no").alias("lo"), F.max("chunk_no").alias("hi"), F.count("*").alias("n"), first.alias("id"))
+    before = F.lag("hi").over(Window.partitionBy("source").orderBy("page"))
+    named = F.concat("source", F.lit("#page="), F.col("page").cast("string"), F.lit("_chunk="), F.col("lo").cast("string"))
+    return cut.select(
+        "source", "page", (F.col("lo") == F.coalesce(before + 1, F.lit(0))).alias("follows"),
+        (F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("dense"), (F.col("id") == named).alias("named"),
+    )
 
 
 def ingest_ocr_text(spark, root):
@@ -475,13 +483,13 @@ def stored_rows(spark, root):
 def stored_table_text(spark, root):
     """A table's text through one call into the store: its lines read back from the stored chunks, beside the report."""
     store = _store(spark)
-    report = ingest.store_table(store, load(spark, root, "orders").drop("o_totalprice"), "orders.csv", "o_orderkey")
+    report = ingest.store_table(store, load(spark, root, "orders"), "orders.csv", "o_orderkey")
     parts = store.read().select("source", F.explode(F.split("document", "\n")).alias("line"))
     return parts.join(report, parts["source"] == report["name"]).select("line", "rows", "status").distinct()
 
 
 def ingest_table_text(spark, root):
-    orders = load(spark, root, "orders").drop("o_orderdate")
+    orders = load(spark, root, "orders")
     chunks = chunking.ingest_table_text(orders, "orders.csv", "o_orderkey")
     return chunks.groupBy("source", "rows").agg(
         (F.count(F.lit(1)) == F.count_distinct("id")).alias("ids_unique"),
@@ -515,14 +523,14 @@ def ingest_table_files(spark, root):
 
 def table_text_rows(spark, root):
     """Every CSV line of the table survives whole in its chunks."""
-    nations = load(spark, root, "customer").drop("c_acctbal")
-    chunks = chunking.table_chunks(nations, "customer.csv", "c_custkey")
+    customers = load(spark, root, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+    chunks = chunking.table_chunks(customers, "customer.csv", "c_custkey")
     lines = chunks.select(F.explode(F.split("document", "\n")).alias("line")).where(~F.col("line").startswith("c_custkey"))
     return lines.distinct()
 
 
 def row_document_index(spark, root):
-    rows = load(spark, root, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    rows = load(spark, root, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     chunks = chunking.ingest_rows(rows, "customer", "c_custkey")
     return chunks.select("collection", "id", "source", "document", F.size("embedding").cast("bigint").alias("dim"))
 
@@ -583,8 +591,6 @@ QUERIES = {
 _UNSPLIT_SQL = (
     f"{case_of('doc_id % 4', S.RETRIEVAL_ORDER)} AS collection, source || '#chunk=' || doc_id AS id, source"
 )
-_SHORT = f"length(text) < {S.CHUNK_SIZE} AND {strip_sql('text')} <> ''"
-
 ORACLES = {
     "manifest_status": f"WITH {_STATUS_SQL} SELECT file, table_name, status FROM judged",
     "manifest_upsert": f"""WITH {_STATUS_SQL}
@@ -655,9 +661,7 @@ FULL JOIN (SELECT 'f' || doc_id AS name, count(*) AS n FROM documents WHERE lang
     "ingest_paged_docs": f"SELECT DISTINCT '{S.PDFS}' AS collection, source, {_SHAPE_TRUE} FROM documents "
     f"WHERE {strip_sql('text')} <> ''",
     "paged_chunk_numbers": f"""
-SELECT source || '#page=' || page || '_chunk=' || chunk_no AS id, source, page, chunk_no FROM (
-  SELECT source, doc_id AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_no
-  FROM documents WHERE {_SHORT})""",
+SELECT source, doc_id AS page, true AS follows, true AS dense, true AS named FROM documents WHERE {strip_sql('text')} <> ''""",
     "stored_paged_docs": f"""
 WITH named AS (
   SELECT CASE WHEN doc_id % 97 = 5 THEN 'broken' || doc_id ELSE source END AS name, doc_id,
@@ -675,8 +679,8 @@ FROM (SELECT o_orderkey, {INVOICE_SQL} AS t FROM orders)""",
     "stored_rows": f"SELECT '{S.TABULAR}' AS collection, count(*) AS chunks FROM customer",
     "stored_table_text": f"""
 WITH lines AS (
-  SELECT o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ',' || o_orderpriority AS line FROM orders
-  UNION ALL SELECT 'o_orderkey,o_custkey,o_orderstatus,o_orderdate,o_orderpriority')
+  SELECT o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || o_totalprice || ',' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ',' || o_orderpriority AS line FROM orders
+  UNION ALL SELECT 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority')
 SELECT DISTINCT line, (SELECT count(*) FROM orders) AS rows, '{S.STATUS_NEW}' AS status FROM lines""",
     "ingest_ocr_text": f"""
 SELECT '{S.IMAGES}' AS collection, '/scans/' || o_orderkey || '.png#img_chunk=0' AS id, '/scans/' || o_orderkey || '.png' AS source,
@@ -687,12 +691,12 @@ FROM (SELECT o_orderkey, {INVOICE_SQL} AS t FROM orders)""",
     "sha1('/scans/' || doc_id || '.png|' || trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\x{a0}]+', ' ', 'g'))) AS doc_id, "
     f"1::BIGINT AS doc_ids FROM documents WHERE {strip_sql('text')} <> ''",
     "ingest_table_text": "SELECT 'orders.csv' AS source, count(*) AS rows, true AS ids_unique, true AS numbers_dense, "
-    "true AS fits, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderpriority' AS header, 1::BIGINT AS headers FROM orders",
+    "true AS fits, 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS header, 1::BIGINT AS headers FROM orders",
     "ingest_table_files": f"SELECT {_SEGMENT_FILE.format(n=FILE_ROWS)} AS name, count(*) AS rows, true AS all_stored, "
     "true AS \"any\" FROM customer GROUP BY 1 UNION ALL SELECT lower(r_name) || '.csv', 0, true, false FROM region",
-    "table_text_rows": "SELECT concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment) AS line FROM customer",
+    "table_text_rows": "SELECT concat_ws(',', c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal) AS line FROM customer",
     "row_document_index": f"SELECT '{S.TABULAR}' AS collection, 'id' || (row_number() OVER (ORDER BY c_custkey) - 1) AS id, "
     "'customer' AS source, 'c_custkey: ' || c_custkey || ',' || chr(10) || 'c_name: ' || c_name || ',' || chr(10) || "
-    "'c_mktsegment: ' || c_mktsegment || ',' || chr(10) AS document, 64::BIGINT AS dim FROM customer",
+    "'c_mktsegment: ' || c_mktsegment || ',' || chr(10) || 'c_acctbal: ' || c_acctbal || ',' || chr(10) AS document, 64::BIGINT AS dim FROM customer",
     "create_only": "SELECT 'nation' AS source, count(*) AS records, true AS refused FROM nation",
 }

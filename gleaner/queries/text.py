@@ -42,9 +42,12 @@ def url_normalize(spark, root):
 
 
 def url_dedupe(spark, root):
-    """First position of each normalized host, every host repeated many times."""
-    hosts = _urls(spark, root).select("page_id", X.normalize_url(F.regexp_extract("url", "(https?://[^/?#]+/)", 1)).alias("url"))
-    return hosts.where(F.col("url") != "").groupBy("url").agg(F.min("page_id").alias("first_page"))
+    """Pages fetched twice under spellings of one URL: the first by position stays."""
+    mark = F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p>")).alias("html")
+    plain = load(spark, root, "pages").select((F.col("page_id") * 2 + 1).alias("page_id"), "url")
+    spelled = _urls(spark, root).select((F.col("page_id") * 2).alias("page_id"), "url")
+    fetched = plain.unionByName(spelled).select("page_id", "url", mark)
+    return contracts.pages(fetched).select("source", F.col("text").cast("bigint").alias("first_page"))
 
 
 def url_list_split(spark, root):
@@ -133,10 +136,13 @@ def chunk_counts(spark, root):
 
 
 def chunk_single(spark, root):
-    """Texts below the chunk size: exactly one chunk, the stripped text."""
-    docs = load_spread(spark, root, "documents").where(F.length("text") < S.CHUNK_SIZE)
-    parts = docs.select("doc_id", F.explode(splitter.chunks("text")).alias("p"))
-    return parts.select("doc_id", F.col("p.start").alias("start"), F.md5("p.chunk").alias("chunk_md5"))
+    """A text below the chunk size is exactly one chunk, the stripped text; a longer one has some."""
+    docs = load_spread(spark, root, "documents").select("doc_id", (F.length("text") < S.CHUNK_SIZE).alias("short"), splitter.chunks("text").alias("p"))
+    first = F.when(F.col("short"), F.get("p", F.lit(0)))
+    return docs.select(
+        "doc_id", F.when(F.col("short"), F.size("p")).cast("bigint").alias("chunks"), (F.size("p") > 0).alias("any"),
+        first["start"].alias("start"), F.md5(first["chunk"]).alias("chunk_md5"),
+    )
 
 
 def chunk_ids(spark, root):
@@ -201,7 +207,7 @@ def metadata_merge_cap(spark, root):
 
 
 def row_documents(spark, root):
-    rows = load(spark, root, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    rows = load(spark, root, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
     return rows.select("c_custkey", X.row_document(rows.columns).alias("document"))
 
 
@@ -275,9 +281,9 @@ QUERIES = {
 }
 ORACLES = {
     "url_normalize": f"SELECT page_id, {normal_url_sql('url')} AS url FROM (SELECT page_id, {_DECORATED} AS url FROM pages)",
-    "url_dedupe": "SELECT url, min(page_id) AS first_page FROM (SELECT page_id, "
-    f"{normal_url_sql(chr(39) + chr(39) + ' || regexp_extract(url, ' + lit('(https?://[^/?#]+/)') + ', 1)')} AS url "
-    f"FROM (SELECT page_id, {_DECORATED} AS url FROM pages)) WHERE url <> '' GROUP BY url",
+    "url_dedupe": f"SELECT source, min(page_id) AS first_page FROM (SELECT page_id, {normal_url_sql('url')} AS source FROM ("
+    f"SELECT page_id * 2 + 1 AS page_id, url FROM pages UNION ALL SELECT page_id * 2, {_DECORATED} AS url FROM pages)) "
+    "WHERE source <> '' GROUP BY source",
     "url_list_split": f"""
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, url FROM (
   SELECT page_id, generate_subscripts(parts, 1) AS i, trim(unnest(parts), {WS}) AS url FROM (
@@ -290,8 +296,10 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos,
     "chunk_invariants": "SELECT doc_id, true AS fits, true AS in_place, true AS covered FROM documents",
     "chunk_text_rebuilt": f"SELECT doc_id, md5(translate(text, {lit(X.WHITESPACE)}, '')) AS text_md5 FROM documents",
     "chunk_single": f"""
-SELECT doc_id, length(text) - length(ltrim(text, {WS})) AS start, md5({strip_sql('text')}) AS chunk_md5
-FROM documents WHERE length(text) < {S.CHUNK_SIZE} AND {strip_sql('text')} <> ''""",
+SELECT doc_id, CASE WHEN short THEN (blank = false)::BIGINT END AS chunks, NOT blank AS "any",
+  CASE WHEN short AND NOT blank THEN length(text) - length(ltrim(text, {WS})) END AS start,
+  CASE WHEN short AND NOT blank THEN md5({strip_sql('text')}) END AS chunk_md5
+FROM (SELECT *, length(text) < {S.CHUNK_SIZE} AS short, {strip_sql('text')} = '' AS blank FROM documents)""",
     "chunk_ids": """
 SELECT doc_id, source || '#chunk=' || doc_id AS url_id,
   source || '#page=' || coalesce((CASE WHEN doc_id % 7 > 0 THEN doc_id % 7 END)::VARCHAR, 'None') || '_chunk=' || doc_id AS paged_id,
@@ -310,7 +318,8 @@ SELECT '/scans/' || source || '/' || doc_id || '.png' AS source, doc_id || '.png
     "length(left(text, 160))::BIGINT AS venue_chars FROM documents",
     "row_documents": """
 SELECT c_custkey, 'c_custkey: ' || c_custkey || ',' || chr(10) || 'c_name: ' || c_name || ',' || chr(10) ||
-  'c_nationkey: ' || c_nationkey || ',' || chr(10) || 'c_mktsegment: ' || c_mktsegment || ',' || chr(10) AS document
+  'c_nationkey: ' || c_nationkey || ',' || chr(10) || 'c_mktsegment: ' || c_mktsegment || ',' || chr(10) ||
+  'c_acctbal: ' || c_acctbal || ',' || chr(10) AS document
 FROM customer""",
     "table_names": f"SELECT p_partkey, CASE WHEN {_NAME} = '' THEN 'table_1' ELSE {_NAME} END AS table_name, "
     f"replace(lower({_STEM}), ' ', '_') AS plain_name, {_BASE} AS file FROM (SELECT p_partkey, {_FILE} AS path FROM part)",

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import markup
 from gleaner.functions import text as X
+from gleaner.operators.upsert import broadcast_if_small
 
 
 def pages(fetched: DataFrame, position: str = "page_id") -> DataFrame:
     """Fetched pages (``url, html``) to documents.
 
-    URLs are normalized; of equal ones the first by position stays. The keep
-    list is made from narrow columns, the markup is only joined to it.
+    URLs are normalized; of equal ones the first by position stays. The others,
+    usually few, are found from narrow columns and left out; where they are
+    counted to be few, the markup goes from the scan straight on.
     """
-    urls = fetched.select(F.col(position).alias("_pos"), X.normalize_url("url").alias("source"))
-    first = urls.where(F.col("source") != "").groupBy("source").agg(F.min("_pos").alias("_pos"))
+    urls = fetched.select(F.col(position).alias("_pos"), X.normalize_url("url").alias("source")).where(F.col("source") != "")
+    first = urls.groupBy("source").agg(F.min("_pos").alias("_first"))
+    later = broadcast_if_small(urls.join(first, "source").where(F.col("_pos") > F.col("_first")).select("_pos"))
     html = F.col("html")
-    return fetched.join(first, fetched[position] == first["_pos"]).select(
+    named = fetched.withColumn("source", X.normalize_url("url")).where(F.col("source") != "")
+    return named.join(later, named[position] == later["_pos"], "left_anti").select(
         "source",
         markup.page_text(html).alias("text"),
         F.create_map(
