@@ -56,16 +56,25 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where an expensive step (Python chunking, a range of ranks) feeds more
     than one branch: the lineage is cut at files that outlive any executor, and
-    each branch reads only the columns it needs.
+    each branch reads only the columns it needs. The shuffle files of the write
+    go with it, since nothing reads them again.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+    finally:
+        spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
