@@ -125,9 +125,10 @@ def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, pack
 
     A document is the ids of its whole text and id 0; null is an empty text, so
     its id 0 alone. Only documents longer than ``length`` are cut, the shorter
-    piece first. Full pieces are sequences of their own. The others go in a
-    seeded order to packers of about ``packer_pieces`` pieces; each holds at most
-    ``open_bins`` open bins and puts a piece into the fullest that takes it. A
+    piece first. Full pieces are sequences of their own. The others go to
+    packers of about ``packer_pieces`` pieces, in seeded waves of about ``open_bins``
+    pieces, the longest of a wave first; a packer holds at most ``open_bins``
+    open bins and puts a piece into the fullest that takes it. A
     row that is repeated is packed as often as it occurs; of equal ids and texts
     the pieces are interchangeable.
     """
@@ -138,9 +139,11 @@ def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, pack
     # Full pieces count down from -1, packers up from 2^40.
     full = pieces.filter(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     part = pieces.filter(F.col("length") < length)
-    tasks = part.count() // packer_pieces + 1
+    count = part.count()
+    waves, tasks = count // open_bins + 1, count // packer_pieces + 1
     order = F.xxhash64("doc_id", "piece", "mark")
-    dealt = part.withColumn("_order", order).repartition(tasks, "_order").sortWithinPartitions("_order", "doc_id", "piece").drop("_order")
+    dealt = part.withColumn("_order", order).withColumn("_wave", F.pmod("_order", F.lit(waves))).repartition(tasks, "_wave")
+    dealt = dealt.sortWithinPartitions("_wave", F.desc("length"), "_order", "doc_id", "piece").drop("_order", "_wave")
     placed = dealt.mapInArrow(packed(length, open_bins), types + ", sequence_id long, offset long")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "mark"]
     return stage(full.select(*columns).unionByName(placed.select(*columns)), "pack-placed")
