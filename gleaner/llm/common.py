@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import fresh_dir
+from gleaner.session import stage
 
 #: Rows handed to a Python worker at once. Whole texts may be long, so batches are kept short.
 BATCH_ROWS = 256
@@ -42,9 +42,7 @@ def word_count(text: str = "text"):
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """As :func:`gleaner.session.stage`, in a denser format for tables that hold texts."""
-    path = fresh_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, label, compression="zstd")
 
 
 def discard(*tables: DataFrame) -> None:
