@@ -36,6 +36,8 @@ BLOCKS_PER_SCAN = 4
 MANY_TASKS, MERGES = 512, 64
 CELLS = 4_000_000
 PLACES = 9
+# Width of a projection cell.
+CELL = 0.5
 SLACK = 1e-8
 
 
@@ -65,19 +67,16 @@ class _Best:
         # Distance of the current k-th row of each question.
         self.limits = np.full(len(questions), np.inf)
 
-    def offer(self, asked, vectors, ranks, names, ids, sources, allowed=None) -> None:
+    def offer(self, asked, vectors, ranks, names, ids, sources) -> None:
         """Offer a batch of rows to the asked questions."""
         step = max(1, CELLS // max(1, len(asked)))
         for lo in range(0, len(vectors), step):
             part = slice(lo, lo + step)
-            mask = None if allowed is None else allowed[:, part]
-            self._offer(asked, vectors[part], ranks[part], names[part], ids[part], sources[part], mask)
+            self._offer(asked, vectors[part], ranks[part], names[part], ids[part], sources[part])
 
-    def _offer(self, asked, vectors, ranks, names, ids, sources, mask) -> None:
+    def _offer(self, asked, vectors, ranks, names, ids, sources) -> None:
         rows = (vectors**2).sum(axis=1)
         about = rows[None, :] + self.squares[asked][:, None] - 2.0 * (self.questions[asked] @ vectors.T)
-        if mask is not None:
-            about = np.where(mask, about, np.inf)
         slack = SLACK * (1.0 + rows.max(initial=0.0) + self.squares[asked])
         bound = self.limits[asked]
         if vectors.shape[0] > self.k:
@@ -110,7 +109,7 @@ def _widths(column: pa.Array) -> np.ndarray:
     return lengths
 
 
-def _scanner(blocks, k: int, hashed: bool):
+def _scanner(blocks, k: int):
     """Batch function: chunk rows in, the task's best rows per question out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,23 +124,9 @@ def _scanner(blocks, k: int, hashed: bool):
                 vectors = _matrix(rows.column("embedding"))
                 ranks = rows.column("_rank").to_numpy(zero_copy_only=False)
                 named = [rows.column(c) for c in ("collection", "id", "source")]
-                cells = _matrix(rows.column("_cells")) if hashed else None
                 for probe, best in zip(probes, bests):
-                    if width not in probe:
-                        continue
-                    own, everyone = probe[width], np.arange(len(probe[width]["vectors"]))
-                    if not hashed:
-                        best[width].offer(everyone, vectors, ranks, *named)
-                        continue
-                    # Rows no question shares a cell with are gone before any distance.
-                    used = [np.isin(cells[:, t], own["cells"][:, t]) for t in range(cells.shape[1])]
-                    near = np.flatnonzero(np.any(used, axis=0))
-                    step = max(1, CELLS // own["cells"].size)
-                    for lo in range(0, len(near), step):
-                        part = near[lo : lo + step]
-                        allowed = (own["cells"][:, None, :] == cells[None, part, :]).any(axis=2)
-                        take = [c.take(pa.array(part)) for c in named]
-                        best[width].offer(everyone, vectors[part], ranks[part], *take, allowed=allowed)
+                    if width in probe:
+                        best[width].offer(np.arange(len(probe[width]["vectors"])), vectors, ranks, *named)
         for probe, best in zip(probes, bests):
             for width, own in probe.items():
                 question, rows = [], []
@@ -163,7 +148,7 @@ def _scanner(blocks, k: int, hashed: bool):
     return scan
 
 
-def _probe(block: pa.Table, cells: bool) -> dict[int, dict]:
+def _probe(block: pa.Table) -> dict[int, dict]:
     """Questions of a block by the width of their vectors; unusable vectors are left out."""
     vectors = block.column("vector").combine_chunks()
     widths = _widths(vectors)
@@ -171,8 +156,6 @@ def _probe(block: pa.Table, cells: bool) -> dict[int, dict]:
     for width in sorted(set(widths.tolist()) - {0}):
         rows = pa.array(np.flatnonzero(widths == width))
         out[width] = {"qid": block.column("qid").combine_chunks().take(rows), "vectors": _matrix(vectors.take(rows))}
-        if cells:
-            out[width]["cells"] = _matrix(block.column("_cells").combine_chunks().take(rows))
     return out
 
 
@@ -190,13 +173,12 @@ def _blocks(probes: DataFrame) -> Iterator[pa.Table]:
 
 
 def _survivors(
-    chunks: DataFrame, probes: DataFrame, k: int, order: tuple[str, ...], cells: bool = False, tasks: int | None = None
+    chunks: DataFrame, probes: DataFrame, k: int, order: tuple[str, ...], tasks: int | None = None
 ) -> tuple[DataFrame, int]:
     """Best rows of every task, and the number of question blocks."""
     spark = chunks.sparkSession
     probes = probes.where(F.col("vector").isNotNull())
-    columns = ["collection", "id", "source", "embedding", *(["_cells"] if cells else [])]
-    rows = chunks.select(*columns, collection_rank(order).alias("_rank"))
+    rows = chunks.select("collection", "id", "source", "embedding", collection_rank(order).alias("_rank"))
     if tasks:
         rows = rows.coalesce(tasks)
     schema = T.StructType(
@@ -209,12 +191,12 @@ def _survivors(
             T.StructField("_rank", T.IntegerType()),
         ]
     )
-    shared = [spark.sparkContext.broadcast(_probe(block, cells)) for block in _blocks(probes) if block.num_rows]
+    shared = [spark.sparkContext.broadcast(_probe(block)) for block in _blocks(probes) if block.num_rows]
     if not shared:
         return spark.createDataFrame([], schema), 0
     out = None
     for first in range(0, len(shared), BLOCKS_PER_SCAN):
-        scanned = rows.mapInArrow(_scanner(shared[first : first + BLOCKS_PER_SCAN], k, cells), schema)
+        scanned = rows.mapInArrow(_scanner(shared[first : first + BLOCKS_PER_SCAN], k), schema)
         out = scanned if out is None else out.unionByName(scanned)
     if out.rdd.getNumPartitions() > MANY_TASKS:
         out = _ranked(out.withColumn("_merge", F.spark_partition_id() % MERGES), ["qid", "_merge"], k, "_first").drop("_merge", "_first")
@@ -284,39 +266,62 @@ def nearest_in_source(chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS,
     )
 
 
+def projections(width: int, tables: int = 6, seed: int = 7) -> list[list[float]]:
+    """Fixed directions of length one, one per table."""
+    drawn = np.random.default_rng(seed).normal(size=(tables, width))
+    return np.round(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), 6).tolist()
+
+
+def cells(vector: Column | str, directions: list[list[float]], bucket_length: float = CELL) -> Column:
+    """The projection cell of a vector in every table; NULL for one of another width or with an unusable element."""
+    values = F.transform(vector, lambda x: x.cast("double"))
+    found = []
+    for direction in directions:
+        along = F.zip_with(values, F.array(*[F.lit(d) for d in direction]), lambda a, b: a * b)
+        found.append(F.floor(F.aggregate(along, F.lit(0.0), lambda total, x: total + x) / bucket_length))
+    good = (F.size(vector) == len(directions[0])) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(good, F.array(*found))
+
+
+def cell_postings(chunks: DataFrame, directions: list[list[float]], bucket_length: float = CELL) -> DataFrame:
+    """``table, cell, collection, id, source`` of every chunk: the approximate index, to be stored once with the chunks."""
+    held = chunks.select("collection", "id", "source", cells(F.col("embedding"), directions, bucket_length).alias("_cells"))
+    return held.where(F.col("_cells").isNotNull()).select("collection", "id", "source", F.posexplode("_cells").alias("table", "cell"))
+
+
 def nearest_approx(
     chunks: DataFrame,
     questions: DataFrame,
     k: int = S.TOP_K,
-    bucket_length: float = 0.5,
-    tables: int = 6,
-    seed: int = 7,
+    directions: list[list[float]] | None = None,
+    postings: DataFrame | None = None,
+    bucket_length: float = CELL,
 ) -> DataFrame:
     """Nearest chunks among those that share a projection cell with the question.
 
-    Cells come from Spark ML's bucketed random projections; candidates are
-    ranked by exact distance. A question with fewer than ``k`` candidates is
-    answered by the exact search instead.
+    ``postings`` is the stored index of :func:`cell_postings` for the same
+    ``directions``; without one it is made on the way. Questions meet it by table
+    and cell, candidates are fetched by id and ranked by exact distance. A
+    question with fewer than ``k`` candidates is answered by the exact search.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    with_vector = questions.select("qid", "vector").withColumn("_v", array_to_vector("vector"))
-    model = lsh.fit(with_vector)
-
-    def celled(df: DataFrame) -> DataFrame:
-        cells = F.array(*[vector_to_array(F.col("_h")[i])[0] for i in range(tables)])
-        return model.transform(df).withColumn("_cells", cells).drop("_v", "_h")
-
-    hashed = celled(chunks.where(F.col("embedding").isNotNull()).withColumn("_v", array_to_vector("embedding")))
-    rows, passes = _survivors(hashed, celled(with_vector), k, S.RETRIEVAL_ORDER, cells=True)
+    if directions is None:
+        head = questions.where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
+        directions = projections(head["n"] if head else 1)
+    asked = questions.select("qid", "vector").withColumn("_cells", cells(F.col("vector"), directions, bucket_length))
+    asked = stage(asked.where(F.col("_cells").isNotNull()), "approx-questions")
+    postings = cell_postings(chunks, directions, bucket_length) if postings is None else postings
+    probes = broadcast_if_small(asked.select("qid", F.posexplode("_cells").alias("table", "cell")))
+    met = postings.join(probes, ["table", "cell"]).select("qid", "collection", "id", "source").distinct()
+    rows = chunks.select("collection", "id", "source", "embedding")
+    held = met.join(rows, (met["collection"] == rows["collection"]) & (met["id"] == rows["id"]) & met["source"].eqNullSafe(rows["source"]))
+    held = held.select("qid", met["collection"], met["id"], met["source"], "embedding").join(broadcast_if_small(asked.select("qid", "vector")), "qid")
+    gap = F.zip_with(F.col("embedding").cast("array<double>"), F.col("vector").cast("array<double>"), lambda a, b: (a - b) * (a - b))
+    distance = F.round(F.aggregate(gap, F.lit(0.0), lambda total, x: total + x), PLACES)
+    scored = held.select("qid", "collection", "id", "source", distance.alias("distance"), collection_rank(S.RETRIEVAL_ORDER).alias("_rank"))
     # Read three times below: staged, so the scan runs once.
-    ranked = stage(_ranked(rows, ["qid"], k, "rank"), "approx")
+    ranked = stage(_ranked(scored, ["qid"], k, "rank"), "approx")
     enough = ranked.groupBy("qid").count().where(F.col("count") >= k).select("qid")
-    found = _with_text(ranked.join(enough, "qid", "left_semi"), chunks, passes)
+    found = _with_text(ranked.join(enough, "qid", "left_semi"), chunks, 2)
     columns = ["qid", "rank", "collection", "id", "source", "document", "distance"]
-    short = questions.join(enough, "qid", "left_anti")
-    return found.select(*columns).unionByName(nearest(chunks, short, k))
+    short = stage(questions.select("qid", "vector").join(enough, "qid", "left_anti"), "approx-short")
+    return found.select(*columns) if short.isEmpty() else found.select(*columns).unionByName(nearest(chunks, short, k))

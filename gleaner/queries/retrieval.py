@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner import schemas as S
 from gleaner.functions.embedding import bucket_counts, hash_embedder, token_buckets
 from gleaner.operators import citations as C
-from gleaner.operators.nearest import nearest, nearest_approx, nearest_in_source
+from gleaner.operators.nearest import CELL, cell_postings, nearest, nearest_approx, nearest_in_source, projections
 from gleaner.plans.answer import answer_questions, answer_snippets, direct_answers, evidence_texts, question_cites
 from gleaner.queries.facts import FACT_SQL, INVOICE_SQL, poster_images
 from gleaner.queries.common import (
@@ -30,6 +30,7 @@ from gleaner.queries.common import (
     vector_corpus,
     with_odd_vectors,
 )
+from gleaner.session import stage
 
 WIDE = S.TOP_K * S.WIDEN
 
@@ -49,8 +50,14 @@ def retrieve_text(spark, root):
     return _hits(nearest(text_corpus(spark, root), benchmark_questions(spark, root)))
 
 
+DIRECTIONS = projections(64)
+
+
 def retrieve_approx(spark, root):
-    return _hits(nearest_approx(vector_corpus(spark, root), label_questions(spark, root)))
+    """Questions against a stored index of projection cells."""
+    corpus = stage(with_odd_vectors(vector_corpus(spark, root)), "corpus")
+    postings = stage(cell_postings(corpus, DIRECTIONS), "postings")
+    return _hits(nearest_approx(corpus, label_questions(spark, root), directions=DIRECTIONS, postings=postings))
 
 
 def retrieve_dedupe_by_source(spark, root):
@@ -382,12 +389,29 @@ QUERIES = {
 }
 
 _HITS = "SELECT qid, rank, collection, id, source, round(distance, 6) AS distance FROM ranked"
+_DIRECTIONS_SQL = " UNION ALL ".join(f"SELECT {t} AS t, {direction}::DOUBLE[] AS p" for t, direction in enumerate(DIRECTIONS))
 _TEXT_CITES_SQL = _DEDUPED_SQL.replace(VECTOR_CORPUS_SQL, TEXT_CORPUS_SQL).replace(
     LABEL_QUESTIONS_SQL, BENCHMARK_QUESTIONS_SQL
 )
 
 ORACLES = {
     "retrieve_topk": f"WITH {VECTOR_CORPUS_SQL},{LABEL_QUESTIONS_SQL},{ranked_sql(S.TOP_K)} {_HITS}",
+    "retrieve_approx": f"""WITH {VECTOR_CORPUS_SQL},{LABEL_QUESTIONS_SQL},
+directions AS ({_DIRECTIONS_SQL}),
+chunk_cells AS (SELECT collection, id, t, floor(list_dot_product(vec, p) / {CELL}) AS cell FROM corpus CROSS JOIN directions),
+question_cells AS (SELECT qid, t, floor(list_dot_product(qvec, p) / {CELL}) AS cell FROM questions CROSS JOIN directions),
+met AS (SELECT DISTINCT qid, collection, id FROM chunk_cells JOIN question_cells USING (t, cell)),
+enough AS (SELECT qid FROM met GROUP BY qid HAVING count(*) >= {S.TOP_K}),
+scored AS (
+  SELECT q.qid, c.collection, c.id, c.source, round(pow(list_distance(c.vec, q.qvec), 2), 9) AS distance
+  FROM questions q CROSS JOIN corpus c
+  WHERE q.qid NOT IN (SELECT qid FROM enough) OR EXISTS (SELECT 1 FROM met m WHERE m.qid = q.qid AND m.collection = c.collection AND m.id = c.id)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, {rank_of('collection', S.RETRIEVAL_ORDER)}, id) AS rank
+  FROM scored QUALIFY rank <= {S.TOP_K}
+)
+{_HITS}""",
     "retrieve_text": f"WITH {TEXT_CORPUS_SQL},{BENCHMARK_QUESTIONS_SQL},{ranked_sql(S.TOP_K)} {_HITS}",
     "retrieve_dedupe_by_source": f"WITH {_DEDUPED_SQL} "
     "SELECT qid, n, id, collection, source, round(distance, 6) AS distance FROM cites",

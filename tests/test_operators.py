@@ -260,3 +260,73 @@ def test_introspection(spark):
     assert [tuple(r)[:2] for r in run_sql(spark, "DESCRIBE TABLE shown").collect()] == [("id", "bigint"), ("name", "string")]
     assert "Range" in run_sql(spark, "EXPLAIN FORMATTED SELECT * FROM shown").head()[0]
     assert "shown" in {r["tableName"] for r in run_sql(spark, "SHOW TABLES").collect()}
+
+
+# --- retrieval on odd input -------------------------------------------------
+
+
+def test_unusable_vectors_and_mixed_widths(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("ti_pdfs", f"g{i}", "s", "t", [float(i), 0.0]) for i in range(6)] + [("ti_pdfs", f"w{i}", "s", "t", [float(i), 0.0, 1.0]) for i in range(3)]
+    rows += [("ti_pdfs", "n", "s", "t", [nan, 0.0]), ("ti_pdfs", "z", "s", "t", [None, 0.0]), ("ti_pdfs", "i", "s", "t", [inf, 0.0]), ("ti_pdfs", "e", "s", "t", []), ("ti_pdfs", "x", "s", "t", None)]
+    chunks = spark.createDataFrame(rows, "collection string, id string, source string, document string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.2, 0.0]), (2, [1.9, 0.0, 1.0]), (3, [nan, 0.0]), (4, None)], "qid long, vector array<double>")
+    got = {}
+    for r in N.nearest(chunks, asked, 3).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == {1: ["g0", "g1", "g2"], 2: ["w2", "w1", "w0"]}
+    probes = asked.select(F.col("qid").cast("string").alias("qid"), F.lit("s").alias("source"), "vector")
+    found = sorted((r["qid"], r["snippet_no"], r["id"]) for r in N.nearest_in_source(chunks, probes, 2).collect())
+    assert found == [("1", 1, "g0"), ("1", 2, "g1"), ("2", 1, "w2"), ("2", 2, "w1")]
+
+
+def test_one_id_under_two_sources_and_blank_texts(spark):
+    rows = [("ti_pdfs", "a", "s", "right", [0.0]), ("ti_pdfs", "a", "t", "other", [5.0]), ("ti_pdfs", "b", "s", " \t\n", [1.0])]
+    chunks = spark.createDataFrame(rows, "collection string, id string, source string, document string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.0])], "qid long, vector array<double>")
+    assert [(r["rank"], r["document"]) for r in N.nearest(chunks, asked, 1).collect()] == [(1, "right")]
+    probes = asked.select(F.lit("p").alias("qid"), F.lit("s").alias("source"), "vector")
+    assert [r["id"] for r in N.nearest_in_source(chunks, probes, 3).collect()] == ["a"]
+
+
+def test_snippets_of_a_stored_table_read_their_bucket_only(spark, tmp_path):
+    table = upsert.ChunkTable(spark, str(tmp_path / "t"), buckets=8)
+    table.upsert(chunk_rows(spark, "a", 5, "x").unionByName(chunk_rows(spark, "b", 3, "y")).drop("embedding").withColumn("embedding", F.array(F.col("chunk_no").cast("float"))))
+    probes = spark.createDataFrame([("p", "a", [2.2])], "qid string, source string, vector array<double>")
+    found = N.nearest_in_source(table.read(), probes, 2, buckets=8)
+    assert [r["id"] for r in found.orderBy("snippet_no").collect()] == ["a#chunk=2", "a#chunk=3"]
+    assert "dynamicpruning" in found._jdf.queryExecution().toString().lower()
+
+
+def test_an_id_moves_between_sources(spark, tmp_path):
+    table = upsert.ChunkTable(spark, str(tmp_path / "t"), buckets=8)
+    table.upsert(chunk_rows(spark, "a", 3, "x"))
+    moved = chunk_rows(spark, "a", 2, "y").withColumn("source", F.lit("elsewhere"))
+    table.upsert(moved)
+    assert stored(table) == [("a#chunk=0", "y0"), ("a#chunk=1", "y1"), ("a#chunk=2", "x2")]
+    assert table.add_new(chunk_rows(spark, "a", 3, "z").withColumn("source", F.lit("third")), hash_embedder(8)) == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        upsert.ChunkTable(spark, str(tmp_path / "broken")).read().collect()
+
+
+def test_sparse_orders_are_spread_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be one range
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("o"), F.lit(1).alias("v"))
+    ranged = numbering._ranged(rows, ["o"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    counts = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(counts) > 1 and max(counts) < 3 * 20_000 / len(counts)
+    got = numbering.number_rows(rows, [], "o", "n").orderBy("o").select("n").collect()
+    assert [r["n"] for r in got] == list(range(20_000))
+
+
+def test_composites_store_and_report(spark, tmp_path):
+    from gleaner.plans import ingest
+
+    store = upsert.ChunkTable(spark, str(tmp_path / "t"), buckets=2)
+    pages = spark.createDataFrame([("a", 1, "one"), ("a", 1, "two"), ("b", None, None), ("c", 3, " "), (None, 1, "x")], "source string, page long, text string")
+    got = {r["name"]: (r["chunks"], r["status"], r["error"]) for r in ingest.store_paged(store, pages).collect()}
+    assert got == {"a": (2, "Processed", None), "b": (0, "Failed", "no text"), "c": (0, "Empty", None), None: (0, "Failed", "no text")}
+    assert {r["id"] for r in store.read().collect()} == {"a#page=1_chunk=0", "a#page=1_chunk=1"}
