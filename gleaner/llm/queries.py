@@ -133,6 +133,41 @@ b AS (SELECT *, array_to_string([
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM b
+""",
+    "op3_suffixes": """
+WITH coded AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS w FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 199)) AS i FROM coded)),
+often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+flagged AS (SELECT doc_id, i FROM windows JOIN often USING (w)),
+cut AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS fresh FROM flagged),
+runs AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM cut),
+spans AS MATERIALIZED (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY 1, 2),
+ends AS (
+  SELECT doc_id, a, b FROM spans
+  UNION ALL SELECT doc_id, length(h) // 2, NULL FROM coded),
+between_spans AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST), 0) AS from_ FROM ends),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY from_) AS k FROM between_spans JOIN coded USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM coded JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY 1) USING (doc_id)
+""",
+    "op4_sharding": """
+WITH steps AS (SELECT [list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) FOR i IN range(256)] AS step),
+coded AS (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents),
+rows AS MATERIALIZED (
+  SELECT doc_id, (length(h) // 2 + 1)::BIGINT AS size, coalesce('s' || source, 'z') AS stratum, md5('shards:' || coalesce(doc_id::VARCHAR, '')) AS draw,
+    xor(list_reduce(
+      list_concat([4294967295::BIGINT], [('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(length(h) // 2)]),
+      lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM coded, steps),
+spread AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id, text_crc32, size) - 0.5::DOUBLE)
+    / count(*) OVER (PARTITION BY stratum) AS part FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY part, stratum, draw, doc_id, text_crc32, size) - 1 AS g, count(*) OVER () AS n FROM spread)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (g * 8 // n)::INT AS shard, (g - ((g * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM placed
 """,
     "op5_mixing": r"""
 WITH RECURSIVE rows AS (
