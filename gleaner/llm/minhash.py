@@ -34,6 +34,9 @@ KEPT, MARGIN = 64, 0.3
 #: Sets of a block, and most sets that are compared together because lists connect them.
 BLOCK, TOGETHER = 512, 8_192
 
+#: Cost of a cell of the table that compares all sets at once, against that of a value in the comparison of two.
+TABLE_COST = 0.002
+
 
 def _sketches(words: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,14 +79,15 @@ def _table(sets: list[np.ndarray], columns: int) -> Iterator[np.ndarray]:
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = np.flatnonzero(count > 1)
-    column = np.full(len(count), -1)
-    column[often] = np.arange(len(often))
-    place = column[at]
-    for first in range(0, len(often), columns):
-        own = (place >= first) & (place < first + columns)
-        table = np.zeros((len(sets), min(columns, len(often) - first)), np.float32)
-        table[owner[own], place[own] - first] = 1
+    held = np.flatnonzero(count[at] > 1)
+    held = held[np.argsort(at[held], kind="stable")]
+    if not len(held):
+        return
+    column = np.cumsum(np.r_[0, np.diff(at[held]) > 0])
+    for first in range(0, int(column[-1]) + 1, columns):
+        lo, hi = np.searchsorted(column, (first, first + columns))
+        table = np.zeros((len(sets), columns), np.float32)
+        table[owner[held[lo:hi]], column[lo:hi] - first] = 1
         yield table
 
 
@@ -102,23 +106,28 @@ def linked_pairs(full: list[np.ndarray], block: np.ndarray, percent: int, kept:
     estimates the similarity; pairs above the margin are confirmed on the full sets.
     """
     margin = max(percent / 100 - MARGIN, 0.1)
-    size = np.array([len(s) for s in full], np.float64)
+    size = np.array([len(s) for s in full], np.int64)
     sketch = [s[:kept] for s in full]
     last = np.array([s[-1] if len(f) > kept else np.uint64(2**64 - 1) for s, f in zip(sketch, full)], np.uint64)
     below = np.stack([np.searchsorted(s, last, side="right") for s in sketch]).astype(np.float32)
     shared = _shared(sketch)
-    good = shared >= margin * (below + below.T - shared) - 1e-3
+    union = np.maximum(below + below.T - shared, 1)
+    good = shared >= margin * union - 1e-3
     good &= np.minimum.outer(size, size) * 100 >= percent * np.maximum.outer(size, size)
     if block.min() != block.max():
         good &= block[:, None] != block[None, :]
     one, two = np.nonzero(np.triu(good, 1))
     if not len(one):
         return []
+    # The likeliest first: what they join need not be compared again.
+    order = np.argsort(-(shared / union)[one, two], kind="stable")
+    one, two = one[order], two[order]
     rows = np.unique(np.concatenate([one, two]))
-    place = np.full(len(full), -1)
-    place[rows] = np.arange(len(rows))
-    both = _shared([full[i] for i in rows])[place[one], place[two]].astype(np.int64)
-    sure = both * 100 >= percent * (size[one] + size[two] - both)
+    counted = None
+    if len(rows) ** 2 * size[rows].sum() * TABLE_COST <= (size[one] + size[two]).sum():
+        place = np.full(len(full), -1)
+        place[rows] = np.arange(len(rows))
+        counted = _shared([full[i] for i in rows])[place[one], place[two]].astype(np.int64)
     parent = list(range(len(full)))
 
     def root(i: int) -> int:
@@ -128,9 +137,12 @@ def linked_pairs(full: list[np.ndarray], block: np.ndarray, percent: int, kept:
         return i
 
     out = []
-    for i, j in zip(one[sure].tolist(), two[sure].tolist()):
+    for n, (i, j) in enumerate(zip(one.tolist(), two.tolist())):
         a, b = root(i), root(j)
-        if a != b:
+        if a == b:
+            continue
+        both = len(np.intersect1d(full[i], full[j], assume_unique=True)) if counted is None else int(counted[n])
+        if both * 100 >= percent * (int(size[i]) + int(size[j]) - both):
             parent[a] = b
             out.append((i, j))
     return out
