@@ -39,12 +39,13 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K)
 
 
 def answer_snippets(
-    chunks: DataFrame, answers: DataFrame, shown: int = S.SHOWN_SOURCES, n: int = S.SNIPPETS
+    chunks: DataFrame, answers: DataFrame, shown: int = S.SHOWN_SOURCES, n: int = S.SNIPPETS, buckets: int | None = None
 ) -> DataFrame:
     """Evidence for stored answers (``answer_id, vector, text``).
 
     The first ``shown`` sources of each answer's block are looked up, the ``n``
-    nearest chunks of each returned: one job for all answers.
+    nearest chunks of each returned: one job for all answers. ``buckets`` of a
+    stored chunk table limit what is read.
     """
     parsed = answers.select(
         "answer_id", "vector", F.posexplode(F.slice(C.parse_sources(F.col("text")), 1, shown)).alias("_i", "_s")
@@ -57,7 +58,7 @@ def answer_snippets(
         F.col("_s.source").alias("source"),
         "vector",
     )
-    found = nearest_in_source(chunks, slots, n).select("qid", "snippet_no", F.col("document").alias("chunk"))
+    found = nearest_in_source(chunks, slots, n, buckets).select("qid", "snippet_no", F.col("document").alias("chunk"))
     return slots.drop("vector").join(found, "qid", "left").drop("qid")
 
 
