@@ -35,7 +35,7 @@ KEPT, MARGIN = 64, 0.3
 BLOCK, TOGETHER = 512, 8_192
 
 #: Cost of a cell of the table that compares all sets at once, against that of a value in the comparison of two.
-TABLE_COST = 0.002
+TABLE_COST = 0.01
 
 
 def _sketches(words: int, kept: int):
@@ -124,7 +124,8 @@ def linked_pairs(full: list[np.ndarray], block: np.ndarray, percent: int, kept:
     one, two = one[order], two[order]
     rows = np.unique(np.concatenate([one, two]))
     counted = None
-    if len(rows) ** 2 * size[rows].sum() * TABLE_COST <= (size[one] + size[two]).sum():
+    common = np.unique(np.concatenate([full[i] for i in rows]), return_counts=True)[1]
+    if len(rows) ** 2 * int((common > 1).sum()) * TABLE_COST <= (size[one] + size[two]).sum():
         place = np.full(len(full), -1)
         place[rows] = np.arange(len(rows))
         counted = _shared([full[i] for i in rows])[place[one], place[two]].astype(np.int64)
