@@ -2,7 +2,8 @@
 
 Each tree splits a bounded sample at every node by the hyperplane between two centres,
 drawn at random and moved by a few steps of two means. Every row goes down every tree to
-a leaf. A query goes down all trees with one priority queue: the leaf whose
+a leaf. Equal vectors are one row of the trees, with as many of their ids as an answer can hold.
+A query goes down all trees with one priority queue: the leaf whose
 worst wrong turn has the smallest margin comes next, whichever tree it is in, until
 the leaves hold enough rows. Their rows are then ranked by exact distance: leaves, in
 blocks of bounded size, meet the queries that visit them, a task keeps the
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from gleaner.llm.common import short_batches
 from gleaner.session import stage
@@ -25,7 +27,7 @@ from gleaner.session import stage
 #: Trees, rows of the sample they are built on at most, rows wanted in a leaf, rows of a block of a leaf.
 TREES, SAMPLE_ROWS, LEAF_ROWS, BLOCK_ROWS = 24, 32_768, 100, 4_096
 
-#: Rows that the leaves of a query hold together, rows counted once for each tree they are found in: a share of all rows, and
+#: Distinct vectors that the leaves of a query hold together, counted once for each tree they are found in: a share of all, and
 #: at least so many. Vectors without clusters need a large share for a recall of 0.9; clustered ones do with far less.
 SHARE, LEAST_ROWS, SEED = 0.8, 4_000, 11
 
@@ -38,6 +40,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(good).distinct().withColumn("width", F.size("embedding"))
 
 
+def classes(rows: DataFrame, k: int) -> DataFrame:
+    """``width, embedding, ids``: each vector of ``rows`` once, with its ``k + 1`` smallest ids; one of them may be the query's own.
+
+    A larger id of the same vector is no answer: ``k`` others stand before it.
+    """
+    # A bounded heap in every task before the exchange: a vector that many ids share stays small.
+    return rows.groupBy("width", "embedding").agg(F.sort_array(InternalFunction.collect_top_k(F.col("vec_id"), k + 1, True)).alias("ids"))
+
+
 def build_tree(sample: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(normals, thresholds) of the inner nodes in heap order; node ``i`` has the children ``2i + 1`` and ``2i + 2``."""
     draw = np.random.default_rng(seed)
@@ -90,14 +101,14 @@ def _celled(forest: list[tuple[np.ndarray, np.ndarray]], depth: int, width: int)
                     node = 2 * node + 1 + ((rows * normals[node]).sum(axis=1) > limits[node])
                 cells[:, tree] = (tree << depth) + node - len(normals)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("embedding"), pa.array(list(cells), pa.list_(pa.int32()))], ["vec_id", "embedding", "cells"]
+                [batch.column("ids"), batch.column("embedding"), pa.array(list(cells), pa.list_(pa.int32()))], ["ids", "embedding", "cells"]
             )
 
     return run
 
 
 def visited(forest: list[tuple[np.ndarray, np.ndarray]], depth: int, held: np.ndarray, wanted: float, query: np.ndarray) -> list[int]:
-    """Leaves that a query visits, nearest first, until they hold ``wanted`` rows. ``held``: rows by leaf."""
+    """Leaves that a query visits, nearest first, until they hold ``wanted`` distinct vectors. ``held``: distinct vectors by leaf."""
     sides = [normals @ query - limits for normals, limits in forest]
     queue = [(0.0, tree, 0) for tree in range(len(forest))]
     cells, rows, inner = [], 0, (1 << depth) - 1
@@ -143,7 +154,7 @@ def _ranked(width: int, k: int):
     """Arrow function over rows sorted by block: the nearest of each query among the task's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"key": None, "ids": [], "rows": []}
+        state: dict = {"key": None, "ids": [], "row": [], "rows": []}
         held: list[tuple] = []
         size = 0
 
@@ -152,30 +163,36 @@ def _ranked(width: int, k: int):
             return got, pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["query_id", "vec_id", "score"])
 
         for batch in batches:
-            cells, blocks, kinds, ids = [batch.column(c).to_numpy() for c in ("cell", "block", "kind", "vec_id")]
+            cells, blocks, kinds = [batch.column(c).to_numpy() for c in ("cell", "block", "kind")]
+            lists = batch.column("ids")
+            ids, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
             rows = _matrix(batch.column("embedding"), width).astype(np.float64)
             cuts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1]), True])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key = (cells[a], blocks[a])
                 if key != state["key"]:
-                    state = {"key": key, "ids": [], "rows": []}
+                    state = {"key": key, "ids": [], "row": [], "rows": []}
                 if kinds[a] == 0:
-                    state["ids"].append(ids[a:b])
+                    before = sum(map(len, state["rows"]))
+                    state["ids"].append(ids[ends[a] : ends[b]])
+                    state["row"].append(np.repeat(np.arange(before, before + b - a), np.diff(ends[a : b + 1])))
                     state["rows"].append(rows[a:b])
                     continue
                 if not state["ids"]:
                     continue
                 if len(state["ids"]) > 1:
-                    state["ids"], state["rows"] = [np.concatenate(state["ids"])], [np.concatenate(state["rows"])]
-                own, members = state["ids"][0], state["rows"][0]
+                    for part in ("ids", "row", "rows"):
+                        state[part] = [np.concatenate(state[part])]
+                own, row, members = state["ids"][0], state["row"][0], state["rows"][0]
                 for i in range(a, b):
-                    distance = np.sqrt(((members - rows[i]) ** 2).sum(axis=1))
-                    other = own != ids[i]
+                    query = ids[ends[i]]
+                    distance = np.sqrt(((members - rows[i]) ** 2).sum(axis=1))[row]
+                    other = own != query
                     near, names = distance[other], own[other]
                     if len(near) > k:
                         limit = np.partition(near, k - 1)[k - 1]
                         near, names = near[near <= limit], names[near <= limit]
-                    held.append((np.full(len(near), ids[i]), names, near))
+                    held.append((np.full(len(near), query), names, near))
                     size += len(near)
                 if size > 200_000:
                     got, out = batch_of()
@@ -205,8 +222,11 @@ def search(
     short_batches(spark)
     rows = stage(usable(vectors), "near-vectors")
     whole = None
-    for got in rows.groupBy("width").count().collect():
-        found = _search_one(rows.filter(F.col("width") == got["width"]), got["width"], got["count"], every, k, trees, share, least_rows, seed)
+    distinct = stage(classes(rows, k), "near-classes")
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    for got in distinct.groupBy("width").count().collect():
+        own = F.col("width") == got["width"]
+        found = _search_one(distinct.filter(own), asked.filter(own), got["width"], got["count"], k, trees, share, least_rows, seed)
         whole = found if whole is None else whole.unionByName(found)
     if whole is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -215,32 +235,33 @@ def search(
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_one(rows: DataFrame, width: int, count: int, every: int, k: int, trees: int, share: float, least_rows: int, seed: int) -> DataFrame:
+def _search_one(
+    rows: DataFrame, asked: DataFrame, width: int, count: int, k: int, trees: int, share: float, least_rows: int, seed: int
+) -> DataFrame:
     spark = rows.sparkSession
     deepest = max(0, int(np.log2(SAMPLE_ROWS // 16)))
     depth = min(max(0, int(np.log2(max(count / LEAF_ROWS, 1)))), deepest)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+    chosen = rows.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE_ROWS).select("embedding").toArrow().column(0).combine_chunks()
     sample = _matrix(chosen, width).astype(np.float32)
     made = spark.range(trees).repartition(trees).mapInArrow(_built(sample, depth, seed), "tree long, normals binary, limits binary").collect()
     forest = [
         (np.frombuffer(r["normals"], np.float32).reshape(-1, width), np.frombuffer(r["limits"], np.float32)) for r in sorted(made, key=lambda r: r["tree"])
     ]
     element = rows.schema["embedding"].dataType.elementType.simpleString()
-    types = f"vec_id long, embedding array<{element}>, cells array<int>"
-    index = stage(rows.select("vec_id", "embedding").mapInArrow(_celled(forest, depth, width), types), "near-index")
+    types = f"embedding array<{element}>, cells array<int>"
+    index = stage(rows.select("ids", "embedding").mapInArrow(_celled(forest, depth, width), "ids array<long>, " + types), "near-index")
     # As many rows as the forest has leaves.
     sizes = index.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
     held = np.zeros(trees << depth, np.int64)
     for r in sizes.collect():
         held[r["cell"]] = r["n"]
     wanted = max(share * count, least_rows, trees * (k + 1))
-    queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    probes = queries.mapInArrow(_probes(forest, depth, width, held, wanted), types)
+    probes = asked.select("vec_id", "embedding").mapInArrow(_probes(forest, depth, width, held, wanted), "vec_id long, " + types)
     blocks = [(int(c), int(-(-held[c] // BLOCK_ROWS))) for c in np.flatnonzero(held)]
     blocks = F.broadcast(spark.createDataFrame(blocks, "cell int, blocks int"))
-    members = index.select("vec_id", "embedding", F.explode("cells").alias("cell")).join(blocks, "cell")
-    members = members.select("cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    asked = probes.select("vec_id", "embedding", F.explode("cells").alias("cell")).join(blocks, "cell")
-    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    members = index.select("ids", "embedding", F.explode("cells").alias("cell")).join(blocks, "cell")
+    members = members.select("cell", F.pmod(F.xxhash64("embedding"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "ids", "embedding")
+    asked = probes.select(F.array("vec_id").alias("ids"), "embedding", F.explode("cells").alias("cell")).join(blocks, "cell")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "ids", "embedding")
     met = members.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
     return met.mapInArrow(_ranked(width, k), "query_id long, vec_id long, score double")

@@ -54,6 +54,23 @@ def test_one_vector_holds_a_third(spark, monkeypatch):
     assert got[0] == want[0] and got[300] == want[300]
 
 
+def test_copies_do_not_use_up_what_other_queries_visit(spark):
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(12_000, 64)).astype(np.float32)
+    values[::3] = values[0]
+    asked = [q for q in range(0, 12_000, 100) if q % 3]
+    got = answer(neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<float>")))
+    assert set(got) == set(range(0, 12_000, 100))
+    hits = 0
+    for q in asked:
+        distance = np.sqrt(((values.astype(np.float64) - values[q].astype(np.float64)) ** 2).sum(axis=1))
+        distance[q] = np.inf
+        best = np.lexsort((np.arange(len(distance)), distance))[:10]
+        hits += len({i for _, i in got[q]} & set(best.tolist()))
+    assert hits / (10 * len(asked)) >= 0.9
+    assert all([i for _, i in got[q]] == [i for i in range(0, 36, 3) if i != q][:10] for q in got if q % 3 == 0)
+
+
 def test_recall_on_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
