@@ -139,12 +139,14 @@ def _probes(forest, depth: int, width: int, held: np.ndarray, wanted: float):
 
 
 def _nearest(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int):
-    """The ``k`` best rows of every query, each found row once."""
-    order = np.lexsort((found, score, query))
+    """The ``k`` best ids of every query, each id once with its smallest score."""
+    # An id found in several leaves, or with several vectors, stands side by side.
+    order = np.lexsort((score, found, query))
     query, found, score = query[order], found[order], score[order]
-    # A row found in several leaves stands side by side: same query, score and id.
-    first = np.r_[True, (query[1:] != query[:-1]) | (found[1:] != found[:-1]) | (score[1:] != score[:-1])]
+    first = np.r_[True, (query[1:] != query[:-1]) | (found[1:] != found[:-1])]
     query, found, score = query[first], found[first], score[first]
+    order = np.lexsort((found, score, query))
+    query, found, score = query[order], found[order], score[order]
     start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
     rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
     return query[rank < k], found[rank < k], score[rank < k]
@@ -154,7 +156,7 @@ def _ranked(width: int, k: int):
     """Arrow function over rows sorted by block: the nearest of each query among the task's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"key": None, "ids": [], "row": [], "rows": []}
+        state: dict = {"key": None, "ids": [], "row": [], "rows": [], "repeats": None}
         held: list[tuple] = []
         size = 0
 
@@ -171,7 +173,7 @@ def _ranked(width: int, k: int):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key = (cells[a], blocks[a])
                 if key != state["key"]:
-                    state = {"key": key, "ids": [], "row": [], "rows": []}
+                    state = {"key": key, "ids": [], "row": [], "rows": [], "repeats": None}
                 if kinds[a] == 0:
                     before = sum(map(len, state["rows"]))
                     state["ids"].append(ids[ends[a] : ends[b]])
@@ -183,12 +185,19 @@ def _ranked(width: int, k: int):
                 if len(state["ids"]) > 1:
                     for part in ("ids", "row", "rows"):
                         state[part] = [np.concatenate(state[part])]
+                if state["repeats"] is None:
+                    state["repeats"] = len(np.unique(state["ids"][0])) < len(state["ids"][0])
                 own, row, members = state["ids"][0], state["row"][0], state["rows"][0]
                 for i in range(a, b):
                     query = ids[ends[i]]
                     distance = np.sqrt(((members - rows[i]) ** 2).sum(axis=1))[row]
                     other = own != query
                     near, names = distance[other], own[other]
+                    if state["repeats"]:
+                        order = np.lexsort((near, names))
+                        near, names = near[order], names[order]
+                        first = np.r_[True, names[1:] != names[:-1]][: len(names)]
+                        near, names = near[first], names[first]
                     if len(near) > k:
                         limit = np.partition(near, k - 1)[k - 1]
                         near, names = near[near <= limit], names[near <= limit]

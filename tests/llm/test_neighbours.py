@@ -71,6 +71,15 @@ def test_copies_do_not_use_up_what_other_queries_visit(spark):
     assert all([i for _, i in got[q]] == [i for i in range(0, 36, 3) if i != q][:10] for q in got if q % 3 == 0)
 
 
+def test_an_id_with_many_near_vectors_takes_one_place(spark):
+    draw = np.random.default_rng(4)
+    rows = [(0, [1.0] * 8)] + [(7, (1 + draw.normal(size=8) / 1000).tolist()) for _ in range(40)] + [(i, draw.normal(size=8).tolist()) for i in range(101, 161)]
+    got = answer(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), trees=4, share=9.0))
+    want = exact(rows, 100, 10)
+    assert [i for _, i in got[0]] == [i for _, i in want[0]] and len(got[0]) == 10
+    assert np.allclose([d for d, _ in got[0]], [d for d, _ in want[0]], rtol=1e-12)
+
+
 def test_recall_on_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [tuple(r) for r in vectors.select("vec_id", "embedding").collect()]
