@@ -6,6 +6,7 @@ import csv
 import hashlib
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import text as X
+from gleaner.session import stage
 
 # --- Fixed values -----------------------------------------------------------
 # Words a data frame library reads as missing.
@@ -26,6 +28,8 @@ MISSING = (
 # Larger files are hashed as a stream instead of as one value in memory.
 WHOLE_FILE_BYTES = 64 << 20
 _BLOCK = 1 << 20
+# Files hashed at once where only Hadoop's file systems reach them.
+_STREAMS = 8
 
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -80,7 +84,8 @@ def _opened(path: str):
         return open(re.sub(r"^file:/+", "/", path), "rb")
     from pyarrow import fs
 
-    system, where = fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
+    # Hadoop's names of the scheme that Arrow knows as s3.
+    system, where = fs.FileSystem.from_uri(quote(re.sub("^s3[an]://", "s3://", path), safe=":/@?=&%"))
     return system.open_input_stream(where)
 
 
@@ -94,18 +99,46 @@ def _stream_digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     while block := stream.read(_BLOCK):
                         digest.update(block)
                 digests.append(digest.hexdigest())
-            except Exception:  # noqa: BLE001  one unreadable file is one row without a hash
+            except Exception:  # noqa: BLE001  a file that Arrow does not reach is one row without a hash
                 digests.append(None)
         yield batch.assign(file_hash=digests)
 
 
+def _hadoop_hashes(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None]]:
+    """Paths and SHA-256 through the file systems that Spark's readers use; each file is a stream in the driver's JVM."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def digest(path: str) -> tuple[str, str | None]:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            stream = where.getFileSystem(conf).open(where)
+            try:
+                return path, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+            finally:
+                stream.close()
+        except Exception:  # noqa: BLE001  one unreadable file is one row without a hash
+            return path, None
+
+    with ThreadPoolExecutor(_STREAMS) as pool:
+        return list(pool.map(digest, paths))
+
+
 def stream_hashes(paths: DataFrame) -> DataFrame:
-    """``path`` and SHA-256, each file read as a stream of 1 MiB blocks; NULL for a file that cannot be read.
+    """``path`` and SHA-256, each file read as a stream; NULL for a file that cannot be read.
 
-    The size of a file never has to fit in memory.
+    The size of a file never has to fit in memory. Tasks read through Arrow's
+    file systems; what those do not reach, as a scheme they do not know, the
+    driver reads through Hadoop's, so a file that Spark can read has a hash.
     """
-    spread = paths.select("path").repartition(paths.sparkSession.sparkContext.defaultParallelism * 4, "path")
-    return spread.mapInPandas(_stream_digest, "path string, file_hash string")
+    spark = paths.sparkSession
+    spread = paths.select("path").repartition(spark.sparkContext.defaultParallelism * 4, "path")
+    hashed = stage(spread.mapInPandas(_stream_digest, "path string, file_hash string"), "hashes")
+    # Names only, and only of files that Arrow did not reach.
+    missed = [r["path"] for r in hashed.where("file_hash IS NULL").collect()]
+    if not missed:
+        return hashed
+    again = spark.createDataFrame(_hadoop_hashes(spark, missed), "path string, file_hash string")
+    return hashed.where("file_hash IS NOT NULL").unionByName(again)
 
 
 def hash_files(spark: SparkSession, root: str, limit: int = WHOLE_FILE_BYTES) -> DataFrame:

@@ -87,6 +87,21 @@ def test_hashes(spark, tmp_path):
         assert [r["file_hash"] for r in files.hash_files(spark, str(tmp_path), limit).collect()] == [want]
 
 
+def test_a_store_only_spark_reads_gives_hashes_for_any_size(spark, tmp_path):
+    up = tmp_path / "in"
+    write(up, "small one.csv", "k\n1\n")
+    write(up, "large.csv", "k,v\n" + "1,2\n" * 1000)
+    want = {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in up.iterdir()}
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.hashes.link./in", f"file://{up}")
+    for limit in (0, 100, 10**9):
+        assert {r["path"].split("/")[-1]: r["file_hash"] for r in files.hash_files(spark, "viewfs://hashes/in", limit).collect()} == want
+    warehouse = Warehouse(spark, str(tmp_path / "db"))
+    ingest_arrivals(warehouse, "viewfs://hashes/in/*.csv", str(tmp_path / "mark")).awaitTermination()
+    assert report(arrival_reports(warehouse)) == {"small one.csv": (S.STATUS_NEW, 1), "large.csv": (S.STATUS_NEW, 1000)}
+    gone = spark.createDataFrame([("viewfs://hashes/in/gone.csv",), (f"file:{up}/gone.csv",)], "path string")
+    assert [r["file_hash"] for r in files.stream_hashes(gone).collect()] == [None, None]
+
+
 def test_incremental_folder(spark, tmp_path):
     up = tmp_path / "up"
     warehouse = Warehouse(spark, str(tmp_path / "db"))
