@@ -19,10 +19,12 @@ def pages(fetched: DataFrame, position: str = "page_id") -> DataFrame:
     """
     urls = fetched.select(F.col(position).alias("_pos"), X.normalize_url("url").alias("source")).where(F.col("source") != "")
     first = urls.groupBy("source").agg(F.min("_pos").alias("_first"))
-    later = broadcast_if_small(urls.join(first, "source").where(F.col("_pos") > F.col("_first")).select("_pos"))
+    later = broadcast_if_small(urls.join(first, "source").where(F.col("_pos") > F.col("_first")).select("_pos", F.col("source").alias("_source")))
     html = F.col("html")
     named = fetched.withColumn("source", X.normalize_url("url")).where(F.col("source") != "")
-    return named.join(later, named[position] == later["_pos"], "left_anti").select(
+    # A position alone may belong to pages of several crawls.
+    repeated = (named[position] == later["_pos"]) & (named["source"] == later["_source"])
+    return named.join(later, repeated, "left_anti").select(
         "source",
         markup.page_text(html).alias("text"),
         F.create_map(

@@ -12,6 +12,7 @@ from gleaner.functions import text as X
 from gleaner.functions.splitter import chunks, split_text
 from gleaner.operators import citations as C
 from gleaner.operators.sessions import short_title
+from gleaner.sources import contracts
 
 
 def values(spark, rows, schema, column):
@@ -139,6 +140,12 @@ def test_unescape(spark):
     assert values(spark, list(cases), "t string", markup.unescape(F.col("t"))) == list(cases.values())
 
 
+def test_a_repeat_does_not_take_another_page_of_its_position_along(spark):
+    rows = [(1, "http://a/x", "<p>one</p>"), (2, "http://a/x", "<p>again</p>"), (2, "http://b/y", "<p>two</p>")]
+    got = contracts.pages(spark.createDataFrame(rows, "page_id long, url string, html string")).select("source", "text").collect()
+    assert sorted(r["text"] for r in got) == ["one", "two"] and len({r["source"] for r in got}) == 2
+
+
 def test_page_text(spark):
     page = "<html lang='de'><head><title>T &amp; U</title><script>if (a<b) x()</script></head><!-- <b>no</b> --><p>1 < 2</p></html>"
     html = F.col("h")
