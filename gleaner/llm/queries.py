@@ -64,7 +64,7 @@ def tool_traffic(chats: DataFrame) -> DataFrame:
     number = F.when(draw % 7 != 0, words)
     asked = F.to_json(F.struct(F.array(F.struct(
         call.alias("id"), name.alias("name"),
-        F.struct(F.when(name != "count", F.substring("text", 1, 40)).alias("text"), number.alias("words"), F.when(name != "count", after).alias("after")).alias("arguments"),
+        F.struct(F.when(name != "count", F.col("text")).alias("text"), number.alias("words"), F.when(name != "count", after).alias("after")).alias("arguments"),
     )).alias("tool_calls")))
     given = F.to_json(F.struct(call.alias("tool_call_id"), words.cast("string").alias("content")))
     turn = F.col("turn") * 10

@@ -95,6 +95,17 @@ def test_given_conversations(spark):
     assert {None, "unknown tool", "missing words"} <= problems and any(r[5] is False for r in got)
 
 
+def test_derived_calls_hold_whole_texts(spark):
+    texts = {turn: f'{turn} "quoted" \\ \t\n\u0001 \u00e9\u6f22 ' + "word " * 200 + f"end {turn}" for turn in range(1, 60, 2)}
+    frame = spark.createDataFrame([(1, turn, "assistant", text) for turn, text in texts.items()], "conv_id long, turn int, role string, text string")
+    asked = [json.loads(r["text"]) for r in queries.tool_traffic(frame).collect() if r["text"].startswith('{"tool_calls"')]
+    calls = [c for a in asked for c in a["tool_calls"] if c["name"] != "count"]
+    assert calls and all(c["arguments"]["text"] == texts[int(c["id"].split("-")[1])] for c in calls)
+    lines = [r["json"] for r in chat.format_chats(queries.tool_traffic(frame), queries.TOOLS).collect()]
+    for c in calls:
+        assert sum(chat.canonical(texts[int(c["id"].split("-")[1])]) in line for line in lines) >= 2  # the call and the turn itself
+
+
 def test_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a", 9)], "conv_id long, turn long, role string, text string, event int")
     assert answer(chat.format_chats(frame, TOOLS)) == brute([(1, 0, "user", "a")], TOOLS)
