@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import schemas as S
+from gleaner.functions import splitter
 from gleaner.functions import text as X
 from gleaner.functions.embedding import hash_embedder
 from gleaner.operators import stats, upsert
@@ -390,13 +391,15 @@ def paged_chunk_numbers(spark, root):
     """Running chunk numbers: each page starts where the page before it ended."""
     pages = contracts.paged(load_spread(spark, root, "documents"), page="doc_id")
     chunks = chunking.paged_chunks(pages)
-    first = F.min_by("id", "chunk_no")
-    cut = chunks.groupBy("source", "page").agg(F.min("chunk_no").alias("lo"), F.max("chunk_no").alias("hi"), F.count("*").alias("n"), first.alias("id"))
+    named = F.concat("source", F.lit("#page="), F.col("page").cast("string"), F.lit("_chunk="), F.col("chunk_no").cast("string"))
+    cut = chunks.groupBy("source", "page").agg(
+        F.min("chunk_no").alias("lo"), F.max("chunk_no").alias("hi"), F.count("*").alias("n"), F.count_distinct("chunk_no").alias("numbers"),
+        F.every(F.col("id") == named).alias("named"),
+    )
     before = F.lag("hi").over(Window.partitionBy("source").orderBy("page"))
-    named = F.concat("source", F.lit("#page="), F.col("page").cast("string"), F.lit("_chunk="), F.col("lo").cast("string"))
     return cut.select(
         "source", "page", (F.col("lo") == F.coalesce(before + 1, F.lit(0))).alias("follows"),
-        (F.col("hi") - F.col("lo") + 1 == F.col("n")).alias("dense"), (F.col("id") == named).alias("named"),
+        ((F.col("hi") - F.col("lo") + 1 == F.col("n")) & (F.col("numbers") == F.col("n"))).alias("dense"), "named",
     )
 
 
@@ -452,13 +455,15 @@ def stored_paged_docs(spark, root):
     report = ingest.store_paged(store, contracts.paged(docs.select(source.alias("source"), "doc_id", text.alias("text")), page="doc_id"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "document")))
     pages = store.read().groupBy("source", "page").agg(parts.alias("parts"), F.count("*").alias("n"))
-    pages = pages.join(docs.select(F.col("doc_id").alias("page"), "text"), "page")
-    # Stored chunks carry no start; the whole rebuilt text is compared in chunk_text_rebuilt.
+    pages = pages.join(docs.select(F.col("doc_id").alias("page"), "text", splitter.chunks("text").alias("cut")), "page")
+    # Stored chunks carry no start; it is that of the cut with their place, and a chunk that is missing anywhere shifts or ends the text.
+    placed = F.zip_with("cut", "parts", lambda c, p: F.struct(c["start"].alias("start"), p["document"].alias("text")))
+    whole = F.md5(rebuilt(placed, "start", "text")) == F.md5(F.translate("text", X.WHITESPACE, ""))
     pages = pages.select(
         "source", "page", "n", F.left(F.get("parts", F.lit(0))["document"], F.lit(8)).alias("head"),
         F.right(F.element_at("parts", -1)["document"], F.lit(4)).alias("tail"),
         F.forall("parts", lambda p: F.contains(F.col("text"), p["document"])).alias("from_text"),
-        (F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p["document"])) >= F.length(F.regexp_replace("text", "\\s", ""))).alias("covers"),
+        ((F.size("cut") == F.size("parts")) & F.coalesce(whole, F.lit(False))).alias("covers"),
     )
     held = pages.groupBy("source").agg(F.sum("n").alias("held"))
     told = report.join(held, report["name"] == held["source"], "left").drop("source")

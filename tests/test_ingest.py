@@ -4,8 +4,12 @@ import hashlib
 from pathlib import Path
 
 import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gleaner import schemas as S
+from gleaner.operators import upsert
 from gleaner.plans import tables
 from gleaner.sources import files
 from gleaner.sources.tables import Warehouse
@@ -79,6 +83,23 @@ def test_odd_files_are_all_reported(spark, tmp_path):
         assert hashed["none.csv"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_a_chunk_missing_inside_a_page_is_seen(spark, monkeypatch):
+    read = upsert.ChunkTable.read
+
+    def one_less(self, *a, **b):
+        rows = read(self, *a, **b)
+        place = rows.groupBy("page").agg(F.count("*").alias("n"), F.min("chunk_no").alias("lo")).orderBy(F.desc("n"), "page").head()
+        if place is None:  # before the write
+            return rows
+        lost.append(place["page"])
+        return rows.where((F.col("page") != place["page"]) | (F.col("chunk_no") != place["lo"] + place["n"] // 2))
+
+    lost = []
+    monkeypatch.setattr(upsert.ChunkTable, "read", one_less)
+    got = entry.queries()["stored_paged_docs"](spark, SMALL).where("page IS NOT NULL").select("page", "covers").collect()
+    assert {r["page"] for r in got if not r["covers"]} == {lost[-1]} and len(got) > 1
+
+
 def test_hashes(spark, tmp_path):
     body = b"k,v\n1,2\n" * 1000
     (tmp_path / "x.csv").write_bytes(body)
