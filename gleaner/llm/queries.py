@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, exact, minhash, mixing, neighbours, packing, quality, sharding, suffixes, warc
+from gleaner.llm import chat, exact, minhash, mixing, negatives, neighbours, packing, quality, sharding, simhash, suffixes, warc, whitening
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -98,7 +98,28 @@ def op10_exact(spark: SparkSession, root: str) -> DataFrame:
     return exact.copies(_table(spark, root, "documents")).drop("mark")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_suffixes, op4_sharding, op5_mixing, op6_quality, op7_chat, op8_warc, op9_packing, op10_exact)}
+def op11_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    return negatives.mine(_table(spark, root, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector whitened by the covariance of the distinct ones."""
+    return whitening.whiten(_table(spark, root, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, root: str) -> DataFrame:
+    """Near duplicates by fingerprints over shingles of three words, linked up to three bits."""
+    return simhash.groups(_table(spark, root, "documents")).drop("mark")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash, op2_neighbours, op3_suffixes, op4_sharding, op5_mixing, op6_quality, op7_chat, op8_warc, op9_packing, op10_exact,
+        op11_negatives, op12_whitening, op13_simhash,
+    )
+}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -200,5 +221,20 @@ WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
+""",
+    "op11_negatives": """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+  FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """,
 }
