@@ -10,6 +10,8 @@ rows from end to end, so a conversation may be of any length.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import short_batches
-from gleaner.llm.ranks import ranked
+from gleaner.operators.numbering import number_rows
 from gleaner.session import stage
 
 #: Place of a message without a turn: after all others.
@@ -34,9 +36,19 @@ _TYPES = {
 }
 
 
+#: What a schema may say; anything else is refused, not passed over.
+_KEYWORDS = {"type", "enum", "properties", "required", "additionalProperties", "items", "title", "description", "default", "examples"}
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def plain(text: str) -> str:
+    """``text`` with halves of surrogate pairs, which are no characters, as JSON escapes."""
+    return _LONE.sub(lambda half: f"\\u{ord(half[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks and characters as they are; a lone surrogate stays the escape it was."""
+    return plain(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 def reference(value):
@@ -44,38 +56,91 @@ def reference(value):
     return value["$ref"] if isinstance(value, dict) and set(value) == {"$ref"} and isinstance(value["$ref"], str) else None
 
 
+def check_schemas(schemas: dict) -> None:
+    """Refuse schemas that say what :func:`problem_of` does not check."""
+    for name, schema in schemas.items():
+        for part in _parts(schema):
+            more = set(part) - _KEYWORDS if isinstance(part, dict) else {repr(part)}
+            types = [] if more or "type" not in part else part["type"] if isinstance(part["type"], list) else [part["type"]]
+            if more or not set(types) <= set(_TYPES) or not isinstance(part.get("additionalProperties", True), bool):
+                raise ValueError(f"schema of {name}: cannot check {sorted(more) or part}")
+
+
+def _parts(schema) -> Iterator:
+    yield schema
+    if isinstance(schema, dict):
+        for own in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+            yield from _parts(own)
+
+
+def _equal(a, b) -> bool:
+    """Equality of JSON values: true is not 1."""
+    return canonical(a) == canonical(b) or (_TYPES["number"](a) and _TYPES["number"](b) and a == b)
+
+
+def _fault(value, schema: dict, path: str, refers: bool = False) -> str | None:
+    """The first thing wrong with a value; ``path`` names it. ``refers``: its members may stand for results of other calls."""
+    if "type" in schema:
+        types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        if not any(_TYPES[t](value) for t in types):
+            return f"type of {path}"
+    if "enum" in schema and not any(_equal(value, own) for own in schema["enum"]):
+        return f"value of {path}"
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        for key in sorted({*schema.get("required", []), *value}):
+            own = f"{path}.{key}" if path else key
+            if key not in value:
+                return f"missing {own}"
+            if key not in known:
+                if not schema.get("additionalProperties", True):
+                    return f"unknown {own}"
+            elif not (refers and reference(value[key]) is not None):
+                found = _fault(value[key], known[key], own)
+                if found:
+                    return found
+    if isinstance(value, list) and "items" in schema:
+        for number, own in enumerate(value):
+            found = _fault(own, schema["items"], f"{path}[{number}]")
+            if found:
+                return found
+    return None
+
+
 def problem_of(name, arguments, schemas: dict) -> str | None:
-    """What is wrong with a call: unknown tool, no object, a missing, unknown or mistyped argument; the first by name."""
+    """What is wrong with a call: unknown tool, no object, a missing, unknown or mistyped argument or a value none of those listed; the first by name."""
     if name not in schemas:
         return "unknown tool"
     if not isinstance(arguments, dict):
         return "arguments are no object"
-    schema = schemas[name]
-    known = schema.get("properties", {})
-    for key in sorted({*schema.get("required", []), *arguments}):
-        if key not in arguments:
-            return f"missing {key}"
-        if key not in known:
-            if not schema.get("additionalProperties", True):
-                return f"unknown {key}"
-        elif reference(arguments[key]) is None and not _TYPES[known[key]["type"]](arguments[key]):
-            return f"type of {key}"
-    return None
+    found = _fault(arguments, {k: v for k, v in schemas[name].items() if k != "type"}, "", refers=True)
+    return plain(found) if found else None
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("a number beyond doubles")
+    return value
+
+
+def _no_number(text: str):
+    raise ValueError(f"{text} is no JSON")
 
 
 def _object(text: str | None) -> dict:
-    """The JSON object a text is, or an empty one."""
+    """The JSON object a text is, or an empty one. ``NaN``, ``Infinity`` and numbers beyond doubles are no JSON."""
     if not text or not text.lstrip().startswith("{"):
         return {}
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_float=_finite, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return {}
     return value if isinstance(value, dict) else {}
 
 
 def _name(value) -> str | None:
-    return value if isinstance(value, str) and value else None
+    return plain(value) if isinstance(value, str) and value else None
 
 
 def events_of(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
@@ -91,13 +156,13 @@ def events_of(role: str | None, text: str | None, schemas: dict) -> list[tuple]:
             name, arguments = _name(call.get("name")), call.get("arguments")
             if isinstance(arguments, str):
                 arguments = _object(arguments) or arguments
-            refs = sorted({r for r in map(reference, arguments.values()) if r}) if isinstance(arguments, dict) else []
+            refs = sorted({plain(r) for r in map(reference, arguments.values()) if r}) if isinstance(arguments, dict) else []
             line = canonical({"role": role, "type": "call", "id": _name(call.get("id")), "name": name, "arguments": arguments})
             out.append(("call", _name(call.get("id")), refs, problem_of(name, arguments, schemas), line))
         return out
     if role == "tool" and _name(body.get("tool_call_id")):
         line = canonical({"role": role, "type": "result", "id": body["tool_call_id"], "content": body.get("content")})
-        return [("result", body["tool_call_id"], [], None, line)]
+        return [("result", _name(body["tool_call_id"]), [], None, line)]
     return [("message", None, [], None, canonical({"role": role, "content": text}))]
 
 
@@ -118,8 +183,9 @@ def _parsed(schemas: dict):
 def _placed(calls: DataFrame, links: DataFrame) -> DataFrame:
     """``event, t, d`` of calls: the turn from which a call can stand, and its depth among equals.
 
-    A round places the calls whose references are all placed; there are as many
-    rounds as the longest chain of references has links. Calls in a circle are never placed.
+    A round meets the calls placed in the last one with the references that are still open, and places the calls
+    that have none left; there are as many rounds as the longest chain of references has links. Calls
+    in a circle are never placed.
     """
     edges = calls.select("conv", "event", F.explode("refs").alias("ref")).join(
         links.select("conv", F.col("call_id").alias("ref"), F.col("call").alias("needed"), "result_turn"), ["conv", "ref"]
@@ -128,15 +194,18 @@ def _placed(calls: DataFrame, links: DataFrame) -> DataFrame:
     waiting = edges.select("event").distinct()
     turns = calls.select("event", "turn")
     done = stage(turns.join(waiting, "event", "left_anti").select("event", F.col("turn").alias("t"), F.lit(0).alias("d")), "chat-placed")
-    placed, fresh = done, done
+    placed, fresh, told = done, done, None
     while not fresh.isEmpty():
-        known = edges.join(placed, edges["needed"] == placed["event"], "left").select(edges["event"], "needed", "result_turn", "t", "d")
-        ready = known.groupBy("event").agg(
-            F.max(F.greatest("t", F.coalesce("result_turn", F.lit(-LAST)))).alias("after"), F.max("d").alias("depth"),
-            F.count_if(F.col("t").isNull()).alias("open"),
-        )
-        ready = ready.filter("open = 0").join(placed.select("event"), "event", "left_anti").join(turns, "event")
+        met = stage(edges.join(fresh.withColumnRenamed("event", "needed"), "needed", "left"), "chat-met")
+        edges = met.filter("t IS NULL").select("event", "needed", "result_turn")
+        new = met.filter("t IS NOT NULL").select("event", F.greatest("t", F.coalesce("result_turn", F.lit(-LAST))).alias("after"), F.col("d").alias("depth"))
+        told = new if told is None else told.unionByName(new)
+        # What is told of calls that still wait goes on as one row each.
+        known = told.groupBy("event").agg(F.max("after").alias("after"), F.max("depth").alias("depth"))
+        known = stage(known.join(edges.select("event").distinct().withColumn("open", F.lit(True)), "event", "left"), "chat-told")
+        told = known.filter("open").drop("open")
         # A call stands after the result it refers to, and that result after its own call.
+        ready = known.filter("open IS NULL").join(turns, "event")
         fresh = stage(ready.select("event", F.greatest("turn", "after").alias("t"), (F.col("depth") + 2).alias("d")), "chat-placed")
         placed = placed.unionByName(fresh)
     return placed
@@ -150,10 +219,13 @@ def format_chats(messages: DataFrame, schemas: dict) -> DataFrame:
     counterpart are not ``linked`` (null for plain messages). ``position`` numbers a
     conversation's events from 0 so that a result follows its call and a call the results it
     refers to, otherwise in the order of turns. ``problem`` names what ``schemas`` (JSON
-    schemas by tool: ``properties`` with a ``type``, ``required``, ``additionalProperties``)
-    finds wrong, or a reference to no call or in a circle. A null conversation is one
-    conversation, a null turn comes last; repeated rows are events of their own.
+    schemas by tool: ``type``, ``enum``, ``properties``, ``required``, ``additionalProperties``, ``items``, at any
+    depth; others are refused) finds wrong, or a reference to no call or in a circle. A null conversation is one
+    conversation, a null turn comes last; repeated rows are events of their own. A text
+    that is no JSON object (one with ``NaN`` or a number beyond doubles is none) is a plain message;
+    halves of surrogate pairs stay escapes. A long conversation is numbered by ranges, not in one task.
     """
+    check_schemas(schemas)
     spark = messages.sparkSession
     short_batches(spark)
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -195,5 +267,5 @@ def format_chats(messages: DataFrame, schemas: dict) -> DataFrame:
         ),
         "chat-whole",
     )
-    placed = ranked(whole, ["conv"], ["t", "d"], ["turn", "pos", "event"])
-    return placed.select("conv_id", F.col("_rank").cast("long").alias("position"), F.col("own_turn").alias("turn"), "kind", "call_id", "linked", "problem", "json")
+    placed = number_rows(whole, ["conv"], ["conv", "t", "d", "turn", "pos", "event"], "position")
+    return placed.select("conv_id", "position", F.col("own_turn").alias("turn"), "kind", "call_id", "linked", "problem", "json")

@@ -35,6 +35,20 @@ def mark(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def boxed(docs: DataFrame, *more) -> DataFrame:
+    """``row, id, own`` and ``more``: the rows of ``docs`` as one struct beside their id and mark, so that names of theirs clash with none of an operator's."""
+    return docs.select(F.struct(*[_column(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), mark().alias("own"), *more)
+
+
+def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of the struct ``row`` again."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def _column(name: str):
+    return F.col("`" + name.replace("`", "``") + "`").alias(name)
+
+
 def word_count(text: str = "text"):
     """Number of runs free of blanks and ASCII line or tab characters; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")

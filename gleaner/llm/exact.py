@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import mark, maybe_broadcast, short_batches
+from gleaner.llm.common import boxed, mark, maybe_broadcast, short_batches, unboxed
 from gleaner.session import stage
 
 #: Bytes of the first window, factor from round to round, bytes of the widest window.
@@ -104,14 +104,14 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows named by (``doc_id``, ``mark``) in the staged table ``dropped``."""
-    names = dropped.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    names = dropped.select("doc_id", "mark")
     names = maybe_broadcast(names, names.count())
-    marked = docs.withColumn("_own", mark())
-    return marked.join(names, marked["doc_id"].cast("long").eqNullSafe(names["_id"]) & (marked["_own"] == names["_mark"]), "left_anti").drop("_own")
+    rows = boxed(docs)
+    return unboxed(rows.join(names, rows["id"].eqNullSafe(names["doc_id"]) & (rows["own"] == names["mark"]), "left_anti"), docs.columns)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row left of every group of equal texts, columns unchanged.
+    """``docs`` with one row left of every group of equal texts, columns unchanged whatever their names.
 
     Where rows repeat both id and text, one of them stays.
     """
@@ -121,9 +121,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return kept
     single = without(kept, again)
-    marked = kept.withColumn("_own", mark())
-    repeated = marked.join(
-        again.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_semi",
-    )
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "_own"]).drop("_own"))
+    rows = boxed(kept)
+    repeated = rows.join(again, rows["id"].eqNullSafe(again["doc_id"]) & (rows["own"] == again["mark"]), "left_semi")
+    return single.unionByName(unboxed(repeated.dropDuplicates(["id", "own"]), docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import mark, maybe_broadcast, word_count
+from gleaner.llm.common import boxed, mark, maybe_broadcast, unboxed, word_count
 from gleaner.llm.ranks import ranked
 from gleaner.session import stage
 
@@ -74,19 +74,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as :func:`mix` takes it, columns unchanged.
+    """``docs`` with every row as often as :func:`mix` takes it, columns unchanged whatever their names.
 
     Rows that repeat id and text are taken as often as all of them together.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "mark").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    taken = stage(taken.filter("_sum > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_sum", "_rows"), "mix-taken")
+    taken = mix(docs, **options).groupBy("doc_id", "mark").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    taken = stage(taken.filter(F.col("all") > 0), "mix-taken")
     bound = maybe_broadcast(taken, taken.count())
-    marked = docs.withColumn("_own", mark())
-    joined = marked.join(bound, marked["doc_id"].cast("long").eqNullSafe(bound["_id"]) & (marked["_own"] == bound["_mark"]))
-    parts = [joined.filter("_rows = 1").withColumn("_times", F.col("_sum"))]
-    if not taken.filter("_rows > 1").isEmpty():
-        turn = Window.partitionBy("_id", "_own").orderBy(*[c for c in ("source", "lang") if c in docs.columns] or ["_own"])
-        again = joined.filter("_rows > 1").withColumn("_turn", F.row_number().over(turn) - 1)
-        parts.append(again.withColumn("_times", F.expr("_sum DIV _rows + IF(_turn < _sum % _rows, 1, 0)")).drop("_turn"))
+    rows = boxed(docs)
+    joined = rows.join(bound, rows["id"].eqNullSafe(bound["doc_id"]) & (rows["own"] == bound["mark"]))
+    parts = [joined.filter("rows = 1").select("row", F.col("all").alias("times"))]
+    if not taken.filter("rows > 1").isEmpty():
+        turn = Window.partitionBy("id", "own").orderBy(*[F.col("row").getField(c) for c in ("source", "lang") if c in docs.columns] or ["own"])
+        again = joined.filter("rows > 1").withColumn("turn", F.row_number().over(turn) - 1)
+        parts.append(again.select("row", F.expr("`all` DIV `rows` + IF(turn < `all` % `rows`, 1, 0)").alias("times")))
     whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return whole.filter("_times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_copy")).drop("_copy")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
+    return unboxed(whole.filter("times > 0").select("row", copies), docs.columns)

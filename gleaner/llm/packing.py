@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -21,23 +22,25 @@ LENGTH, OPEN_BINS, PACKER_PIECES = 2048, 4096, 200_000
 #: Id that ends a document.
 END = 0
 
-#: Rank file of the tokenizer whose ids ``byte_bpe_50k.json`` describes.
-RANKS = "byte_bpe_50k.tiktoken"
+#: The tokenizer, and the rank file of its vocabulary.
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-def encoder(ranks: str | None = None):
-    """The byte-level tokenizer with 50,257 ids. ``ranks``: path of its rank file, by default that of the installed files.
+def encoder(ranks: str | None = None, tokenizer: str | None = None):
+    """The byte-level tokenizer with 50,257 ids, three times as fast by its rank file.
 
-    The rank file and ``byte_bpe_50k.json`` describe one vocabulary; the ids are
-    the same, three times as fast. Strings of special tokens are ordinary text.
+    ``tokenizer`` and ``ranks``: paths of the two files, by default those of the installed ones. The ids
+    are those of ``tokenizer`` with ``add_special_tokens=False``: nothing is added to a text, and where a
+    text holds the string of an added token, that is one id.
     """
     import public_tokenizers
     import tiktoken
 
-    path = ranks or public_tokenizers.path(RANKS)
-    with open(path, "rb") as lines:
+    with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
         table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as described:
+        added = {t["content"]: t["id"] for t in json.load(described)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -58,7 +61,7 @@ def pieces_of(length: int, ranks: str | None):
             rows: list[tuple] = []
             for i, text in enumerate(texts):
                 value = text.as_py()
-                ids = np.append(own.encode_to_numpy(value, disallowed_special=()) if value else np.zeros(0, np.uint32), np.uint32(END))
+                ids = np.append(own.encode_to_numpy(value, allowed_special="all") if value else np.zeros(0, np.uint32), np.uint32(END))
                 ids = ids.astype("<u4", copy=False)
                 for number, (start, n) in enumerate(cut(len(ids), length)):
                     rows.append((names[i], marks[i], number, start, n, zlib.crc32(ids[start : start + n].tobytes())))

@@ -20,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.llm.common import mark, short_batches
+from gleaner.llm.common import boxed, mark, short_batches, unboxed
 from gleaner.llm.words import bytes_of, word_hashes
 from gleaner.session import stage
 
@@ -175,16 +176,17 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """The model of ``labels`` (``doc_id``, ``quality``) for ``docs``, fitted on at most ``sample_rows`` labelled rows.
 
-    Held-out rows, null labels and ids with contradictory labels are left out;
-    the sample is the smallest digests of the ids, so it does not depend on
+    Held-out rows, null labels and ids with contradictory labels are left out; of
+    several texts of an id the one with the smallest mark counts; the sample is the smallest digests of the ids, so it does not depend on
     partitions. Nothing but text and ``n_chars`` becomes a feature.
     """
     short_batches(docs.sparkSession)
     own = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     own = own.agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other").filter(~held_out())
     chosen = own.select("doc_id", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("draw")).orderBy("draw").limit(sample_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_inputs(docs))
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark().alias("mark"), *_inputs(docs))
+    least = F.min(F.struct("mark", "given", "text", "label", "draw")).alias("row")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(least).select("doc_id", "row.*")
     made = stage(rows.mapInArrow(_sample_features, "draw long, label int, places array<long>, statistics array<float>"), "quality-sample")
     parts = {r["name"]: np.frombuffer(r["data"], np.float32).copy() for r in made.coalesce(1).mapInArrow(_fitted, "name string, data binary").collect()}
     if not parts:
@@ -228,14 +230,15 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def _good(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.column("_given")
-            keep = scores_of(model, pc.fill_null(batch.column("text"), ""), given) >= THRESHOLD
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["_given"])
+            texts = batch.column("row").field("text")
+            keep = scores_of(model, pc.fill_null(texts, ""), batch.column("given")) >= THRESHOLD
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["given"])
 
     return run
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, columns unchanged; one pass without a shuffle."""
+    """The rows of ``docs`` that are predicted good, columns unchanged whatever their names; one pass without a shuffle."""
     model = train(docs, labels, sample_rows)
-    return docs.withColumn("_given", _inputs(docs)[1]).mapInArrow(_good(model), docs.schema)
+    rows = boxed(docs, _inputs(docs)[1]).select("row", "given")
+    return unboxed(rows.mapInArrow(_good(model), T.StructType([rows.schema["row"]])), docs.columns)

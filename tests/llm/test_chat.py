@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
+import pytest
+
 from gleaner.llm import chat, queries
 from helpers import SMALL
 
@@ -110,3 +112,58 @@ def test_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a", 9)], "conv_id long, turn long, role string, text string, event int")
     assert answer(chat.format_chats(frame, TOOLS)) == brute([(1, 0, "user", "a")], TOOLS)
     assert chat.format_chats(frame.limit(0), TOOLS).count() == 0
+
+
+def test_odd_json_ends_no_job(spark):
+    half = '{"tool_calls":[{"id":"\\ud800","name":"add","arguments":{"a":1,"b":2,"\\udc00":"\\ud83d"}}]}'
+    rows = [(1, 0, "assistant", half), (1, 1, "tool", '{"tool_call_id":"\\ud800","content":"\\udfff \\ud83d\\ude00"}')]
+    rows += [(2, i, "assistant", '{"tool_calls":[{"id":"n","name":"add","arguments":{"a":1,"b":%s}}]}' % v) for i, v in enumerate(["NaN", "Infinity", "-1e400", "1e300"])]
+    rows += [(3, 0, "assistant", '{"tool_calls":' + "[" * 100_000), (3, 1, "assistant", '{"tool_calls":[7, null, {"id": 5}]}')]
+    got = answer(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), TOOLS))
+    assert got == brute(rows, TOOLS)
+    own = {(r[0], r[2]): r for r in got}
+    assert own[1, 0][4:7] == ("\\ud800", True, "unknown \\udc00")
+    assert own[1, 1][7] == '{"content":"\\udfff \U0001f600","id":"\\ud800","role":"tool","type":"result"}'
+    assert json.loads(own[1, 0][7])["arguments"]["\udc00"] == "\ud83d"
+    assert [own[2, i][3] for i in range(4)] == ["message"] * 3 + ["call"]
+    for r in got:
+        json.loads(r[7], parse_constant=lambda name: pytest.fail(name))
+
+
+NESTED = {
+    "go": {
+        "type": "object", "required": ["where"], "additionalProperties": False,
+        "properties": {
+            "mode": {"enum": ["slow", 1, None]},
+            "where": {"type": "object", "required": ["x"], "properties": {"x": {"type": ["number", "null"]}, "tags": {"type": "array", "items": {"type": "string"}}}},
+        },
+    }
+}
+
+
+@pytest.mark.parametrize("arguments, problem", [
+    ({"where": {"x": 1}}, None), ({"where": {"x": None, "more": 1}}, None), ({"where": {}}, "missing where.x"), ({"where": {"x": "1"}}, "type of where.x"),
+    ({"where": {"x": 1, "tags": ["a", 2]}}, "type of where.tags[1]"), ({"where": [], "mode": 1}, "type of where"), ({"where": {"x": 1}, "mode": True}, "value of mode"),
+    ({"where": {"x": 1}, "mode": 1.0}, None), ({"where": {"$ref": "c"}, "mode": "slow"}, None), ({"other": 1, "where": {"x": 1}}, "unknown other"), ({}, "missing where"),
+])
+def test_schemas_at_any_depth(arguments, problem):
+    assert chat.problem_of("go", arguments, NESTED) == problem
+
+
+def test_schemas_that_cannot_be_checked_are_refused(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    for schema in ({"properties": {"a": {"pattern": "x"}}}, {"properties": {"a": {"type": "date"}}}, {"properties": {"a": {"items": {"minimum": 1}}}}, {"additionalProperties": {"type": "string"}}):
+        with pytest.raises(ValueError, match="cannot check"):
+            chat.format_chats(frame, {"t": schema})
+
+
+def test_long_conversation_and_chains(spark):
+    """One conversation holds nearly all turns; references make chains of several links, placed from results that come late."""
+    rows = [(1, i, "user", f"turn {i}") for i in range(3000)] + [(2, 0, "user", "b")]
+    rows += [(1, 100 + i, "assistant", call((f"c{i}", "add", {"a": {"$ref": f"c{i + 1}"} if i < 6 else 1, "b": {"$ref": "c6"} if i % 2 == 0 and i < 6 else 1}))) for i in range(7)]
+    rows += [(1, 2000 - 7 * i, "tool", result(f"c{i}", i)) for i in range(7)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = answer(chat.format_chats(frame, TOOLS))
+    assert got == brute(rows, TOOLS)
+    at = {(r[3], r[4]): r[1] for r in got if r[4]}
+    assert all(at["result", f"c{i + 1}"] < at["call", f"c{i}"] < at["result", f"c{i}"] for i in range(6))

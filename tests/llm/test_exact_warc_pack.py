@@ -119,7 +119,6 @@ def test_chance_magic_inside_a_member_is_skipped(spark, tmp_path):
 
 def check_packing(rows, got, length=2048):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     texts = sorted({r[1] or "" for r in rows})
     ids = dict(zip(texts, [e.ids + [0] for e in own.encode_batch(texts, add_special_tokens=False)]))
     pieces, bins = defaultdict(list), defaultdict(list)
@@ -146,7 +145,10 @@ def check_packing(rows, got, length=2048):
 
 
 def test_packing(spark):
-    odd = [(500, "<|endoftext|> a\u0085b  \x1c c", "en", "a", 1), (501, "don't we'LL 12½ ४२ 漢字かな ​ x", "en", "a", 1), (502, " \n\n  \t x", "en", "a", 1)]
+    end = "<|endoftext|>"
+    odd = [(510, end), (511, "a" + end), (512, "a" + end + "b"), (513, end + end), (514, "a b " * 1500 + end + " tail" * 1200), (515, "word " * 2046 + end + end + "x" * 50)]
+    odd = [(i, t, "en", "a", 1) for i, t in odd] + [(516, "<|endoftext|", "en", "a", 1), (517, " <|endoftext|> \n<|ENDOFTEXT|>", "en", "a", 1)]
+    odd += [(500, "<|endoftext|> a\u0085b  \x1c c", "en", "a", 1), (501, "don't we'LL 12½ ४२ 漢字かな ​ x", "en", "a", 1), (502, " \n\n  \t x", "en", "a", 1)]
     rows = corpus() + odd
     frame = spark.createDataFrame(rows, DOCUMENTS).withColumn("length", F.lit(1)).withColumn("piece", F.lit(1))
     got = packing.pack(frame).drop("mark")

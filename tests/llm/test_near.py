@@ -53,3 +53,16 @@ def test_drop_keeps_columns_and_singles(spark):
     ids = {r["doc_id"] for r in left.collect()}
     assert {1, 2, 3, 4, 6, 7, 10, 16, 17, 19, 100, 300} <= ids and not ids & {8, 5, 11, 18, 101, 301}
     assert len([i for i in ids if i and 200 <= i < 300]) == 40
+
+
+def test_long_words_built_alike_stay_apart(spark):
+    """Words that alternate two letters in step with the parity of their position's bits, and their complements, share nothing."""
+    rows = []
+    for n, size in enumerate((8, 16, 17, 64, 1024, 4096)):
+        bits = [i.bit_count() % 2 for i in range(size)]
+        rows += [(10 * n, "".join("ab"[b] for b in bits)), (10 * n + 1, "".join("ba"[b] for b in bits))]
+    rows += [(100, "x" * 7 + "\0"), (101, "x" * 7), (102, "x" * 16), (103, "x" * 16 + "\0"), (104, "X" * 17), (105, "x" * 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = answer(minhash.groups(docs, 4))
+    assert got == near_components(rows, 4, 80)
+    assert [c for i, _, c in got if i < 104] == [i for i, _, _ in got if i < 104]
