@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import schemas as S
+from gleaner.plans import names
+
+#: Seconds after which a typed statement is ended.
+SECONDS = 300
 
 # --- Fixed values -----------------------------------------------------------
 # Plans of statements that run something and still only read, by the start of their names.
@@ -45,20 +52,45 @@ def check_read_only(spark: SparkSession, statement: str) -> None:
 
 
 def run_sql(spark: SparkSession, statement: str, rows: int | None = S.SQL_ROWS) -> DataFrame:
-    """Rows of a reading statement, the first 50 unless told otherwise."""
+    """Rows of a reading statement, the first 50 unless told otherwise.
+
+    Besides Spark's functions a statement may use the names of :mod:`gleaner.plans.names`.
+    """
+    statement = names.respelled(statement)
+    names.define(spark, statement)
     check_read_only(spark, statement)
     result = spark.sql(statement)
     return result if rows is None else result.limit(rows)
 
 
-def try_sql(spark: SparkSession, statement: str, rows: int | None = S.SQL_ROWS) -> DataFrame | str:
-    """As :func:`run_sql`, an error becoming the text a chat would show."""
+_GROUP = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
+
+def try_sql(spark: SparkSession, statement: str, rows: int = S.SQL_ROWS, seconds: float = SECONDS) -> DataFrame | str:
+    """The rows of :func:`run_sql`, fetched; an error, at run time too, becoming the text a chat would show.
+
+    At most ``rows`` rows come to the driver. A statement that runs longer than ``seconds`` is ended: its
+    jobs are a group of their own, which is cancelled.
+    """
+    context, group, over = spark.sparkContext, f"typed-{uuid.uuid4().hex}", threading.Event()
+
+    def end() -> None:
+        over.set()
+        context.cancelJobGroup(group)
+
+    clock = threading.Timer(seconds, end)
+    before = [context.getLocalProperty(name) for name in _GROUP]
+    context.setJobGroup(group, statement[:100], interruptOnCancel=True)
     try:
         result = run_sql(spark, statement, rows)
-        result.schema  # analysis happens here
-        return result
+        clock.start()
+        return spark.createDataFrame(result.collect(), result.schema)
     except Exception as problem:  # noqa: BLE001
-        return f"SQL error: {problem}"
+        return f"SQL error: ended after {seconds:g} seconds" if over.is_set() else f"SQL error: {problem}"
+    finally:
+        clock.cancel()
+        for name, value in zip(_GROUP, before):
+            context.setLocalProperty(name, value)
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

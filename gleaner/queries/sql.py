@@ -246,6 +246,54 @@ SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, h
         "SELECT key, count(*) AS n, sum(json_extract_string(props, '$.' || key)::BIGINT)::BIGINT AS total FROM "
         "(SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY key",
     ),
+    # Q5: names that users bring along
+    "sql_dialect_string": (
+        """
+SELECT p_partkey, glob('*red*', p_name) AS has_red, glob('Brand#[1-3]', p_brand) AS low_brand, glob('?l*', p_name) AS second_l, glob('[^a-m]*', p_name) AS late,
+  iif(p_size > 25, 'big', p_type) AS kind, iif(p_size > 25, p_size, 0) AS size_or_0, unicode(p_name) AS first_code,
+  max(p_size, 10, p_partkey % 40) AS most, min(p_retailprice, nullif(p_size, 7)) AS least FROM part""",
+        """
+SELECT p_partkey, p_name GLOB '*red*' AS has_red, p_brand GLOB 'Brand#[1-3]' AS low_brand, p_name GLOB '?l*' AS second_l, NOT p_name GLOB '[a-m]*' AS late,
+  CASE WHEN p_size > 25 THEN 'big' ELSE p_type END AS kind, CASE WHEN p_size > 25 THEN p_size ELSE 0 END AS size_or_0,
+  unicode(p_name) AS first_code,
+  greatest(p_size, 10, p_partkey % 40) AS most, CASE WHEN p_size <> 7 THEN least(p_retailprice, p_size) END AS least FROM part""",
+    ),
+    "sql_dialect_date": (
+        """
+SELECT event_id, strftime('%Y/%m week %W day %j, %H:%M:%S %%', ts) AS said, strftime('%w-%u-%s', ts) AS numbers, date(ts, '+1 day') AS tomorrow,
+  date(ts, '-2 months') AS before, date(ts, 'start of month', '+1 month', '-1 day') AS month_end, time(ts, '+90 minutes') AS later,
+  datetime(ts, 'start of year', '+3.5 hours') AS new_year, date(ts, 'weekday 1') AS monday, round(julianday(ts), 4) AS julian, unixepoch(ts) AS seconds,
+  datetime(unixepoch(ts), 'unixepoch') AS back, julianday('2024-03-01') - julianday('2024-02-01') AS days FROM events""",
+        """
+SELECT event_id, strftime(ts, '%Y/%m week %W day %j, %H:%M:%S %%') AS said,
+  dayofweek(ts) || '-' || isodow(ts) || '-' || epoch(date_trunc('second', ts))::BIGINT AS numbers, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') AS tomorrow,
+  strftime(date_trunc('month', ts) - INTERVAL 2 MONTH + (ts - date_trunc('month', ts)), '%Y-%m-%d') AS before,
+  strftime(last_day(ts), '%Y-%m-%d') AS month_end, strftime(ts + INTERVAL 90 MINUTE, '%H:%M:%S') AS later,
+  strftime(date_trunc('year', ts) + INTERVAL 210 MINUTE, '%Y-%m-%d %H:%M:%S') AS new_year,
+  strftime(ts + to_days(((8 - dayofweek(ts)) % 7)::INT), '%Y-%m-%d') AS monday, round(epoch_us(ts) / 86400000000 + 2440587.5, 4) AS julian,
+  epoch(date_trunc('second', ts))::BIGINT AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS back, 29.0::DOUBLE AS days FROM events""",
+    ),
+    "sql_dialect_json": (
+        """
+SELECT event_id, e.key, e.value, e.type, json_extract(props, '$.' || e.key) AS again, json_valid(props) AS good, json_valid(props || '}') AS bad,
+  json_type(props) AS kind FROM events, LATERAL json_each(props) AS e""",
+        """
+SELECT event_id, key, props->>('$.' || key) AS value, CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'text' WHEN 'DOUBLE' THEN 'real' ELSE 'integer' END AS type,
+  props->>('$.' || key) AS again, json_valid(props) AS good, json_valid(props || '}') AS bad, lower(json_type(props)) AS kind
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""",
+    ),
+    "sql_dialect_aggregate": (
+        """
+SELECT l_orderkey, total(l_partkey) AS parts, total(l_partkey) FILTER (WHERE l_quantity > 45) AS large_parts,
+  group_concat(l_linenumber, '; ' ORDER BY l_linenumber DESC) AS lines, group_concat(DISTINCT l_returnflag ORDER BY l_returnflag) AS flags,
+  group_concat(nullif(l_linestatus, l_linestatus)) AS nothing, max(max(l_partkey), 1000) AS most, iif(total(l_linenumber) > 10, 'long', 'short') AS size
+FROM lineitem GROUP BY l_orderkey""",
+        """
+SELECT l_orderkey, sum(l_partkey)::DOUBLE AS parts, coalesce(sum(l_partkey) FILTER (l_quantity > 45), 0)::DOUBLE AS large_parts,
+  string_agg(l_linenumber::VARCHAR, '; ' ORDER BY l_linenumber DESC) AS lines, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags,
+  NULL::VARCHAR AS nothing, greatest(max(l_partkey), 1000) AS most, CASE WHEN sum(l_linenumber) > 10 THEN 'long' ELSE 'short' END AS size
+FROM lineitem GROUP BY l_orderkey""",
+    ),
     "sql_json_group": (
         "SELECT l_orderkey, to_json(array_sort(collect_list(l_partkey))) AS parts FROM lineitem GROUP BY l_orderkey",
         "SELECT l_orderkey, to_json(list(l_partkey ORDER BY l_partkey))::VARCHAR AS parts FROM lineitem GROUP BY l_orderkey",

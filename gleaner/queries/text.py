@@ -42,11 +42,13 @@ def url_normalize(spark, root):
 
 
 def url_dedupe(spark, root):
-    """Pages fetched twice under spellings of one URL: the first by position stays."""
+    """Pages fetched twice under spellings of one URL, stored twice, or without a position: the first by position stays."""
     mark = F.concat(F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p>")).alias("html")
     plain = load(spark, root, "pages").select((F.col("page_id") * 2 + 1).alias("page_id"), "url")
     spelled = _urls(spark, root).select((F.col("page_id") * 2).alias("page_id"), "url")
-    fetched = plain.unionByName(spelled).select("page_id", "url", mark)
+    lost = plain.select(F.lit(None).cast("bigint").alias("page_id"), F.concat("url", F.lit("/lost")).alias("url"))
+    mark = F.coalesce(mark, F.lit("<p>-1</p>")).alias("html")
+    fetched = plain.unionByName(plain).unionByName(spelled).unionByName(lost).unionByName(lost).select("page_id", "url", mark)
     return contracts.pages(fetched).select("source", F.col("text").cast("bigint").alias("first_page"))
 
 
@@ -61,7 +63,10 @@ def url_list_split(spark, root):
 
 
 def pages_to_docs(spark, root):
-    return contracts.pages(load_spread(spark, root, "pages")).select(
+    """Every page's text; rows stored again, or without a position, change nothing."""
+    pages = load_spread(spark, root, "pages")
+    again = pages.where("page_id % 5 = 0").unionByName(pages.where("page_id % 7 = 0").withColumn("page_id", F.lit(None).cast("bigint")))
+    return contracts.pages(pages.unionByName(again)).select(
         "source", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars")
     )
 
@@ -281,8 +286,8 @@ QUERIES = {
 }
 ORACLES = {
     "url_normalize": f"SELECT page_id, {normal_url_sql('url')} AS url FROM (SELECT page_id, {_DECORATED} AS url FROM pages)",
-    "url_dedupe": f"SELECT source, min(page_id) AS first_page FROM (SELECT page_id, {normal_url_sql('url')} AS source FROM ("
-    f"SELECT page_id * 2 + 1 AS page_id, url FROM pages UNION ALL SELECT page_id * 2, {_DECORATED} AS url FROM pages)) "
+    "url_dedupe": f"SELECT source, coalesce(min(page_id), -1) AS first_page FROM (SELECT page_id, {normal_url_sql('url')} AS source FROM ("
+    f"SELECT page_id * 2 + 1 AS page_id, url FROM pages UNION ALL SELECT page_id * 2, {_DECORATED} AS url FROM pages UNION ALL SELECT NULL, url || '/lost' FROM pages)) "
     "WHERE source <> '' GROUP BY source",
     "url_list_split": f"""
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, url FROM (

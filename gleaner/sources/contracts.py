@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from gleaner.functions import markup
 from gleaner.functions import text as X
 from gleaner.operators.upsert import broadcast_if_small
+from gleaner.session import stage
 
 
 def pages(fetched: DataFrame, position: str = "page_id") -> DataFrame:
     """Fetched pages (``url, html``) to documents.
 
-    URLs are normalized; of equal ones the first by position stays. The others,
-    usually few, are found from narrow columns and left out; where they are
-    counted to be few, the markup goes from the scan straight on.
+    URLs are normalized; of equal ones the first by position stays, pages without one after all others, and of
+    equal positions the smallest markup. URLs that repeat, usually few, are found from the URLs alone; where they are
+    counted to be few, all other markup goes from the scan straight on. Of a URL that repeats, an aggregate with a map
+    side takes the first page, so one fetched a million times is no task's burden.
     """
-    urls = fetched.select(F.col(position).alias("_pos"), X.normalize_url("url").alias("source")).where(F.col("source") != "")
-    first = urls.groupBy("source").agg(F.min("_pos").alias("_first"))
-    later = broadcast_if_small(urls.join(first, "source").where(F.col("_pos") > F.col("_first")).select("_pos", F.col("source").alias("_source")))
+    named = fetched.select(F.col(position).alias("pos"), X.normalize_url("url").alias("source"), "html").where(F.col("source") != "")
+    often = named.groupBy("source").agg(F.count("*").alias("n")).where("n > 1").select("source")
+    often = broadcast_if_small(stage(often, "repeated-urls"))
+    first = F.min_by("html", F.struct(F.col("pos").isNull(), "pos", "html")).alias("html")
+    repeated = named.join(often, "source", "left_semi").groupBy("source").agg(first)
+    kept = named.join(often, "source", "left_anti").select("source", "html").unionByName(repeated)
     html = F.col("html")
-    named = fetched.withColumn("source", X.normalize_url("url")).where(F.col("source") != "")
-    # A position alone may belong to pages of several crawls.
-    repeated = (named[position] == later["_pos"]) & (named["source"] == later["_source"])
-    return named.join(later, repeated, "left_anti").select(
+    return kept.select(
         "source",
         markup.page_text(html).alias("text"),
         F.create_map(

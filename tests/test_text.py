@@ -146,6 +146,14 @@ def test_a_repeat_does_not_take_another_page_of_its_position_along(spark):
     assert sorted(r["text"] for r in got) == ["one", "two"] and len({r["source"] for r in got}) == 2
 
 
+def test_repeated_and_unnumbered_pages_stay_once(spark):
+    rows = [(1, "http://a", "<p>a</p>"), (1, "http://a", "<p>a</p>"), (None, "http://b", "<p>later</p>"), (None, "http://b/", "<p>first</p>"), (None, "http://a", "<p>no</p>")]
+    rows += [(3, "http://c?utm_source=x", None), (3, "http://c", "<p>c</p>"), (None, None, "<p>x</p>"), (4, " ", "<p>x</p>")] + [(9, "http://hot", f"<p>{i % 3}</p>") for i in range(50)]
+    got = contracts.pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("source", F.lit("own"))).select("source", "text").collect()
+    assert sorted((r["source"], r["text"]) for r in got if r["text"] is not None) == [("http://a", "a"), ("http://b", "first"), ("http://hot", "0")]
+    assert [r["source"] for r in got].count("http://c") == 1
+
+
 def test_page_text(spark):
     page = "<html lang='de'><head><title>T &amp; U</title><script>if (a<b) x()</script></head><!-- <b>no</b> --><p>1 < 2</p></html>"
     html = F.col("h")
