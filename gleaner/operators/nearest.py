@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 
 from gleaner import schemas as S
 from gleaner.functions import text as X
+from gleaner.operators.best import Best, matrix, widths
+from gleaner.operators.blocks import best_by_key
 from gleaner.operators.upsert import broadcast_if_small
 from gleaner.session import stage
 
@@ -34,11 +36,6 @@ BLOCK_ROWS = 20_000
 BLOCKS_PER_SCAN = 4
 # From so many tasks on, their rows are cut once more before a question's rows meet.
 MANY_TASKS, MERGES = 512, 64
-CELLS = 4_000_000
-PLACES = 9
-# Width of a projection cell.
-CELL = 0.5
-SLACK = 1e-8
 
 
 def collection_rank(order: tuple[str, ...], column: str = "collection") -> Column:
@@ -49,79 +46,19 @@ def collection_rank(order: tuple[str, ...], column: str = "collection") -> Colum
     return rank
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """List column to a 2-d double matrix."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(array), -1) if len(array) else flat.reshape(0, 0)
-
-
-class _Best:
-    """Best ``k`` rows per (question, slot) seen by one task."""
-
-    def __init__(self, questions: np.ndarray, k: int):
-        self.questions = questions
-        self.squares = (questions**2).sum(axis=1)
-        self.k = k
-        self.kept: dict[int, list[tuple]] = {}
-        # Distance of the current k-th row of each question.
-        self.limits = np.full(len(questions), np.inf)
-
-    def offer(self, asked, vectors, ranks, names, ids, sources) -> None:
-        """Offer a batch of rows to the asked questions."""
-        step = max(1, CELLS // max(1, len(asked)))
-        for lo in range(0, len(vectors), step):
-            part = slice(lo, lo + step)
-            self._offer(asked, vectors[part], ranks[part], names[part], ids[part], sources[part])
-
-    def _offer(self, asked, vectors, ranks, names, ids, sources) -> None:
-        rows = (vectors**2).sum(axis=1)
-        about = rows[None, :] + self.squares[asked][:, None] - 2.0 * (self.questions[asked] @ vectors.T)
-        slack = SLACK * (1.0 + rows.max(initial=0.0) + self.squares[asked])
-        bound = self.limits[asked]
-        if vectors.shape[0] > self.k:
-            bound = np.minimum(bound, np.partition(about, self.k - 1, axis=1)[:, self.k - 1])
-        bound = bound + slack
-        nearest = about.min(axis=1)
-        for i in np.flatnonzero((nearest <= bound) & np.isfinite(nearest)):
-            question = int(asked[i])
-            near = np.flatnonzero((about[i] <= bound[i]) & np.isfinite(about[i]))
-            exact = np.round(((vectors[near] - self.questions[question]) ** 2).sum(axis=1), PLACES)
-            # Rows come in tie order, so a stable sort settles any number of equal distances.
-            first = np.argsort(exact, kind="stable")[: self.k]
-            found = [
-                (float(exact[f]), int(ranks[r]), ids[int(r)].as_py() or "", names[int(r)].as_py(), sources[int(r)].as_py())
-                for f, r in zip(first, near[first])
-            ]
-            kept = sorted(self.kept.get(question, []) + found, key=lambda row: row[:3])[: self.k]
-            self.kept[question] = kept
-            if len(kept) == self.k:
-                self.limits[question] = kept[-1][0]
-
-
-def _widths(column: pa.Array) -> np.ndarray:
-    """Length of each vector; 0 for one that is null or holds a null or non-finite element."""
-    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    bad = np.flatnonzero(~np.isfinite(flat))
-    if len(bad):
-        lengths[np.searchsorted(np.cumsum(lengths), bad, side="right")] = 0
-    return lengths
-
-
 def _scanner(blocks, k: int):
     """Batch function: chunk rows in, the task's best rows per question out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = [shared.value for shared in blocks]
-        bests = [{width: _Best(own["vectors"], k) for width, own in probe.items()} for probe in probes]
+        bests = [{width: Best(own["vectors"], k) for width, own in probe.items()} for probe in probes]
         for batch in batches:
             # Collection order, then id: the order equal distances are settled in.
             batch = batch.take(pc.sort_indices(batch, [("_rank", "ascending"), ("id", "ascending")]))
-            widths = _widths(batch.column("embedding"))
-            for width in sorted({width for probe in probes for width in probe} & set(widths.tolist())):
-                rows = batch.take(pa.array(np.flatnonzero(widths == width)))
-                vectors = _matrix(rows.column("embedding"))
+            found = widths(batch.column("embedding"))
+            for width in sorted({width for probe in probes for width in probe} & set(found.tolist())):
+                rows = batch.take(pa.array(np.flatnonzero(found == width)))
+                vectors = matrix(rows.column("embedding"))
                 ranks = rows.column("_rank").to_numpy(zero_copy_only=False)
                 named = [rows.column(c) for c in ("collection", "id", "source")]
                 for probe, best in zip(probes, bests):
@@ -151,18 +88,18 @@ def _scanner(blocks, k: int):
 def _probe(block: pa.Table) -> dict[int, dict]:
     """Questions of a block by the width of their vectors; unusable vectors are left out."""
     vectors = block.column("vector").combine_chunks()
-    widths = _widths(vectors)
+    found = widths(vectors)
     out = {}
-    for width in sorted(set(widths.tolist()) - {0}):
-        rows = pa.array(np.flatnonzero(widths == width))
-        out[width] = {"qid": block.column("qid").combine_chunks().take(rows), "vectors": _matrix(vectors.take(rows))}
+    for width in sorted(set(found.tolist()) - {0}):
+        rows = pa.array(np.flatnonzero(found == width))
+        out[width] = {"qid": block.column("qid").combine_chunks().take(rows), "vectors": matrix(vectors.take(rows))}
     return out
 
 
 def _blocks(probes: DataFrame) -> Iterator[pa.Table]:
     """The questions in blocks of bounded size."""
     head = probes.limit(BLOCK_ROWS + 1).toArrow()
-    widest = max(_widths(head.column("vector").combine_chunks()).tolist(), default=1) if head.num_rows else 1
+    widest = max(widths(head.column("vector").combine_chunks()).tolist(), default=1) if head.num_rows else 1
     bound = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(widest, 1))))
     if head.num_rows <= bound:
         yield head
@@ -199,19 +136,18 @@ def _survivors(
         scanned = rows.mapInArrow(_scanner(shared[first : first + BLOCKS_PER_SCAN], k), schema)
         out = scanned if out is None else out.unionByName(scanned)
     if out.rdd.getNumPartitions() > MANY_TASKS:
-        out = _ranked(out.withColumn("_merge", F.spark_partition_id() % MERGES), ["qid", "_merge"], k, "_first").drop("_merge", "_first")
+        out = ranked(out.withColumn("_merge", F.spark_partition_id() % MERGES), ["qid", "_merge"], k, "_first").drop("_merge", "_first")
     return out, len(shared)
 
 
-def _ranked(rows: DataFrame, keys: list[str], k: int, out: str) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], k: int, out: str) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy("distance", "_rank", "id")
     return rows.withColumn(out, F.row_number().over(window)).where(F.col(out) <= k)
 
 
-def _with_text(winners: DataFrame, chunks: DataFrame, passes: int) -> DataFrame:
+def with_text(winners: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
     """Text for the winners only. One id may stand under several sources, so the source is part of the key."""
-    # One block has at most BLOCK_ROWS questions, hence BLOCK_ROWS x k winners.
-    small = F.broadcast(winners) if passes <= 1 else winners
+    small = F.broadcast(winners) if few else broadcast_if_small(stage(winners, "winners"))
     texts = chunks.select(*[F.col(c).alias(f"_{c}") for c in ("collection", "id", "source")], "document")
     same = (small["collection"] == texts["_collection"]) & (small["id"] == texts["_id"]) & small["source"].eqNullSafe(texts["_source"])
     return texts.join(small, same).drop("_collection", "_id", "_source")
@@ -227,8 +163,9 @@ def nearest(chunks: DataFrame, questions: DataFrame, k: int = S.TOP_K, tasks: in
     question, so fewer, longer tasks exchange less.
     """
     rows, passes = _survivors(chunks, questions.select("qid", "vector"), k, S.RETRIEVAL_ORDER, tasks=tasks)
-    ranked = _ranked(rows, ["qid"], k, "rank")
-    return _with_text(ranked, chunks, passes).select(
+    best = ranked(rows, ["qid"], k, "rank")
+    # One block has at most BLOCK_ROWS questions, hence BLOCK_ROWS x k winners.
+    return with_text(best, chunks, few=passes <= 1).select(
         "qid", "rank", "collection", "id", "source", "document", "distance"
     )
 
@@ -238,90 +175,21 @@ def nearest_in_source(chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS,
 
     ``probes`` has ``qid``, ``source`` and ``vector``. Per collection the best
     ``max(n, 5)`` are fetched, blank texts dropped after that, the rest merged.
-    An equi-join on the source: with ``buckets``, the number of hash buckets of
-    a stored chunk table, only the buckets of the asked sources are read.
+    Chunks and probes of a source meet in blocks (:mod:`gleaner.operators.blocks`), so neither a source
+    with a third of all chunks nor one that everybody asks for is one task. With ``buckets``, the number
+    of hash buckets of a stored chunk table, only the buckets of the asked sources are read.
     """
     fetch = max(n, S.SNIPPET_FETCH)
-    wanted = probes.where(F.col("vector").isNotNull() & F.col("source").isNotNull())
-    wanted = wanted.select("qid", F.col("source").alias("_source"), F.col("vector").cast("array<double>").alias("vector"))
-    keys = chunks["source"] == F.col("_source")
     if buckets:
-        wanted = wanted.withColumn("_bucket", F.pmod(F.xxhash64("_source"), F.lit(buckets)).cast("int"))
-        keys = keys & (chunks["bucket"] == F.col("_bucket"))
-    met = chunks.join(broadcast_if_small(wanted), keys).where(F.size("embedding") == F.size("vector"))
-    gap = F.zip_with(F.col("embedding").cast("array<double>"), "vector", lambda a, b: (a - b) * (a - b))
-    distance = F.round(F.aggregate(gap, F.lit(0.0), lambda total, x: total + x), PLACES)
-    scored = met.select("qid", "source", "collection", "id", distance.alias("distance"), collection_rank(S.SNIPPET_ORDER).alias("_rank"))
-    scored = scored.where(F.col("distance").isNotNull() & ~F.isnan("distance") & (F.col("distance") < float("inf")))
-    fetched = _ranked(scored, ["qid", "collection"], fetch, "_fetched").drop("_fetched")
-    texts = chunks
-    if buckets:
-        fetched = fetched.withColumn("_bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int"))
-        asked = broadcast_if_small(wanted.select("_bucket").distinct())
-        texts = chunks.join(asked, chunks["bucket"] == asked["_bucket"], "left_semi")
-        fetched = fetched.drop("_bucket")
-    found = _with_text(fetched, texts, 2).where(X.strip("document") != "")
-    return _ranked(found, ["qid"], n, "snippet_no").select(
+        asked = probes.where(F.col("source").isNotNull()).select(F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int").alias("_bucket"))
+        # At most as many rows as buckets; a side with a comparison prunes the other's partitions at run time.
+        asked = F.broadcast(stage(asked.distinct(), "asked-buckets").where("_bucket >= 0"))
+        chunks = chunks.join(asked, chunks["bucket"] == asked["_bucket"], "left_semi")
+    order = collection_rank(S.SNIPPET_ORDER).alias("_rank")
+    rows = chunks.select(F.col("source").alias("_key"), F.col("collection").alias("_slot"), "collection", "id", "source", "embedding", order)
+    met = best_by_key(rows, probes.select(F.col("source").alias("_key"), "qid", "vector"), fetch)
+    fetched = ranked(met, ["qid", "_slot"], fetch, "_fetched").drop("_fetched", "_slot")
+    found = with_text(fetched, chunks).where(X.strip("document") != "")
+    return ranked(found, ["qid"], n, "snippet_no").select(
         "qid", "source", "snippet_no", "collection", "id", "document", "distance"
     )
-
-
-def projections(width: int, tables: int = 6, seed: int = 7) -> list[list[float]]:
-    """Fixed directions of length one, one per table."""
-    drawn = np.random.default_rng(seed).normal(size=(tables, width))
-    return np.round(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), 6).tolist()
-
-
-def cells(vector: Column | str, directions: list[list[float]], bucket_length: float = CELL) -> Column:
-    """The projection cell of a vector in every table; NULL for one of another width or with an unusable element."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    found = []
-    for direction in directions:
-        along = F.zip_with(values, F.array(*[F.lit(d) for d in direction]), lambda a, b: a * b)
-        found.append(F.floor(F.aggregate(along, F.lit(0.0), lambda total, x: total + x) / bucket_length))
-    good = (F.size(vector) == len(directions[0])) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(good, F.array(*found))
-
-
-def cell_postings(chunks: DataFrame, directions: list[list[float]], bucket_length: float = CELL) -> DataFrame:
-    """``table, cell, collection, id, source`` of every chunk: the approximate index, to be stored once with the chunks."""
-    held = chunks.select("collection", "id", "source", cells(F.col("embedding"), directions, bucket_length).alias("_cells"))
-    return held.where(F.col("_cells").isNotNull()).select("collection", "id", "source", F.posexplode("_cells").alias("table", "cell"))
-
-
-def nearest_approx(
-    chunks: DataFrame,
-    questions: DataFrame,
-    k: int = S.TOP_K,
-    directions: list[list[float]] | None = None,
-    postings: DataFrame | None = None,
-    bucket_length: float = CELL,
-) -> DataFrame:
-    """Nearest chunks among those that share a projection cell with the question.
-
-    ``postings`` is the stored index of :func:`cell_postings` for the same
-    ``directions``; without one it is made on the way. Questions meet it by table
-    and cell, candidates are fetched by id and ranked by exact distance. A
-    question with fewer than ``k`` candidates is answered by the exact search.
-    """
-    if directions is None:
-        head = questions.where(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).head()
-        directions = projections(head["n"] if head else 1)
-    asked = questions.select("qid", "vector").withColumn("_cells", cells(F.col("vector"), directions, bucket_length))
-    asked = stage(asked.where(F.col("_cells").isNotNull()), "approx-questions")
-    postings = cell_postings(chunks, directions, bucket_length) if postings is None else postings
-    probes = broadcast_if_small(asked.select("qid", F.posexplode("_cells").alias("table", "cell")))
-    met = postings.join(probes, ["table", "cell"]).select("qid", "collection", "id", "source").distinct()
-    rows = chunks.select("collection", "id", "source", "embedding")
-    held = met.join(rows, (met["collection"] == rows["collection"]) & (met["id"] == rows["id"]) & met["source"].eqNullSafe(rows["source"]))
-    held = held.select("qid", met["collection"], met["id"], met["source"], "embedding").join(broadcast_if_small(asked.select("qid", "vector")), "qid")
-    gap = F.zip_with(F.col("embedding").cast("array<double>"), F.col("vector").cast("array<double>"), lambda a, b: (a - b) * (a - b))
-    distance = F.round(F.aggregate(gap, F.lit(0.0), lambda total, x: total + x), PLACES)
-    scored = held.select("qid", "collection", "id", "source", distance.alias("distance"), collection_rank(S.RETRIEVAL_ORDER).alias("_rank"))
-    # Read three times below: staged, so the scan runs once.
-    ranked = stage(_ranked(scored, ["qid"], k, "rank"), "approx")
-    enough = ranked.groupBy("qid").count().where(F.col("count") >= k).select("qid")
-    found = _with_text(ranked.join(enough, "qid", "left_semi"), chunks, 2)
-    columns = ["qid", "rank", "collection", "id", "source", "document", "distance"]
-    short = stage(questions.select("qid", "vector").join(enough, "qid", "left_anti"), "approx-short")
-    return found.select(*columns) if short.isEmpty() else found.select(*columns).unionByName(nearest(chunks, short, k))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import schemas as S
 from gleaner.functions.embedding import bucket_counts, hash_embedder, token_buckets
 from gleaner.operators import citations as C
-from gleaner.operators.nearest import CELL, cell_postings, nearest, nearest_approx, nearest_in_source, projections
+from gleaner.operators.coarse import MOST_CENTRES, CoarseIndex
+from gleaner.operators.nearest import nearest, nearest_in_source
 from gleaner.plans.answer import answer_questions, answer_snippets, direct_answers, evidence_texts, question_cites
 from gleaner.queries.facts import FACT_SQL, INVOICE_SQL, poster_images
 from gleaner.queries.common import (
@@ -30,7 +32,7 @@ from gleaner.queries.common import (
     vector_corpus,
     with_odd_vectors,
 )
-from gleaner.session import stage
+from gleaner.session import fresh_dir
 
 WIDE = S.TOP_K * S.WIDEN
 
@@ -50,14 +52,20 @@ def retrieve_text(spark, root):
     return _hits(nearest(text_corpus(spark, root), benchmark_questions(spark, root)))
 
 
-DIRECTIONS = projections(64)
+#: Every so many vectors one is a centre of the stored index, and a question looks at so many centres.
+CENTRE_EVERY, LOOKED_AT = 32, 4
+
+
+def _given_centres(spark, root):
+    """Centres that do not depend on a fit, so that the twin has the same."""
+    rows = load(spark, root, "embeddings").where(F.col("vec_id") % CENTRE_EVERY == 5).orderBy("vec_id").select("embedding").limit(MOST_CENTRES)
+    return np.array([r["embedding"] for r in rows.collect()], np.float64)
 
 
 def retrieve_approx(spark, root):
-    """Questions against a stored index of projection cells."""
-    corpus = stage(with_odd_vectors(vector_corpus(spark, root)), "corpus")
-    postings = stage(cell_postings(corpus, DIRECTIONS), "postings")
-    return _hits(nearest_approx(corpus, label_questions(spark, root), directions=DIRECTIONS, postings=postings))
+    """Questions against chunks stored by centre, in the partitions of their nearest centres."""
+    index = CoarseIndex(spark, fresh_dir(spark, "coarse")).build(with_odd_vectors(vector_corpus(spark, root)), centres=_given_centres(spark, root))
+    return _hits(index.nearest(label_questions(spark, root), probes=LOOKED_AT))
 
 
 def retrieve_dedupe_by_source(spark, root):
@@ -389,7 +397,6 @@ QUERIES = {
 }
 
 _HITS = "SELECT qid, rank, collection, id, source, round(distance, 6) AS distance FROM ranked"
-_DIRECTIONS_SQL = " UNION ALL ".join(f"SELECT {t} AS t, {direction}::DOUBLE[] AS p" for t, direction in enumerate(DIRECTIONS))
 _TEXT_CITES_SQL = _DEDUPED_SQL.replace(VECTOR_CORPUS_SQL, TEXT_CORPUS_SQL).replace(
     LABEL_QUESTIONS_SQL, BENCHMARK_QUESTIONS_SQL
 )
@@ -397,10 +404,12 @@ _TEXT_CITES_SQL = _DEDUPED_SQL.replace(VECTOR_CORPUS_SQL, TEXT_CORPUS_SQL).repla
 ORACLES = {
     "retrieve_topk": f"WITH {VECTOR_CORPUS_SQL},{LABEL_QUESTIONS_SQL},{ranked_sql(S.TOP_K)} {_HITS}",
     "retrieve_approx": f"""WITH {VECTOR_CORPUS_SQL},{LABEL_QUESTIONS_SQL},
-directions AS ({_DIRECTIONS_SQL}),
-chunk_cells AS (SELECT collection, id, t, floor(list_dot_product(vec, p) / {CELL}) AS cell FROM corpus CROSS JOIN directions),
-question_cells AS (SELECT qid, t, floor(list_dot_product(qvec, p) / {CELL}) AS cell FROM questions CROSS JOIN directions),
-met AS (SELECT DISTINCT qid, collection, id FROM chunk_cells JOIN question_cells USING (t, cell)),
+centres AS MATERIALIZED (SELECT vec_id AS centre, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id % {CENTRE_EVERY} = 5 ORDER BY vec_id LIMIT {MOST_CENTRES}),
+stored AS MATERIALIZED (
+  SELECT collection, id, centre FROM corpus CROSS JOIN centres
+  QUALIFY row_number() OVER (PARTITION BY collection, id ORDER BY list_distance(vec, c), centre) = 1),
+looked AS (SELECT qid, centre FROM questions CROSS JOIN centres QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_distance(qvec, c), centre) <= {LOOKED_AT}),
+met AS (SELECT qid, collection, id FROM stored JOIN looked USING (centre)),
 enough AS (SELECT qid FROM met GROUP BY qid HAVING count(*) >= {S.TOP_K}),
 scored AS (
   SELECT q.qid, c.collection, c.id, c.source, round(pow(list_distance(c.vec, q.qvec), 2), 9) AS distance

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gleaner import schemas as S
 from gleaner.functions.embedding import hash_embedder
+from gleaner.operators import best as kernel
+from gleaner.operators import coarse
 from gleaner.operators import nearest as N
 from gleaner.operators import numbering, stats, upsert
 from gleaner.plans import chunking
@@ -109,8 +111,8 @@ def test_best_takes_small_steps(monkeypatch):
     sources = pa.array(["s"] * 50)
     kept = []
     for cells in (10, 10**6):
-        monkeypatch.setattr(N, "CELLS", cells)
-        best = N._Best(asked, 5)
+        monkeypatch.setattr(kernel, "CELLS", cells)
+        best = kernel.Best(asked, 5)
         best.offer(np.arange(3), vectors, np.zeros(50, int), names, ids, sources)
         kept.append(best.kept)
     assert kept[0] == kept[1]
@@ -142,7 +144,7 @@ def test_approx_recall_and_completeness(spark):
     chunks = spark.createDataFrame(rows, "collection string, id string, source string, document string, embedding array<float>")
     asked = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "qid long, vector array<double>")
     exact = {(r["qid"], r["id"]) for r in N.nearest(chunks, asked, 5).collect()}
-    found = {(r["qid"], r["id"]) for r in N.nearest_approx(chunks, asked, 5).collect()}
+    found = {(r["qid"], r["id"]) for r in coarse.nearest_approx(chunks, asked, 5).collect()}
     assert len(found) == 50
     assert len(exact & found) >= 45
 
