@@ -203,7 +203,7 @@ def incremental_ingest(spark, root):
 
 
 def incremental_stream(spark, root):
-    """The same two uploads as arriving files, two runs of one stream."""
+    """The same two uploads as arriving files, the second written over the first in place, two runs of one stream."""
     base = fresh_dir(spark, "uploads")
     _two_folders(spark, root, base)
     warehouse = Warehouse(spark, f"{base}/tables")
@@ -211,8 +211,11 @@ def incremental_stream(spark, root):
     system = java.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(java.Path(f"{base}/in"))
     for version in ("v1", "v2"):
-        system.rename(java.Path(f"{base}/{version}"), java.Path(f"{base}/in/{version}"))
-        ingest_arrivals(warehouse, f"{base}/in/*/*.csv", f"{base}/checkpoint").awaitTermination()
+        for status in system.listStatus(java.Path(f"{base}/{version}")):
+            target = java.Path(f"{base}/in/{status.getPath().getName()}")
+            system.delete(target, False)
+            system.rename(status.getPath(), target)
+        ingest_arrivals(warehouse, f"{base}/in/*.csv", f"{base}/checkpoint").awaitTermination()
     return arrival_reports(warehouse).select(
         (F.col("batch_id") + 1).cast("int").alias("run"), "file", "status", "rows"
     )

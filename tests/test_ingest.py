@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from pathlib import Path
 
 import pytest
@@ -13,6 +14,7 @@ from gleaner.operators import upsert
 from gleaner.plans import tables
 from gleaner.sources import files
 from gleaner.sources.tables import Warehouse
+from gleaner.streaming import arrivals
 from gleaner.streaming.arrivals import arrival_reports, ingest_arrivals
 
 
@@ -176,6 +178,52 @@ def test_stream_runs_once_per_arrival(spark, tmp_path):
     assert warehouse.read("t").count() == 2
 
 
+def test_a_file_written_over_is_ingested_again(spark, tmp_path):
+    up = tmp_path / "up"
+    warehouse = Warehouse(spark, str(tmp_path / "db"))
+    pattern, checkpoint = str(up / "*.csv"), str(tmp_path / "cp")
+
+    def run(**options):
+        ingest_arrivals(warehouse, pattern, checkpoint, **options).awaitTermination()
+        path = f"{warehouse.root}/_ingest_reports"
+        return sorted((r["batch_id"], r["file"], r["status"], r["rows"]) for r in arrival_reports(warehouse).collect()) if os.path.exists(path) else []
+
+    assert run() == []  # nothing matches yet
+    write(up, "t.csv", "a\n1\n")
+    write(up, "u.csv", "a\n1\n")
+    first = [(0, "t.csv", S.STATUS_NEW, 1), (0, "u.csv", S.STATUS_NEW, 1)]
+    assert run() == first
+    write(up, "t.csv", "a\n1\n2\n")
+    os.utime(up / "u.csv", (1, 1))  # the same content, another time
+    assert run() == [*first, (1, "t.csv", S.STATUS_CHANGED, 2), (1, "u.csv", S.STATUS_SAME, 1)]
+    assert warehouse.read("t").count() == 2 and len(run()) == 4
+    for i in range(5):
+        os.utime(write(up, f"m{i}.csv", f"k\n{i}\n"), (100 + i, 100 + i))
+    assert [r[:2] for r in run(max_files=2)[4:]] == [(2, "m0.csv"), (2, "m1.csv"), (3, "m2.csv"), (3, "m3.csv"), (4, "m4.csv")]
+
+
+def test_a_replayed_batch_ingests_nothing_twice(spark, tmp_path, monkeypatch):
+    up = tmp_path / "up"
+    warehouse = Warehouse(spark, str(tmp_path / "db"))
+    pattern, checkpoint = str(up / "*.csv"), str(tmp_path / "cp")
+    write(up, "t.csv", "a\n1\n")
+    plain = arrivals.ingest_listing
+
+    def broken(*args):
+        plain(*args).collect()
+        raise RuntimeError("lost after the tables were written")
+
+    monkeypatch.setattr(arrivals, "ingest_listing", broken)
+    with pytest.raises(Exception, match="lost after"):
+        ingest_arrivals(warehouse, pattern, checkpoint).awaitTermination()
+    monkeypatch.setattr(arrivals, "ingest_listing", plain)
+    before = warehouse.location("t")
+    write(up, "late.csv", "a\n1\n")
+    ingest_arrivals(warehouse, pattern, checkpoint).awaitTermination()
+    got = sorted((r["batch_id"], r["file"], r["status"]) for r in arrival_reports(warehouse).collect())
+    assert got == [(0, "t.csv", S.STATUS_SAME), (1, "late.csv", S.STATUS_NEW)] and warehouse.location("t") == before
+
+
 def test_requested_paths_fall_back_to_base_name(spark, tmp_path):
     listing = spark.createDataFrame([("/in/a.pdf",), ("/in/b.pdf",), ("/other/b.pdf",)], "path string")
     asked = spark.createDataFrame([("/in/a.pdf",), ("/gone/b.pdf",), ("/gone/c.pdf",)], "path string")
