@@ -189,7 +189,10 @@ def nearest_in_source(chunks: DataFrame, probes: DataFrame, n: int = S.SNIPPETS,
     rows = chunks.select(F.col("source").alias("_key"), F.col("collection").alias("_slot"), "collection", "id", "source", "embedding", order)
     met = best_by_key(rows, probes.select(F.col("source").alias("_key"), "qid", "vector"), fetch)
     fetched = ranked(met, ["qid", "_slot"], fetch, "_fetched").drop("_fetched", "_slot")
-    found = with_text(fetched, chunks).where(X.strip("document") != "")
-    return ranked(found, ["qid"], n, "snippet_no").select(
+    # Which of the fetched have text is asked by their names alone; texts go to the final ones only.
+    named = chunks.where(X.strip("document") != "").select(*[F.col(c).alias(f"_{c}") for c in ("collection", "id", "source")])
+    same = (fetched["collection"] == named["_collection"]) & (fetched["id"] == named["_id"]) & fetched["source"].eqNullSafe(named["_source"])
+    best = ranked(fetched.join(named, same, "left_semi"), ["qid"], n, "snippet_no")
+    return with_text(best, chunks).select(
         "qid", "source", "snippet_no", "collection", "id", "document", "distance"
     )
