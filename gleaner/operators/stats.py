@@ -25,13 +25,18 @@ def collection_stats(chunks: DataFrame) -> DataFrame:
     per_source = chunks.groupBy("collection", "source").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("rows", F.when(F.col("rows").isNotNull(), F.col("id"))).alias("r")
     )
+    return of_sources(per_source)
+
+
+def of_sources(per_source: DataFrame) -> DataFrame:
+    """The figures of :func:`collection_stats` from ``collection, source, n, r``."""
     is_table = F.col("collection") == S.TABULAR
     found = per_source.groupBy("collection").agg(
         F.sum("n").alias("chunks"),
         F.count(F.when(F.col("source") != "", 1)).alias("sources"),
         F.coalesce(F.sum(F.when(is_table & F.col("source").isNotNull(), F.col("r"))), F.lit(0)).alias("rows"),
     )
-    names = chunks.sparkSession.createDataFrame([(c,) for c in S.RETRIEVAL_ORDER], "collection string")
+    names = per_source.sparkSession.createDataFrame([(c,) for c in S.RETRIEVAL_ORDER], "collection string")
     return names.join(found, "collection", "full_outer").select(
         "collection", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("chunks", "sources", "rows")]
     )

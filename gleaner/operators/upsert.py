@@ -8,31 +8,13 @@ from pyspark.sql import types as T
 
 from gleaner import schemas as S
 from gleaner.functions.embedding import Embedder
+from gleaner.operators import index, stats
+from gleaner.operators.sizes import broadcast_if_small
 from gleaner.session import stage
 
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 SOURCE_BUCKETS = 64
 
 
-def _weight(df: DataFrame):
-    """About the bytes of a row."""
-    total = F.lit(8 * len(df.columns))
-    for name, kind in df.dtypes:
-        if kind in ("string", "binary"):
-            total += F.coalesce(F.octet_length(name), F.lit(0))
-        elif kind.startswith("array<") and kind[6:-1] in ("double", "float", "int", "bigint"):
-            total += 8 * F.coalesce(F.size(name), F.lit(0))
-        elif kind.startswith(("array<", "map<", "struct<")):
-            total += F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
-    return F.sum(total.cast("bigint"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint where ``df`` is counted to be small in rows and bytes, a plain side otherwise."""
-    got = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), _weight(df).alias("bytes")).first()
-    return F.broadcast(df) if got["rows"] <= max_rows and (got["bytes"] or 0) <= max_bytes else df
-
-
 def last_write(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """One row per key, the one with the greatest version.
 
@@ -85,19 +67,19 @@ class ChunkTable:
     partitions are staged in the shared folder, then swapped in by a dynamic
     partition overwrite, so a lost executor or a retried task cannot leave a
     half-written partition behind. An id stands once in a collection: ids that
-    come back under another source are looked up in all buckets of the
-    collection, by a scan of the id column alone.
+    come back under another source are looked up in the files whose id filters
+    (:mod:`gleaner.operators.index`) do not rule them out.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = SOURCE_BUCKETS):
         self.spark = spark
         self.path = path
         self.buckets = buckets
+        self.index = index.ChunkIndex(spark, path)
 
     def read(self) -> DataFrame:
         """All stored chunks; an absent table reads as empty, any other trouble is an error."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+        if not index.exists(self.spark, self.path):
             return self.spark.createDataFrame([], S.CHUNK).withColumn("bucket", F.lit(0))
         schema = T.StructType([*S.CHUNK.fields, T.StructField("bucket", T.IntegerType())])
         return self.spark.read.schema(schema).parquet(self.path).select(*S.CHUNK.fieldNames(), "bucket")
@@ -108,10 +90,17 @@ class ChunkTable:
 
     def _same_ids(self, incoming: DataFrame) -> DataFrame:
         """``collection, id, bucket`` of the stored chunks whose id the batch holds."""
-        names = [r[0] for r in incoming.select("collection").distinct().collect()]
-        wanted = broadcast_if_small(incoming.select("collection", "id").distinct())
-        stored = self.read().where(F.col("collection").isin(*names)).select("collection", "id", "bucket")
-        return stored.join(wanted, ["collection", "id"], "left_semi")
+        return self.lookup(incoming.select("collection", "id")).select("collection", "id", "bucket")
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """Stored chunks whose ``collection, id`` are asked for; only files that may hold one are read."""
+        asked = wanted.select("collection", "id").distinct()
+        stored = index.of_files(self.read(), self.index.holding(self.read(), asked))
+        return stored.join(broadcast_if_small(asked), ["collection", "id"], "left_semi")
+
+    def stats(self) -> DataFrame:
+        """As :func:`gleaner.operators.stats.collection_stats` of the table, from what the index keeps; no stored chunk is read."""
+        return stats.of_sources(self.index.sources(self.read()))
 
     def _touched(self, incoming: DataFrame) -> DataFrame:
         """Stored rows of the partitions the batch falls into or takes an id from (a pruned scan)."""

@@ -10,11 +10,12 @@ from gleaner.functions import splitter
 from gleaner.functions import text as X
 from gleaner.functions.embedding import hash_embedder
 from gleaner.operators import stats, upsert
+from gleaner.operators.vectors import VectorTable
 from gleaner.plans import chunking, ingest, tables
 from gleaner.queries.common import case_of, lit, load, load_spread, nth, strip_sql
 from gleaner.queries.facts import FACT_SQL, INVOICE_SQL, invoices
 from gleaner.queries.text import normal_url_sql
-from gleaner.session import fresh_dir
+from gleaner.session import fresh_dir, stage
 from gleaner.sources import contracts, files
 from gleaner.sources.tables import Warehouse, catalog_names
 from gleaner.streaming.arrivals import arrival_reports, ingest_arrivals
@@ -142,6 +143,64 @@ def chunk_table_upsert(spark, root):
     return store.read().select("collection", "id", "source", "document")
 
 
+def _document_chunks(docs: DataFrame, prefix: str, text) -> DataFrame:
+    """One chunk per document; sources by origin and language, record numbers on some."""
+    return chunking.conform(
+        docs.select(
+            nth(S.RETRIEVAL_ORDER, F.col("doc_id") % 4).alias("collection"),
+            F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("id"),
+            F.concat("source", F.lit("/"), "lang").alias("source"), text.alias("document"), F.col("doc_id").alias("chunk_no"),
+            F.when(F.col("doc_id") % 3 > 0, F.col("n_chars")).alias("rows"),
+        )
+    )
+
+
+def stored_lookup(spark, root):
+    """Point reads of stored chunks by id after a create, an upsert and an append; ids that are not stored are left out."""
+    docs = load(spark, root, "documents")
+    store = upsert.ChunkTable(spark, fresh_dir(spark, "chunks"), buckets=8)
+    store.create(_document_chunks(docs, "d", F.md5("text")))
+    labelled = docs.join(load(spark, root, "labels").select("doc_id"), "doc_id", "left_semi")
+    store.upsert(_document_chunks(labelled, "d", F.lit("rewritten")), keep_stale=True)
+    store.add_new(_document_chunks(labelled, "x", F.md5("text")), lambda df, text, out: df)
+    wanted = _document_chunks(docs, "d", F.lit("")).unionByName(_document_chunks(docs, "x", F.lit("")))
+    return store.lookup(wanted.where(F.col("chunk_no") % 100 == 7)).select("collection", "id", "source", "document")
+
+
+def index_status(spark, root):
+    """Status lines from the figures kept with the table, after a create, an upsert and an append."""
+    docs = load(spark, root, "documents")
+    store = upsert.ChunkTable(spark, fresh_dir(spark, "chunks"), buckets=8)
+
+    def status(step):
+        # Staged: what is kept changes with the next step.
+        return stage(store.stats().join(stats.status_lines(store.stats()), "collection").withColumn("step", F.lit(step)), "status")
+
+    long = docs.where(F.col("n_chars") > 500)
+    store.create(_document_chunks(long, "d", F.md5("text")))
+    first = status("create")
+    french = long.where(F.col("lang") == "fr")
+    store.upsert(_document_chunks(french.where(F.col("n_chars") > 2000), "d", F.lit("rewritten")))
+    second = status("upsert")
+    store.add_new(_document_chunks(docs, "d", F.md5("text")), lambda df, text, out: df)
+    return first.unionByName(second).unionByName(status("add"))
+
+
+def embed_once(spark, root):
+    """Documents ingested twice, a tenth of them changed: how many texts of each run were embedded, and that all have their vector."""
+    docs = load_spread(spark, root, "documents").select("doc_id", "text")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("changed "), "text")).otherwise(F.col("text")))
+    table = VectorTable(spark, fresh_dir(spark, "vectors"))
+    embed = table.embedder(hash_embedder())
+    runs, before = [], 0
+    for run, texts in enumerate((docs, changed), 1):
+        found = stage(embed(texts, "text", "vector").groupBy().agg(F.count("*").alias("texts"), F.count_if(F.size("vector") == 64).alias("with_vector")), "run")
+        after = table.size()
+        runs.append(found.select(F.lit(run).alias("run"), "texts", "with_vector", F.lit(after - before).cast("bigint").alias("embedded")))
+        before = after
+    return runs[0].unionByName(runs[1])
+
+
 # --- files ------------------------------------------------------------------
 
 
@@ -565,6 +624,9 @@ QUERIES = {
     "insert_new_only": insert_new_only,
     "chunk_lookup": chunk_lookup,
     "chunk_table_upsert": chunk_table_upsert,
+    "stored_lookup": stored_lookup,
+    "index_status": index_status,
+    "embed_once": embed_once,
     "csv_roundtrip": csv_roundtrip,
     "file_hashes": file_hashes,
     "incremental_ingest": incremental_ingest,
@@ -596,6 +658,23 @@ QUERIES = {
     "create_only": create_only,
 }
 
+_DOCUMENT_CHUNKS_SQL = (
+    f"{case_of('doc_id % 4', S.RETRIEVAL_ORDER)} AS collection, doc_id, n_chars, lang, source || '/' || lang AS source, "
+    "CASE WHEN doc_id % 3 > 0 THEN n_chars END::BIGINT AS rows"
+)
+
+
+def _status_sql(step: str, rows: str) -> str:
+    """Full count of the chunks that ``rows`` selects."""
+    return f"""
+SELECT '{step}' AS step, n.collection, coalesce(c.chunks, 0)::BIGINT AS chunks, coalesce(c.sources, 0)::BIGINT AS sources, coalesce(t.rows, 0)::BIGINT AS rows
+FROM (SELECT unnest([{', '.join(lit(c) for c in S.RETRIEVAL_ORDER)}]) AS collection) n
+LEFT JOIN (SELECT collection, count(*) AS chunks, count(DISTINCT source) AS sources FROM ({rows}) GROUP BY 1) c USING (collection)
+LEFT JOIN (SELECT collection, sum(r) AS rows FROM (
+    SELECT collection, source, arg_min(rows, 'd' || doc_id) AS r FROM ({rows}) WHERE collection = '{S.TABULAR}' AND rows IS NOT NULL GROUP BY 1, 2) GROUP BY 1) t
+  USING (collection)"""
+
+
 _UNSPLIT_SQL = (
     f"{case_of('doc_id % 4', S.RETRIEVAL_ORDER)} AS collection, source || '#chunk=' || doc_id AS id, source"
 )
@@ -617,6 +696,27 @@ SELECT collection, id, source, md5(text || '1') AS document, 1 AS version FROM b
 WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.collection = base.collection AND hit.source = base.source)""",
     "insert_new_only": f"SELECT {_UNSPLIT_SQL}, md5(text || '2') AS document, 2 AS version FROM documents WHERE n_chars <= 2000",
     "chunk_lookup": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id * 2 FROM labels)",
+    "stored_lookup": f"""
+SELECT collection, 'd' || doc_id AS id, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'rewritten' ELSE md5(text) END AS document
+FROM (SELECT {_DOCUMENT_CHUNKS_SQL}, text FROM documents WHERE doc_id % 100 = 7)
+UNION ALL
+SELECT collection, 'x' || doc_id, source, md5(text) FROM (SELECT {_DOCUMENT_CHUNKS_SQL}, text FROM documents WHERE doc_id % 100 = 7)
+WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    "index_status": f"""
+WITH base AS MATERIALIZED (SELECT {_DOCUMENT_CHUNKS_SQL} FROM documents),
+hit AS (SELECT DISTINCT collection, source FROM base WHERE lang = 'fr' AND n_chars > 2000),
+kept AS MATERIALIZED (
+  SELECT * FROM base WHERE n_chars > 500 AND (NOT EXISTS (SELECT 1 FROM hit WHERE hit.collection = base.collection AND hit.source = base.source)
+    OR (lang = 'fr' AND n_chars > 2000))),
+steps AS ({_status_sql('create', 'SELECT * FROM base WHERE n_chars > 500')} UNION ALL {_status_sql('upsert', 'SELECT * FROM kept')}
+  UNION ALL {_status_sql('add', 'SELECT * FROM base')})
+SELECT step, collection, chunks, sources, rows, collection || ': ' || chunks || ' chunks, ' || sources || ' source(s)'
+  || CASE WHEN rows > 0 THEN ' — ~' || rows || ' rows' ELSE '' END AS line FROM steps""",
+    "embed_once": """
+WITH changed AS (SELECT CASE WHEN doc_id % 10 = 3 THEN 'changed ' || text ELSE text END AS text FROM documents)
+SELECT 1 AS run, count(*) AS texts, count(*) AS with_vector, count(DISTINCT text) AS embedded FROM documents
+UNION ALL
+SELECT 2, count(*), count(*), (SELECT count(DISTINCT text) FROM changed WHERE text NOT IN (SELECT text FROM documents)) FROM changed""",
     "chunk_table_upsert": f"""
 WITH base AS (
   SELECT *, {case_of('doc_id % 4', S.RETRIEVAL_ORDER)} AS collection, source || '/' || lang AS src FROM documents
