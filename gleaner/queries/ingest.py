@@ -302,6 +302,17 @@ def csv_roundtrip(spark, root):
     return files.read_csv(spark, folder)
 
 
+def csv_quoted_breaks(spark, root):
+    """Whole texts with line breaks, commas and quotes inside quoted cells, written as CSV and cut into records by ranges."""
+    folder = fresh_dir(spark, "csv")
+    text = F.replace("text", F.lit(". "), F.lit('.",\n\n "'))
+    docs = load(spark, root, "documents").select("doc_id", text.alias("text"), "n_chars")
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(header=True, escape='"', **spaces).csv(folder)
+    read = files.read_csv(spark, folder)
+    return read.select("doc_id", "n_chars", F.md5("text").alias("digest"))
+
+
 def file_hashes(spark, root):
     """File listing and both ways of hashing agree on every file."""
     base = fresh_dir(spark, "uploads")
@@ -628,6 +639,7 @@ QUERIES = {
     "index_status": index_status,
     "embed_once": embed_once,
     "csv_roundtrip": csv_roundtrip,
+    "csv_quoted_breaks": csv_quoted_breaks,
     "file_hashes": file_hashes,
     "incremental_ingest": incremental_ingest,
     "incremental_stream": incremental_stream,
@@ -738,6 +750,9 @@ UNION ALL
 SELECT collection, 'x' || doc_id, src, 'extra' FROM base WHERE lang = 'fr'""",
     "csv_roundtrip": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, "
     "o_orderpriority, 'say \"' || o_orderkey || '\", ok' AS o_note FROM orders",
+    "csv_quoted_breaks": f"""
+SELECT doc_id, n_chars, md5(CASE WHEN body NOT IN ({", ".join(f"'{w}'" for w in files.MISSING)}) THEN body END) AS digest
+FROM (SELECT *, replace(text, '. ', '.",' || chr(10) || chr(10) || ' "') AS body FROM documents)""",
     "file_hashes": f"SELECT DISTINCT {_SEGMENT_FILE.format(n=FILE_ROWS)} AS file, 'table' AS kind, "
     f"lower(c_mktsegment) || '_' || (c_custkey // {FILE_ROWS}) AS table_name, true AS nonempty, true AS same_hash FROM customer",
     "incremental_ingest": _REPORTS_SQL,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from gleaner.functions import text as X
 from gleaner.session import stage
+from gleaner.sources.records import quoted_records
 
 # --- Fixed values -----------------------------------------------------------
 # Words a data frame library reads as missing.
@@ -195,8 +197,7 @@ class Unreadable(ValueError):
     """The file is not a table."""
 
 
-def _reader(spark: SparkSession, multi_line: bool):
-    return spark.read.option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _ABSENT)
+_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "nullValue": _ABSENT}
 
 
 def _open_quotes() -> Column:
@@ -210,24 +211,48 @@ def survey(spark: SparkSession, paths: list[str]) -> dict[str, tuple[tuple[str,
     lines = lines.select("value", _plain(F.col("_metadata.file_path")).alias("path"), F.monotonically_increasing_id().alias("at"))
     # One row per file.
     seen = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"), F.bool_or(_open_quotes()).alias("quoted")).collect()
+    broken = {row["path"] for row in seen if row["header"].count('"') % 2}
+    # A header with a line break is the first record, not the first line; one row per such file.
+    whole = {}
+    if broken:
+        first = quoted_records(spark, sorted(broken)).groupBy(_plain(F.col("path")).alias("path")).agg(F.min_by("record", F.struct("start", "n")).alias("header"))
+        whole = {r["path"]: r["header"] for r in first.collect()}
     out = {}
     for row in seen:
-        header = row["header"].lstrip("\ufeff")
-        if header.count('"') % 2:
-            first = _reader(spark, True).option("header", False).csv(row["path"]).head()
-            names = [None if c in (None, _ABSENT) else c for c in first]
-        else:
-            names = next(csv.reader([header]))
+        header = whole[row["path"]] if row["path"] in broken else row["header"].lstrip("\ufeff")
+        names = next(csv.reader(io.StringIO(header, newline="")))
         out[row["path"]] = (tuple(_unique_names(names)), row["quoted"])
     return out
 
 
 def _text_rows(spark: SparkSession, paths: list[str], names: tuple[str, ...], multi_line: bool) -> DataFrame:
-    """Rows of files with one header, every column as text and missing words as NULL; ``_wide``, ``_path`` and ``_row`` beside them."""
+    """Rows of files with one header, every column as text and missing words as NULL; ``_wide``, ``_path`` and ``_row`` beside them.
+
+    With ``multi_line`` the rows are cut by ranges and staged, so that they are read from the files once.
+    """
+    if multi_line:
+        return _quoted_rows(spark, paths, names)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _WIDE)])
-    rows = _reader(spark, multi_line).option("header", True).option("enforceSchema", True).schema(schema).csv(paths)
-    cells = [F.when(~_cell(n).isin(*MISSING), _cell(n)).alias(n) for n in names]
-    return rows.select(*cells, _cell(_WIDE), _plain(F.col("_metadata.file_path")).alias("_path"), F.monotonically_increasing_id().alias("_row"))
+    rows = spark.read.options(**_OPTIONS).option("header", True).option("enforceSchema", True).schema(schema).csv(paths)
+    return rows.select(*_missing(names), _cell(_WIDE), _plain(F.col("_metadata.file_path")).alias("_path"), F.monotonically_increasing_id().alias("_row"))
+
+
+def _missing(names: tuple[str, ...]) -> list[Column]:
+    return [F.when(~_cell(n).isin(*MISSING), _cell(n)).alias(n) for n in names]
+
+
+def _quoted_rows(spark: SparkSession, paths: list[str], names: tuple[str, ...]) -> DataFrame:
+    """As :func:`_text_rows`, for files with line breaks inside quotes; ``_row`` rises in file order of one file only."""
+    records = quoted_records(spark, paths)
+    # One row per file.
+    heads = records.groupBy(F.col("path").alias("_file")).agg(F.min(F.struct("start", "n")).alias("_head"))
+    place = F.struct("start", "n")
+    body = records.join(heads, (F.col("path") == F.col("_file")) & (place > F.col("_head")))
+    fields = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    cells = F.from_csv("record", fields, {**_OPTIONS, "multiLine": "true"})
+    rows = body.select(cells.alias("_cells"), _plain(F.col("path")).alias("_path"), (F.col("start") + F.col("n")).alias("_row"))
+    named = [F.col("_cells")[f"c{i}"].alias(n) for i, n in enumerate((*names, _WIDE))]
+    return rows.select(*named, "_path", "_row").select(*_missing(names), _cell(_WIDE), "_path", "_row")
 
 
 def _checks(names: tuple[str, ...]) -> list[Column]:
@@ -304,7 +329,8 @@ def read_groups(spark: SparkSession, paths: list[str]) -> tuple[list[Group], dic
             else:
                 by_types.setdefault(_types(names, got), {})[path] = got["rows"] if got is not None else 0
         for types, counts in sorted(by_types.items()):
-            part = _text_rows(spark, [wanted[p] for p in counts], names, quoted)
+            # Staged records are not cut again.
+            part = rows.where(F.col("_path").isin(*counts)) if quoted else _text_rows(spark, [wanted[p] for p in counts], names, quoted)
             groups.append(Group(part.select(*_typed(part, names, types), "_path", "_row"), names, counts))
     return groups, errors
 
