@@ -215,8 +215,8 @@ def survey(spark: SparkSession, paths: list[str]) -> dict[str, tuple[tuple[str,
     # A header with a line break is the first record, not the first line; one row per such file.
     whole = {}
     if broken:
-        first = quoted_records(spark, sorted(broken)).groupBy(_plain(F.col("path")).alias("path")).agg(F.min_by("record", F.struct("start", "n")).alias("header"))
-        whole = {r["path"]: r["header"] for r in first.collect()}
+        first = quoted_records(spark, sorted(broken)).where("header").select(_plain(F.col("path")).alias("path"), "record")
+        whole = {r["path"]: r["record"] for r in first.collect()}
     out = {}
     for row in seen:
         header = whole[row["path"]] if row["path"] in broken else row["header"].lstrip("\ufeff")
@@ -243,11 +243,7 @@ def _missing(names: tuple[str, ...]) -> list[Column]:
 
 def _quoted_rows(spark: SparkSession, paths: list[str], names: tuple[str, ...]) -> DataFrame:
     """As :func:`_text_rows`, for files with line breaks inside quotes; ``_row`` rises in file order of one file only."""
-    records = quoted_records(spark, paths)
-    # One row per file.
-    heads = records.groupBy(F.col("path").alias("_file")).agg(F.min(F.struct("start", "n")).alias("_head"))
-    place = F.struct("start", "n")
-    body = records.join(heads, (F.col("path") == F.col("_file")) & (place > F.col("_head")))
+    body = quoted_records(spark, paths).where(~F.col("header"))
     fields = ", ".join(f"c{i} string" for i in range(len(names) + 1))
     cells = F.from_csv("record", fields, {**_OPTIONS, "multiLine": "true"})
     rows = body.select(cells.alias("_cells"), _plain(F.col("path")).alias("_path"), (F.col("start") + F.col("n")).alias("_row"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.sizes import broadcast_if_small
 from gleaner.session import stage
 
 # From inside quotes to behind the closing one; a doubled quote is a character.
@@ -166,7 +167,7 @@ def _same_ranges(spark: SparkSession):
 
 
 def quoted_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, start, n, record``: the records of CSV files with their headers, as text; ``(start, n)`` rises in file order.
+    """``path, start, n, record, header``: the records of CSV files as text; ``(start, n)`` rises in file order, a file's first record is its header.
 
     ``path`` is as Spark names it. Empty lines between records are left out;
     a carriage return ends a line as a line feed does. A quote that is never closed takes the rest of
@@ -180,11 +181,15 @@ def quoted_records(spark: SparkSession, paths: list[str]) -> DataFrame:
         maps = lines.mapInArrow(_maps, "path string, start long, from_text boolean, from_quotes boolean")
         ordered = maps.repartition("path").sortWithinPartitions("path", "start")
         begin = {tuple(r) for r in ordered.mapInArrow(_followed, "path string, start long").collect()}
-        cut = stage(lines.mapInArrow(_cut(begin), "path string, start long, n long, kind int, record string"), "records")
+        cut = stage(lines.mapInArrow(_cut(begin), "path string, start long, n long, kind int, record string"), "records", compression="zstd")
+    # One row per file, from the places alone.
+    heads = cut.where(F.col("kind").isin(WHOLE, BEGINS)).groupBy(F.col("path").alias("_file")).agg(F.min(F.struct("start", "n")).alias("_head"))
     own = Window.partitionBy("path").orderBy("start", "n")
     pieces = cut.where(F.col("kind") != WHOLE)
     first = F.max(F.when(F.col("kind") == BEGINS, F.struct("start", "n"))).over(own)
     pieces = pieces.withColumn("first", first).groupBy("path", "first").agg(F.sort_array(F.collect_list(F.struct("start", "n", "record"))).alias("pieces"))
     joined = F.array_join(F.transform("pieces", lambda p: p["record"]), "")
     pieces = pieces.select("path", "first.start", "first.n", joined.alias("record"))
-    return cut.where(F.col("kind") == WHOLE).select("path", "start", "n", "record").unionByName(pieces)
+    whole = cut.where(F.col("kind") == WHOLE).select("path", "start", "n", "record").unionByName(pieces)
+    marked = whole.join(broadcast_if_small(heads), F.col("path") == F.col("_file"))
+    return marked.select("path", "start", "n", "record", (F.struct("start", "n") == F.col("_head")).alias("header"))
