@@ -78,6 +78,19 @@ def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows and bytes handed to a Python function at once. Whole texts may be long, and a function holds several copies of a batch.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 256, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session in rows and bytes; smaller settings of the user stay."""
+    for key, most in BATCH_LIMITS.items():
+        now = spark.conf.get(key)
+        size = 0 if now.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now)
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 SPREAD_TASKS = 64
 
 
