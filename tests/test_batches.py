@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import splitter
+from gleaner.plans import chunking
 from gleaner.session import BATCH_LIMITS, bound_batches
 
 
@@ -48,3 +49,15 @@ def test_smaller_limits_of_the_user_stay(spark, limits):
     spark.conf.set(rows, "-1")
     bound_batches(spark)
     assert int(spark.conf.get(rows)) == BATCH_LIMITS[rows]
+
+
+def test_pages_are_cut_in_bounded_batches(spark, limits):
+    body = F.concat(F.lit("page "), F.col("id").cast("string"), F.repeat(F.lit(" word"), 300))
+    pages = spark.range(600, numPartitions=1).select(
+        F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("source"), body.alias("text"), F.create_map(F.lit("title"), F.lit("t")).alias("metadata")
+    )
+    chunks = chunking.ingest_pages(pages)
+    assert pages.select(F.max(_batch_rows("text"))).first()[0] <= 256
+    got = {(r["source"], r["chunk_no"]): r["document"] for r in chunks.collect()}
+    want = {(p["source"], i): body for p in pages.collect() for i, (_, body) in enumerate(splitter.split_text(p["text"]))}
+    assert got == want
