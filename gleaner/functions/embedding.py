@@ -20,8 +20,10 @@ DIMENSIONS = 64
 def token_buckets(text: Column, dim: int) -> Column:
     """Bucket number of every whitespace-separated, lowercased token."""
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \t\n\r\f]+"), lambda t: t != "")
+    # The number of the first eight digits decides; where the width divides 256, its last two do.
+    first, digits = (7, 2) if 256 % dim == 0 else (1, 8)
     return F.transform(
-        tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+        tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), first, digits), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     )
 
 
@@ -35,11 +37,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def bucket_counts(buckets: Column, dim: int) -> Column:
-    """How often each of the ``dim`` buckets occurs."""
+    """How often each of the ``dim`` buckets occurs.
+
+    Many buckets are sorted once, one of each slot added, and the places where the
+    slots end are subtracted; few are counted slot by slot.
+    """
     slots = F.array(*[F.lit(i) for i in range(dim)])
-    return let(
-        buckets, lambda b: F.transform(slots, lambda i: F.size(b) - F.size(F.array_remove(b, i)))
-    )
+
+    def ends(b: Column) -> Column:
+        last = F.transform(b, lambda x, i: F.when(F.get(b, i + 1) == x, F.lit(-1)).otherwise(i + 1))
+        return F.array_remove(last, -1)
+
+    def sorted_counts(b: Column) -> Column:
+        return let(let(F.sort_array(F.concat(b, slots)), ends), lambda e: F.transform(e, lambda x, i: x - F.coalesce(F.get(e, i - 1), F.lit(0)) - 1))
+
+    def slot_counts(b: Column) -> Column:
+        return F.transform(slots, lambda i: F.size(b) - F.size(F.array_remove(b, i)))
+
+    return let(buckets, lambda b: F.when(F.size(b) > dim, sorted_counts(b)).otherwise(slot_counts(b)))
 
 
 def unit_vector(counts: Column) -> Column:

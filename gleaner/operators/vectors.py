@@ -41,8 +41,8 @@ class VectorTable:
         # Only texts that are new are exchanged; a text that repeats shrinks before it is.
         todo = keyed.join(broadcast_if_small(new), "key", "left_semi").groupBy("key").agg(F.any_value("_text").alias("_text"))
         done = embed(todo, "_text", "vector").select("key", F.col("vector").cast("array<float>").alias("vector"))
-        # In the order of the keys, so that the scan of a few leaves row groups out.
-        done.repartitionByRange("key").sortWithinPartitions("key").write.mode("append").parquet(self.path)
+        # In the order of the keys, so that the scan of a few leaves row groups out. Staged, as drawing the ranges would embed every text once more.
+        stage(done, "embedded").repartitionByRange("key").sortWithinPartitions("key").write.mode("append").parquet(self.path)
         return new.count()
 
     def embedder(self, embed: Embedder) -> Embedder:
