@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.embedding import let
 from gleaner.functions.text import strip
 
 # --- Fixed values -----------------------------------------------------------
@@ -67,7 +68,7 @@ def fact_columns(text: Column) -> dict[str, Column]:
     without, so text that holds no such phrase never reaches a pattern.
     """
     t = strip(F.coalesce(text, F.lit("")))
-    low = F.translate(F.lower(t), "ſ", "s")
+    low = F.replace(F.lower(t), F.lit("ſ"), F.lit("s"))
     out: dict[str, Column] = {}
 
     # A name can only end in a year: without one, skip the long scan for its start.
@@ -98,10 +99,16 @@ def fact_columns(text: Column) -> dict[str, Column]:
 
     covered = _mentions(low, "warranty", "guarantee")
     term = F.regexp_replace(F.lower(_rewritten(t, WARRANTY, "$2 $3")), "^0+([0-9])", "$1")
-    out["warranty"] = F.when(covered, F.regexp_replace(term, "^(?!1 )(.*)$", "$1s"))
-    years = F.regexp_extract(term, "^([0-9]+) year$", 1)
-    in_years = (years.try_cast("decimal(30,0)") * 12).cast("string")
-    out["warranty_months"] = F.when(covered, F.coalesce(in_years, F.substring_index(term, " ", 1)))
+
+    def told(found: Column) -> Column:
+        """The term as it is shown and its months; the pattern runs once for both."""
+        years = F.regexp_extract(found, "^([0-9]+) year$", 1)
+        in_years = (years.try_cast("decimal(30,0)") * 12).cast("string")
+        months = F.coalesce(in_years, F.substring_index(found, " ", 1))
+        return F.struct(F.regexp_replace(found, "^(?!1 )(.*)$", "$1s").alias("shown"), months.alias("months"))
+
+    cover = F.when(covered, let(term, told))
+    out["warranty"], out["warranty_months"] = cover["shown"], cover["months"]
     return {key: out[key] for key in FACT_KEYS}
 
 

@@ -63,8 +63,8 @@ def lookup(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 class ChunkTable:
     """Chunks in Parquet, partitioned by collection and a hash of the source.
 
-    A batch rewrites only the partitions its sources fall into: the merged
-    partitions are staged in the shared folder, then swapped in by a dynamic
+    A batch rewrites only the partitions its sources fall into: the batch and what
+    is kept of them are staged in the shared folder, then swapped in by a dynamic
     partition overwrite, so a lost executor or a retried task cannot leave a
     half-written partition behind. An id stands once in a collection: ids that
     come back under another source are looked up in the files whose id filters
@@ -128,16 +128,37 @@ class ChunkTable:
         self._write(self._bucketed(chunks), "errorifexists")
         return self.read().count()
 
-    def upsert(self, chunks: DataFrame, keep_stale: bool = False) -> int:
-        """Write a batch; returns the number of chunks in it."""
-        incoming = stage(self._bucketed(chunks), "incoming")
-        fresh = last_write(incoming, ["collection", "id"], ["chunk_no"])
-        kept = self._touched(incoming)
-        for key in [["collection", "id"]] + ([] if keep_stale else [["collection", "source"]]):
-            kept = kept.join(broadcast_if_small(incoming.select(*key).distinct()), key, "left_anti")
-        merged = stage(kept.select(*incoming.columns).unionByName(fresh), "merged")
+    def _last(self, incoming: DataFrame) -> tuple[DataFrame, int]:
+        """The last row of every id of a staged batch, and their number.
+
+        Ids that may repeat, usually none, are found from their hashes alone; only their rows are exchanged.
+        """
+        keys = ["collection", "id"]
+        hashed = incoming.withColumn("_hash", F.xxhash64(*keys))
+        often = stage(hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "repeated-ids")
+        if often.isEmpty():
+            return incoming, incoming.count()
+        often = broadcast_if_small(often)
+        repeated = last_write(hashed.join(often, "_hash", "left_semi").drop("_hash"), keys, ["chunk_no"])
+        once = hashed.join(often, "_hash", "left_anti").drop("_hash")
+        return once.unionByName(repeated), incoming.select(*keys).distinct().count()
+
+    def upsert(self, chunks: DataFrame, keep_stale: bool = False, staged: bool = False) -> int:
+        """Write a batch; returns the number of chunks in it.
+
+        ``staged`` says that ``chunks`` only reads files that stay, so that they are not written once more.
+        """
+        incoming = self._bucketed(chunks)
+        incoming = incoming if staged else stage(incoming, "incoming")
+        merged, count = self._last(incoming)
+        if index.exists(self.spark, self.path):
+            kept = self._touched(incoming)
+            for key in [["collection", "id"]] + ([] if keep_stale else [["collection", "source"]]):
+                kept = kept.join(broadcast_if_small(incoming.select(*key).distinct()), key, "left_anti")
+            # What is kept is read before it is swapped; the batch is in files of its own.
+            merged = merged.unionByName(stage(kept.select(*incoming.columns), "kept"))
         self._write(merged, "overwrite")
-        return fresh.count()
+        return count
 
     def add_new(self, chunks: DataFrame, embed: Embedder) -> int:
         """Embed and append only chunks whose id is not stored yet."""

@@ -27,7 +27,7 @@ def _asked(rows: DataFrame, **more) -> DataFrame:
 def _stored(store: ChunkTable, chunks: DataFrame, asked: DataFrame) -> DataFrame:
     written = stage(chunks, "ingest")
     if not written.isEmpty():
-        store.upsert(written)
+        store.upsert(written, staged=True)
     return full_report(asked, written)
 
 
