@@ -528,7 +528,7 @@ def stored_paged_docs(spark, root):
     report = ingest.store_paged(store, contracts.paged(docs.select(source.alias("source"), "doc_id", text.alias("text")), page="doc_id"))
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "document")))
     pages = store.read().groupBy("source", "page").agg(parts.alias("parts"), F.count("*").alias("n"))
-    pages = pages.join(docs.select(F.col("doc_id").alias("page"), "text", splitter.chunks("text").alias("cut")), "page")
+    pages = pages.join(docs.select(F.col("doc_id").alias("page"), "text", splitter.chunks("text", spark=spark).alias("cut")), "page")
     # Stored chunks carry no start; it is that of the cut with their place, and a chunk that is missing anywhere shifts or ends the text.
     placed = F.zip_with("cut", "parts", lambda c, p: F.struct(c["start"].alias("start"), p["document"].alias("text")))
     whole = F.md5(rebuilt(placed, "start", "text")) == F.md5(F.translate("text", X.WHITESPACE, ""))

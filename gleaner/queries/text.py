@@ -105,7 +105,7 @@ _TEXT_SQL = _unescape_sql(
 def chunk_invariants(spark, root):
     """Per document: chunks fit, sit where they say, and cover all text."""
     docs = load_spread(spark, root, "documents").select("doc_id", "text")
-    cut = docs.select("doc_id", "text", splitter.chunks("text").alias("parts"))
+    cut = docs.select("doc_id", "text", splitter.chunks("text", spark=spark).alias("parts"))
     blank = F.lit(X.WHITESPACE)
     ends = F.transform("parts", lambda p: p["start"] + F.length(p["chunk"]))
 
@@ -131,18 +131,18 @@ def chunk_text_rebuilt(spark, root):
     """Every document put together again from the starts and texts of its chunks, blanks aside."""
     from gleaner.queries.ingest import rebuilt
 
-    docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text").alias("parts"))
+    docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text", spark=spark).alias("parts"))
     return docs.select("doc_id", F.md5(rebuilt(F.col("parts"), "start", "chunk")).alias("text_md5"))
 
 
 def chunk_counts(spark, root):
-    docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text").alias("parts"))
+    docs = load_spread(spark, root, "documents").select("doc_id", splitter.chunks("text", spark=spark).alias("parts"))
     return docs.select("doc_id", F.size("parts").cast("bigint").alias("chunks"))
 
 
 def chunk_single(spark, root):
     """A text below the chunk size is exactly one chunk, the stripped text; a longer one has some."""
-    docs = load_spread(spark, root, "documents").select("doc_id", (F.length("text") < S.CHUNK_SIZE).alias("short"), splitter.chunks("text").alias("p"))
+    docs = load_spread(spark, root, "documents").select("doc_id", (F.length("text") < S.CHUNK_SIZE).alias("short"), splitter.chunks("text", spark=spark).alias("p"))
     first = F.when(F.col("short"), F.get("p", F.lit(0)))
     return docs.select(
         "doc_id", F.when(F.col("short"), F.size("p")).cast("bigint").alias("chunks"), (F.size("p") > 0).alias("any"),

@@ -51,6 +51,23 @@ def test_smaller_limits_of_the_user_stay(spark, limits):
     assert int(spark.conf.get(rows)) == BATCH_LIMITS[rows]
 
 
+def test_bound_is_set_where_the_rows_are(spark, limits):
+    """The rows of a second session are cut by its settings, whichever session is active."""
+    second = spark.newSession()
+    text = F.concat(F.lit("page "), F.col("id").cast("string"))
+    pages = second.range(600, numPartitions=1).select(
+        F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("source"), text.alias("text"),
+        F.col("id").alias("page"), F.lit("f").alias("file"), F.create_map(F.lit("title"), F.lit("t")).alias("metadata"),
+    )
+    for cut in (chunking.page_chunks, chunking.paged_chunks, chunking.ocr_split_chunks):
+        for key in BATCH_LIMITS:
+            second.conf.unset(key)
+        chunks = cut(pages)
+        assert {key: second.conf.get(key) for key in BATCH_LIMITS} == {key: str(most) for key, most in BATCH_LIMITS.items()}, cut.__name__
+        assert pages.select(F.max(_batch_rows("text"))).first()[0] <= 256, cut.__name__
+        assert chunks.count() == 600, cut.__name__
+
+
 def test_pages_are_cut_in_bounded_batches(spark, limits):
     body = F.concat(F.lit("page "), F.col("id").cast("string"), F.repeat(F.lit(" word"), 300))
     pages = spark.range(600, numPartitions=1).select(
