@@ -102,28 +102,49 @@ _TEXT_SQL = _unescape_sql(
 # --- chunks -----------------------------------------------------------------
 
 
+# Spark finds a character by counting from the start of its text, so many places of a long text are looked up in blocks of it.
+BLOCK_CHARS = 1024
+
+
+def _blocks(text: str):
+    return F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK_CHARS}}}+"), F.lit(0))
+
+
+def _between(blocks, lo, hi):
+    """The characters from ``lo`` to before ``hi`` of the text in ``blocks``; none where ``hi`` is not behind ``lo``."""
+    lo = F.greatest(lo, F.lit(0))
+    first = F.floor(lo / BLOCK_CHARS).cast("int")
+    count = F.greatest(F.floor(hi / BLOCK_CHARS) - first, F.lit(0)).cast("int") + 1
+    near = F.array_join(F.slice(blocks, first + 1, count), "")
+    return F.substring(near, (lo % BLOCK_CHARS + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+
+
+def _end(part):
+    return part["start"] + F.length(part["chunk"])
+
+
 def chunk_invariants(spark, root):
-    """Per document: chunks fit, sit where they say, and cover all text."""
+    """Per document: chunks fit, sit where they say, and cover all text; a blank document has none to check."""
     docs = load_spread(spark, root, "documents").select("doc_id", "text")
-    cut = docs.select("doc_id", "text", splitter.chunks("text", spark=spark).alias("parts"))
-    blank = F.lit(X.WHITESPACE)
-    ends = F.transform("parts", lambda p: p["start"] + F.length(p["chunk"]))
+    cut = docs.select(
+        "doc_id", F.length("text").alias("chars"), _blocks("text").alias("blocks"), splitter.chunks("text", spark=spark).alias("parts")
+    )
+    parts, blocks = F.col("parts"), F.col("blocks")
+
+    def blank(lo, hi):
+        return F.btrim(_between(blocks, lo, hi), F.lit(X.WHITESPACE)) == ""
 
     def gap(p, i):
         """Only blanks lie between the end so far and this chunk's start."""
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
-        between = F.substring(F.col("text"), (before + 1).cast("int"), (p["start"] - before).cast("int"))
-        return (p["start"] <= before) | (F.btrim(between, blank) == "")
+        before = F.when(i == 0, F.lit(0)).otherwise(_end(F.get(parts, i - 1)))
+        return (p["start"] <= before) | blank(before, p["start"])
 
-    tail = F.substring(F.col("text"), (F.element_at(ends, -1) + 1).cast("int"), F.length("text"))
+    last = F.coalesce(_end(F.get(parts, F.size(parts) - 1)), F.lit(0))
     return cut.select(
         "doc_id",
-        F.forall("parts", lambda p: F.length(p["chunk"]) <= S.CHUNK_SIZE).alias("fits"),
-        F.forall(
-            "parts",
-            lambda p: F.substring(F.col("text"), (p["start"] + 1).cast("int"), F.length(p["chunk"])) == p["chunk"],
-        ).alias("in_place"),
-        (F.forall(F.transform("parts", gap), lambda x: x) & (F.btrim(tail, blank) == "")).alias("covered"),
+        F.forall(parts, lambda p: F.length(p["chunk"]) <= S.CHUNK_SIZE).alias("fits"),
+        F.forall(parts, lambda p: _between(blocks, p["start"], _end(p)) == p["chunk"]).alias("in_place"),
+        (F.forall(F.transform(parts, gap), lambda x: x) & blank(last, F.col("chars"))).alias("covered"),
     )
 
 
